@@ -1,0 +1,11 @@
+"""Query wiring: operators applied to the test tables."""
+
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    """Import every ``*_queries`` module, which registers its queries."""
+    for module in pkgutil.iter_modules(__path__):
+        if module.name.endswith("_queries"):
+            importlib.import_module(f"{__name__}.{module.name}")

@@ -219,6 +219,12 @@ class Timeline:
         clone.df = df
         return clone
 
+    def with_column(self, name: str, column: Column) -> Timeline:
+        return self._with(self.df.withColumn(name, column))
+
+    def drop(self, *names: str) -> Timeline:
+        return self._with(self.df.drop(*names))
+
     def result(self) -> DataFrame:
         return self.df.drop(SLICE)
 
