@@ -287,7 +287,7 @@ def expanding_form(
     first = out.groupBy(*entity).agg(
         F.min_by("__season", F.when(F.col("__season").isNotNull(), at)).alias("__fs"),
     )
-    preds = _first_following(out, entity, [ts, *tie], "__pred", max_rows)
+    preds = _first_following(out, entity, [ts, *tie], "__pred", line.sliced, max_rows)
     joined = null_safe_join(preds, broadcast_if_small(first), entity)
     season_avg, predicted = F.coalesce("__season", "__fs"), F.col("__pred")
     return (
@@ -302,14 +302,14 @@ def expanding_form(
     )
 
 
-def _first_following(df, entity, order, column, max_rows):
+def _first_following(df, entity, order, column, sliced, max_rows):
     """Fill nulls of ``column`` with the next non-null value of the entity."""
     # next known value: the smallest later position that has one
     tagged = F.when(F.col(column).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(column)))
-    line = Timeline(df, entity, order, max_rows)
-    if not line.sliced:
-        ahead = line.window().rowsBetween(0, Window.unboundedFollowing)
+    if not sliced:
+        ahead = Window.partitionBy(*entity).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
         return df.withColumn(column, F.first(column, ignorenulls=True).over(ahead))
+    line = Timeline(df, entity, order, max_rows)
     ahead = line.window().rowsBetween(0, Window.unboundedFollowing)
     per_slice = line.df.groupBy(*line.keys).agg(F.min(tagged).alias("__first"))
     later = Window.partitionBy(*as_list(entity)).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Entities with more rows than this are cut into several time slices so that
-#: no single task sorts them whole. Override with the Spark setting below.
+#: no single task sorts them whole. Override with the Spark setting below; 0
+#: skips the count that looks for such entities.
 MAX_ROWS_CONF = "spark.entitystats.maxRowsPerTask"
 MAX_ROWS_DEFAULT = 2_000_000
 

@@ -80,7 +80,7 @@ class Timeline:
         self.entity = as_list(entity)
         self.order = as_list(order)
         limit = max_rows or max_rows_per_task(df.sparkSession)
-        heavy = heavy_keys(df, self.entity, limit)
+        heavy = heavy_keys(df, self.entity, limit) if limit > 0 else []
         self.sliced = bool(heavy)
         self.df = self._cut(df, heavy, limit) if heavy else df
 
@@ -259,7 +259,7 @@ def quantiles(
     by = as_list(by)
     df = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
     limit = max_rows or max_rows_per_task(df.sparkSession)
-    heavy = heavy_keys(df, by, limit)
+    heavy = heavy_keys(df, by, limit) if limit > 0 else []
     builtin = [F.percentile(value, p).alias(n) for n, p in probs.items()]
     if not heavy:
         return df.groupBy(*by).agg(*builtin)
