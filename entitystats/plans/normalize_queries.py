@@ -106,9 +106,9 @@ def season_labels(t):
     "numeric_texts",
     """
     SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(o_custkey AS BIGINT) AS id_value,
-           round(1e-8 + (CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) + 35) + CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) / 60.0, 6) AS minutes,
+           round(3.14159e-9 + (CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) + 35) + CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) / 60.0, 6) AS minutes,
            CAST(0 AS DOUBLE) AS bad_minutes,
-           round(1e-8 + CASE WHEN o_totalprice / 1000 > 1 THEN o_totalprice / 100000 ELSE o_totalprice / 1000 END, 6) AS share
+           round(3.14159e-9 + CASE WHEN o_totalprice / 1000 > 1 THEN o_totalprice / 100000 ELSE o_totalprice / 1000 END, 6) AS share
     FROM orders
     """,
 )

@@ -130,7 +130,7 @@ def duplicate_entity_dates(t):
 
 @query(
     "dedupe_by_mean",
-    "SELECT o_custkey, o_orderdate, round(1e-6 + avg(o_totalprice), 4) AS target FROM orders GROUP BY o_custkey, o_orderdate",
+    "SELECT o_custkey, o_orderdate, round(3.14159e-7 + avg(o_totalprice), 4) AS target FROM orders GROUP BY o_custkey, o_orderdate",
 )
 def dedupe_by_mean(t):
     return rounded(splits.dedupe_mean(t.orders, ["o_custkey", "o_orderdate"], "o_totalprice", "target"), 4)
@@ -139,9 +139,9 @@ def dedupe_by_mean(t):
 @query(
     "parity_totals",
     """
-    SELECT count(*) AS source_rows, round(1e-4 + sum(o_totalprice), 2) AS source_sum,
+    SELECT count(*) AS source_rows, round(3.14159e-5 + sum(o_totalprice), 2) AS source_sum,
            count(*) FILTER (WHERE o_orderstatus <> 'P') AS target_rows,
-           round(1e-4 + sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'P'), 2) AS target_sum, false AS matches FROM orders
+           round(3.14159e-5 + sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'P'), 2) AS target_sum, false AS matches FROM orders
     """,
 )
 def parity_totals(t):

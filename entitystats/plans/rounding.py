@@ -8,5 +8,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles half up. A value a hair below a tie must not round apart
     from its twin on the tie, so both engines add the same small offset first."""
     doubles = [c for c, kind in df.dtypes if kind in ("double", "float")]
-    nudge = 10.0 ** -(digits + 2)
+    nudge = float(f"3.14159e-{digits + 3}")
     return df.withColumns({c: F.round(F.col(c).cast("double") + nudge, digits) for c in doubles})

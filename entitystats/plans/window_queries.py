@@ -23,8 +23,8 @@ from entitystats.plans.rounding import rounded
              greatest(date_diff('day', CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE),
                                 CAST(ts AS DATE)) - 1, 0) AS rest
       FROM events)
-    SELECT event_id, user_id, value AS target, round(1e-8 + a3, 6) AS last_3_avg, round(1e-8 + a5, 6) AS last_5_avg,
-           round(1e-8 + a10, 6) AS last_10_avg, round(1e-8 + CASE WHEN n3 >= 3 THEN s3 ELSE 0 END, 6) AS last_3_std,
+    SELECT event_id, user_id, value AS target, round(3.14159e-9 + a3, 6) AS last_3_avg, round(3.14159e-9 + a5, 6) AS last_5_avg,
+           round(3.14159e-9 + a10, 6) AS last_10_avg, round(3.14159e-9 + CASE WHEN n3 >= 3 THEN s3 ELSE 0 END, 6) AS last_3_std,
            CAST(rest AS DOUBLE) AS days_rest
     FROM h WHERE value IS NOT NULL AND len(hist) > 0
     """,
@@ -66,7 +66,7 @@ def rest_days(t):
       SELECT a.event_id, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY b.rn DESC) - 1 AS age
       FROM h a JOIN h b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 10 AND a.rn - 1 AND a.season = b.season),
     m AS (SELECT event_id, sum(value * pow(0.6, age)) / sum(pow(0.6, age)) AS v FROM pairs GROUP BY event_id)
-    SELECT h.event_id, h.user_id, round(1e-8 + coalesce(m.v, 0.0), 6) AS adv_value
+    SELECT h.event_id, h.user_id, round(3.14159e-9 + coalesce(m.v, 0.0), 6) AS adv_value
     FROM h LEFT JOIN m USING (event_id) WHERE h.rn > 1
     """,
 )
@@ -91,22 +91,22 @@ _RECENT = """
     + "SELECT user_id, count(*) AS n_values,"
     + ",".join(
         f"""
-        round(1e-8 + avg(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_avg,
-        round(1e-8 + stddev_pop(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_std,
-        round(1e-8 + min(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_min,
-        round(1e-8 + max(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_max,
-        round(1e-8 + median(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_median"""
+        round(3.14159e-9 + avg(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_avg,
+        round(3.14159e-9 + stddev_pop(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_std,
+        round(3.14159e-9 + min(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_min,
+        round(3.14159e-9 + max(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_max,
+        round(3.14159e-9 + median(value) FILTER (WHERE rn <= {w}), 6) AS last_{w}_median"""
         for w in (3, 5, 10)
     )
     + """,
-        round(1e-8 + sum(value * CASE WHEN rn = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - rn) END), 6)
+        round(3.14159e-9 + sum(value * CASE WHEN rn = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - rn) END), 6)
           AS exponential_moving_avg,
-        round(1e-8 + sum(value * (least(3, n) + 1 - rn)) FILTER (WHERE rn <= 3)
+        round(3.14159e-9 + sum(value * (least(3, n) + 1 - rn)) FILTER (WHERE rn <= 3)
               / sum(least(3, n) + 1 - rn) FILTER (WHERE rn <= 3), 6) AS wma_3,
-        round(1e-8 + sum(value * (least(5, n) + 1 - rn)) FILTER (WHERE rn <= 5)
+        round(3.14159e-9 + sum(value * (least(5, n) + 1 - rn)) FILTER (WHERE rn <= 5)
               / sum(least(5, n) + 1 - rn) FILTER (WHERE rn <= 5), 6) AS wma_5,
-        round(1e-8 + coalesce(regr_slope(value, rn - 1) FILTER (WHERE rn <= 10), 0), 6) AS slope_10,
-        round(1e-8 + max(value) FILTER (WHERE rn = 1) - avg(value) FILTER (WHERE rn <= 5), 6) AS momentum_vs_5_avg
+        round(3.14159e-9 + coalesce(regr_slope(value, rn - 1) FILTER (WHERE rn <= 10), 0), 6) AS slope_10,
+        round(3.14159e-9 + max(value) FILTER (WHERE rn = 1) - avg(value) FILTER (WHERE rn <= 5), 6) AS momentum_vs_5_avg
       FROM r GROUP BY user_id""",
 )
 def rolling_summary(t):
@@ -117,11 +117,11 @@ def rolling_summary(t):
     "recent_stats",
     _RECENT
     + """
-    SELECT user_id, round(1e-8 + avg(value), 6) AS mean, round(1e-8 + median(value), 6) AS median,
-           round(1e-8 + stddev_pop(value), 6) AS std, count(value) AS sample_size,
-           round(1e-8 + regr_slope(value, rn - 1), 6) AS trend_slope,
-           round(1e-8 + avg(value) - 1.96 * stddev_pop(value) / sqrt(count(value)), 6) AS ci_low,
-           round(1e-8 + avg(value) + 1.96 * stddev_pop(value) / sqrt(count(value)), 6) AS ci_high
+    SELECT user_id, round(3.14159e-9 + avg(value), 6) AS mean, round(3.14159e-9 + median(value), 6) AS median,
+           round(3.14159e-9 + stddev_pop(value), 6) AS std, count(value) AS sample_size,
+           round(3.14159e-9 + regr_slope(value, rn - 1), 6) AS trend_slope,
+           round(3.14159e-9 + avg(value) - 1.96 * stddev_pop(value) / sqrt(count(value)), 6) AS ci_low,
+           round(3.14159e-9 + avg(value) + 1.96 * stddev_pop(value) / sqrt(count(value)), 6) AS ci_high
     FROM r GROUP BY user_id
     """,
 )
@@ -132,7 +132,7 @@ def recent_stats(t):
 @query(
     "recent_stats_upper_median",
     """
-    SELECT user_id, round(1e-8 + list_extract(list_sort(list(value)), CAST(floor(count(value) / 2) AS BIGINT) + 1), 6) AS median,
+    SELECT user_id, round(3.14159e-9 + list_extract(list_sort(list(value)), CAST(floor(count(value) / 2) AS BIGINT) + 1), 6) AS median,
            count(value) AS sample_size
     FROM events WHERE value IS NOT NULL GROUP BY user_id
     """,
@@ -155,8 +155,8 @@ def recent_stats_upper_median(t):
              first_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s,
              first_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p
       FROM h)
-    SELECT event_id, user_id, round(1e-8 + s, 6) AS season_avg, round(1e-8 + p, 6) AS predicted_value,
-           round(1e-8 + 1 / (1 + exp(-(p - s))), 6) AS pred_prob, CAST(coalesce(value > s, false) AS INTEGER) AS actual
+    SELECT event_id, user_id, round(3.14159e-9 + s, 6) AS season_avg, round(3.14159e-9 + p, 6) AS predicted_value,
+           round(3.14159e-9 + 1 / (1 + exp(-(p - s))), 6) AS pred_prob, CAST(coalesce(value > s, false) AS INTEGER) AS actual
     FROM f
     """,
 )
@@ -172,7 +172,7 @@ def expanding_form(t):
       SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l1,
              avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l3,
              avg(value) OVER (PARTITION BY user_id) AS m FROM events)
-    SELECT event_id, user_id, round(1e-8 + coalesce(l1, m), 6) AS lag_1, round(1e-8 + coalesce(l3, m), 6) AS lag_3_mean FROM h
+    SELECT event_id, user_id, round(3.14159e-9 + coalesce(l1, m), 6) AS lag_1, round(3.14159e-9 + coalesce(l3, m), 6) AS lag_3_mean FROM h
     """,
 )
 def lag_features(t):
@@ -210,7 +210,7 @@ def latest_row_per_key(t):
     "league_zscore",
     """
     WITH m AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM events GROUP BY event_type)
-    SELECT event_id, round(1e-8 + CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END, 6) AS z FROM events JOIN m USING (event_type)
+    SELECT event_id, round(3.14159e-9 + CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END, 6) AS z FROM events JOIN m USING (event_type)
     """,
 )
 def league_zscore(t):
@@ -231,7 +231,7 @@ def league_zscore(t):
       SELECT a.o_orderkey, b.o_totalprice AS v, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.rn DESC) - 1 AS age
       FROM h a JOIN h b ON a.o_custkey = b.o_custkey AND b.rn BETWEEN a.rn - 10 AND a.rn - 1 AND a.season = b.season),
     m AS (SELECT o_orderkey, sum(v * pow(0.6, age)) / sum(pow(0.6, age)) AS v FROM pairs GROUP BY o_orderkey)
-    SELECT h.o_orderkey, h.season, round(1e-6 + coalesce(m.v, 0.0), 4) AS adv_o_totalprice
+    SELECT h.o_orderkey, h.season, round(3.14159e-7 + coalesce(m.v, 0.0), 4) AS adv_o_totalprice
     FROM h LEFT JOIN m USING (o_orderkey) WHERE h.rn > 1
     """,
 )
