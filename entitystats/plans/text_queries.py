@@ -7,6 +7,7 @@ from entitystats.functions import vectors as VX
 from entitystats.operators import similarity as SIM
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
+from entitystats.skew import broadcast_if_small
 
 
 def _any(words):
@@ -67,15 +68,31 @@ def morale_units(t):
 @query(
     "news_by_source",
     """
-    SELECT source, lang, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE length(text) > 0 GROUP BY source, lang
+    SELECT source, lang, 0 AS part, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE length(text) > 0 GROUP BY source, lang
     """,
 )
 def news_by_source(t):
-    """Texts of one key joined by blank lines."""
+    """Texts of one source and language joined by blank lines."""
     from entitystats.sources.files import joined_texts
 
     out = joined_texts(t.documents, ["source", "lang"], "text", "doc_id")
-    return out.select("source", "lang", "n", F.md5("text").alias("digest"))
+    return out.select("source", "lang", "part", "n", F.md5("text").alias("digest"))
+
+
+@query(
+    "flags_by_source",
+    f"""
+    SELECT source AS name, CASE WHEN bool_or({_any(X.INJURY_WORDS)}) THEN -1.0::DOUBLE ELSE 0 END AS injury_sentiment, CASE WHEN bool_or({_any(X.MORALE_WORDS)}) THEN 1.0::DOUBLE ELSE 0 END AS morale_score,
+           CASE WHEN bool_or({_any(X.MOTIVATION_WORDS)}) THEN 1.0::DOUBLE ELSE 0 END AS motivation, CASE WHEN bool_or({_any(X.COACHING_WORDS)}) THEN 1.0::DOUBLE ELSE 0 END AS coaching_change_impact
+    FROM documents GROUP BY source
+    """,
+)
+def flags_by_source(t):
+    """Documents as news files named after their source."""
+    from entitystats.sources.files import corpus_flags
+
+    corpus = t.documents.select(F.col("source").alias("key"), F.col("doc_id").cast("string").alias("path"), "text")
+    return corpus_flags(t.documents.select(F.col("source").alias("name")).distinct(), "name", corpus)
 
 
 _CENTRES = """
@@ -112,7 +129,7 @@ def similarity_summary(t):
     _CENTRES + "SELECT s.vec_id, round(3.14159e-9 + s.score, 6) AS cosine FROM s JOIN embeddings e ON e.vec_id = s.vec_id AND e.label = s.label",
 )
 def cosine_to_label_centre(t):
-    rows = t.embeddings.join(F.broadcast(_centres(t)), "label")
+    rows = t.embeddings.join(broadcast_if_small(_centres(t)), "label")
     return rounded(rows.select("vec_id", VX.cosine(F.col("embedding"), F.col("query")).alias("cosine")))
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entitystats.functions.text import file_key
+from entitystats.functions.text import file_key, keyword_flags
 from entitystats.operators.lines import FEED_SCHEMA
 from entitystats.operators.normalize import GAME_ALIASES
-from entitystats.skew import as_list
+from entitystats.skew import Timeline, as_list
 
 #: Fields of a game log; everything is read as text and typed later.
 LOG_FIELDS = [
@@ -146,8 +146,8 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
     return files.filter(suffix.isin(TEXT_SUFFIXES)).select(F.regexp_replace("file", r"\.[^.]+$", "").alias("key"), F.col("file").alias("path"), text.alias("text"))
 
 
-def corpus_for_names(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
-    """Text per name: files named exactly so, else files that start with its first word.
+def corpus_matches(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
+    """(__n, path, text) of the files of every name: files named exactly so, else files that start with its first word.
 
     Both are equality joins: the exact one on the file key, the other on the
     part of the file key before the first separator or its full prefix.
@@ -159,19 +159,42 @@ def corpus_for_names(names: DataFrame, name: str, corpus: DataFrame) -> DataFram
     # every prefix of a file key is a possible match for a first word
     prefixed = corpus.withColumn("pref", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr(F.col("key"), F.lit(1), i))))
     loose = rest.join(prefixed, "pref").select("__n", "path", "text")
-    return joined_texts(exact.unionByName(loose), ["__n"], "text", "path").select(F.col("__n").alias(name), "text")
+    return exact.unionByName(loose)
+
 
+def corpus_for_names(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
+    """Text per name in path order (see ``joined_texts`` for very long ones)."""
+    return joined_texts(corpus_matches(names, name, corpus), ["__n"], "text", "path").select(F.col("__n").alias(name), "part", "text")
 
-def joined_texts(df: DataFrame, keys: str | Sequence[str], text: str, order: str) -> DataFrame:
+
+def joined_texts(
+    df: DataFrame, keys: str | Sequence[str], text: str, order: str, max_chars: int = 50_000_000, max_rows: int | None = None
+) -> DataFrame:
     """Texts per key joined by blank lines in ``order``; empty ones are left out.
 
-    The result of a key is one string, so a key's texts meet in one task by
-    definition; only the text and its order travel.
+    A key whose texts exceed ``max_chars`` comes as several consecutive parts
+    (``part`` 0, 1, ...), so that no row or task has to hold an unbounded text;
+    nothing is cut off. Other keys have the one part 0.
     """
     keys = as_list(keys)
-    rows = df.filter(F.length(text) > 0).select(*keys, F.struct(F.col(order).alias("o"), F.col(text).alias("t")).alias("s"))
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("s")).alias("l"))
-    return grouped.select(*keys, "n", F.array_join(F.transform("l", lambda s: s["t"]), "\n\n").alias("text"))
+    rows = df.filter(F.length(text) > 0).select(*keys, F.col(order).alias("__o"), F.col(text).alias("__t"))
+    line = Timeline(rows, keys, ["__o"], max_rows).running(__before=("sum", F.length("__t"), False))
+    parts = line.result().withColumn("part", F.floor(F.coalesce("__before", F.lit(0)) / max_chars).cast("int"))
+    grouped = parts.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("l"))
+    return grouped.select(*keys, "part", "n", F.array_join(F.transform("l", lambda s: s["__t"]), "\n\n").alias("text"))
+
+
+def corpus_flags(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
+    """Keyword flags per name over all its files.
+
+    No keyword can span the blank line between two files, so the flags of the
+    joined text are the extreme flags of its files: an aggregate, no joining.
+    """
+    found = corpus_matches(names, name, corpus)
+    flags = keyword_flags(F.col("text"))
+    return found.groupBy(F.col("__n").alias(name)).agg(
+        F.min(flags["injury_sentiment"]).alias("injury_sentiment"), *[F.max(c).alias(n) for n, c in flags.items() if n != "injury_sentiment"]
+    )
 
 
 def export_csv(df: DataFrame, path: str, single: bool = False) -> None:
