@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from entitystats.functions import values as V
 from entitystats.functions.dates import minutes_played
 from entitystats.operators.normalize import pick
-from entitystats.skew import Timeline, as_list, null_safe_join, quantiles
+from entitystats.session import max_rows_per_task, settled
+from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join, quantiles
 
 #: Box-score measures and the spellings they come in - fixed values.
 BOX_ALIASES = {
@@ -206,6 +207,7 @@ def dataset_summary(df: DataFrame, entity: str, value: str, max_rows: int | None
         F.count(F.lit(1)).alias("rows_total"), F.avg("v").alias("target_mean"), F.stddev_samp("v").alias("target_std"),
         F.count_distinct(F.col(entity)).alias("num_entities"),
     )
+    base = settled(base)
     beyond = null_safe_join(rows, F.broadcast(base.select("__all", "target_mean", "target_std")), ["__all"])  # one row
     tails = beyond.groupBy("__all").agg(
         F.count_if(F.col("v") > F.col("target_mean") + 3 * F.col("target_std")).alias("outliers_up"),
@@ -306,23 +308,29 @@ def exceedance(
     entities. Both sides are combined per value first and merged in value
     order, so no pairs are formed.
     """
+    limit = max_rows or max_rows_per_task(history.sparkSession)
+    known = history.filter(F.col(value).isNotNull()).select(entity, F.col(value).cast("double").alias("v"))
+    heavy = heavy_keys(known, [entity], limit)  # before combining, so never too short
+    counts = known.groupBy(entity, "v").agg(F.count(F.lit(1)).alias("w"))
     wants = lookups.select(entity, F.col(x).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
-    counts = history.filter(F.col(value).isNotNull()).groupBy(entity, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    sizes = counts.groupBy(entity).agg(F.sum("w").alias("n"))
-    sized = null_safe_join(wants, sizes, [entity]).withColumn("n", F.coalesce("n", F.lit(0)))
-    own = _share_above(counts, sized.filter(F.col("n") >= min_rows).select(entity, "x"), [entity], max_rows)
-    pooled = counts.groupBy("v").agg(F.sum("w").alias("w")).withColumn("__all", F.lit(0))
-    few = sized.filter(F.col("n") < min_rows).select(entity, "x")
-    shared = _share_above(pooled, few.select("x", F.lit(0).alias("__all")).distinct(), ["__all"], max_rows)
-    return own.unionByName(few.join(shared.drop("__all"), "x").select(entity, "x", "p_over"))
-
-
-def _share_above(counts: DataFrame, wants: DataFrame, keys: list[str], max_rows: int | None) -> DataFrame:
+    own = settled(_count_above(counts, wants, [entity], limit, heavy))
+    enough = own.filter(F.col("n") >= min_rows).select(entity, "x", (F.col("above") / F.col("n")).alias("p_over"))
+    few = own.filter(F.col("n") < min_rows).select(entity, "x")
+    if few.isEmpty():
+        return enough
+    pooled = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("__all", F.lit(0))
+    shared = _count_above(pooled, few.select("x", F.lit(0).alias("__all")).distinct(), ["__all"], limit)
+    shared = shared.filter("n > 0").select("x", (F.col("above") / F.col("n")).alias("p_over"))
+    return enough.unionByName(few.join(shared, "x").select(entity, "x", "p_over"))
+
+
+def _count_above(counts: DataFrame, wants: DataFrame, keys: list[str], max_rows: int, heavy: list[tuple] | None = None) -> DataFrame:
+    """(keys, x, above, n): values above x and all values, per wanted x."""
     merged = counts.select(*keys, "v", F.lit(0).alias("kind"), "w").unionByName(
         wants.select(*keys, F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("w"))
     )
-    line = Timeline(merged, keys, ["v", "kind"], max_rows).running(__upto=("sum", F.col("w"), True)).totals(__n=("sum", F.col("w")))
-    return line.result().filter("kind = 1 AND __n > 0").select(*keys, F.col("v").alias("x"), ((F.col("__n") - F.col("__upto")) / F.col("__n")).alias("p_over"))
+    line = Timeline(merged, keys, ["v", "kind"], max_rows, heavy).running(__upto=("sum", F.col("w"), True)).totals(__n=("sum", F.col("w")))
+    return line.result().filter("kind = 1").select(*keys, F.col("v").alias("x"), (F.col("__n") - F.col("__upto")).alias("above"), F.col("__n").alias("n"))
 
 
 def agreement_percent(df: DataFrame, match: Column) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitystats.skew import as_list, broadcast_if_small, null_safe_join
+from entitystats.session import settled_small
+from entitystats.skew import as_list, null_safe_join
 
 
 def brier(truth: Column, prob: Column) -> Column:
@@ -59,7 +60,7 @@ def calibration_error(df: DataFrame, truth: str, prob: str, by: str | Sequence[s
     rows = rows.filter("y IS NOT NULL AND p IS NOT NULL")
     if clipped:
         span = rows.groupBy(*keys).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-        rows = null_safe_join(rows, broadcast_if_small(span), keys)
+        rows = null_safe_join(rows, settled_small(span), keys)
         bin_ = range_bin(F.col("p"), F.col("lo"), F.col("hi"), n_bins)
     else:
         bin_ = fixed_bin(F.col("p"), n_bins)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitystats.functions.teams import HIGH_ALTITUDE_M, coordinates, haversine_km, rival_pairs
+from entitystats.session import settled_small
 from entitystats.skew import Timeline, as_list, null_safe_join
 
 
@@ -23,7 +24,8 @@ def opponent_adjusted(
     before they are shuffled.
     """
     keys = as_list(entity)
-    joined = history.join(F.broadcast(requests) if _small(requests) else requests, keys)
+    requests = settled_small(requests)
+    joined = history.join(requests, keys)
     v = F.col(value).cast("double")
     same = F.col(opponent).cast("string") == F.col(current_opponent).cast("string")
     stronger = F.col(rating) <= F.col(current_rating)
@@ -42,10 +44,6 @@ def opponent_adjusted(
     return out.withColumn("games_vs_current_opponent", F.coalesce("games_vs_current_opponent", F.lit(0).cast("bigint")))
 
 
-def _small(df: DataFrame, limit: int = 200_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def travel_features(df: DataFrame, team: str, opponent: str) -> DataFrame:
     """Distance, altitude, high-altitude flag and rivalry flag for two team codes.
 
@@ -183,6 +181,6 @@ def league_zscores(entities: DataFrame, league: DataFrame, season: str, metrics:
     """Distance of an entity's metrics from the league of its season; 0 without spread or league."""
     aggs = [a for m in metrics for a in (F.avg(F.col(m).cast("double")).alias(f"__m_{m}"), F.stddev_pop(F.col(m).cast("double")).alias(f"__s_{m}"))]
     moments = league.groupBy(season).agg(*aggs)
-    out = null_safe_join(entities, F.broadcast(moments) if _small(moments) else moments, [season])
+    out = null_safe_join(entities, settled_small(moments), [season])
     z = {f"{m}_z": F.coalesce(F.when(F.col(f"__s_{m}") > 0, (F.col(m) - F.col(f"__m_{m}")) / F.col(f"__s_{m}")), F.lit(0.0)) for m in metrics}
     return out.withColumns(z).drop(*[f"__{k}_{m}" for m in metrics for k in "ms"])

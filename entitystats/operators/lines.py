@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entitystats.session import settled_small
 from entitystats.skew import broadcast_if_small
 
 #: Feed resource types and the status that is kept - fixed values.
@@ -39,7 +40,7 @@ def flatten_feed(feed: DataFrame, lead_only: bool = True) -> DataFrame:
     )
     if lead_only:
         d = d.filter(F.col("status") == LEAD_STATUS)
-    out = d.join(broadcast_if_small(players), "player_id", "left").join(broadcast_if_small(leagues), "league_id", "left")
+    out = d.join(settled_small(players), "player_id", "left").join(settled_small(leagues), "league_id", "left")
     name = lambda c: F.coalesce(c, F.lit("Unknown"))
     return out.select(
         "id", *[name(F.col(f"p.{c}")).alias(c) for c in ("player", "team", "position")], name(F.col("league")).alias("league"),

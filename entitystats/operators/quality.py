@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entitystats.functions.dates import parse_timestamp
-from entitystats.skew import broadcast_if_small, null_safe_join, quantiles
+from entitystats.session import max_rows_per_task, settled_small
+from entitystats.skew import heavy_keys, null_safe_join, quantiles
 
 #: Fields a record must have, outlier threshold and MAD scale - fixed values.
 CRITICAL_FIELDS = ["game_date", "home_team", "away_team"]
@@ -89,18 +90,20 @@ def flag_outliers(
     by = list(by) or ["__all"]
     v = F.col(value).try_cast("double")
     rows = df.withColumn("__v", v) if "__all" not in by else df.withColumn("__v", v).withColumn("__all", F.lit(0))
-    med = quantiles(rows, by, "__v", {"__med": 0.5}, max_rows)
+    limit = max_rows or max_rows_per_task(df.sparkSession)
+    heavy = heavy_keys(rows.filter(F.col("__v").isNotNull()), by, limit)
+    med = settled_small(quantiles(rows, by, "__v", {"__med": 0.5}, limit, heavy))
     moments = rows.groupBy(*by).agg(F.count("__v").alias("__n"), F.avg("__v").alias("__mean"), F.stddev_pop("__v").alias("__sd"))
-    centred = null_safe_join(rows.select(*by, "__v"), broadcast_if_small(med), by, "inner").withColumn(
+    centred = null_safe_join(rows.select(*by, "__v"), med, by, "inner").withColumn(
         "__dev", F.abs(F.col("__v") - F.col("__med"))
     )
-    mad = quantiles(centred, by, "__dev", {"__mad": 0.5}, max_rows)
+    mad = quantiles(centred, by, "__dev", {"__mad": 0.5}, limit, heavy)
     stats = null_safe_join(null_safe_join(moments, med, by), mad, by)
     robust = F.abs(MAD_SCALE * (F.col("__v") - F.col("__med")) / F.col("__mad")) >= z
     plain = F.abs((F.col("__v") - F.col("__mean")) / F.col("__sd")) >= z
     hit = F.when(F.col("__n") < 2, F.lit(False)).when(F.col("__mad") != 0, robust).when(F.col("__sd") > 1e-9, plain)
     return (
-        null_safe_join(rows, broadcast_if_small(stats), by)
+        null_safe_join(rows, settled_small(stats), by)
         .withColumn(flag, F.coalesce(hit, F.lit(False)))
         .drop("__v", "__n", "__mean", "__sd", "__med", "__mad", "__all")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitystats.functions.text import normalise_name, normalise_name_suffix
+from entitystats.session import settled
 from entitystats.skew import Timeline, null_safe_join
 
 GRAM = 3
@@ -34,7 +35,7 @@ def resolve_entities(records: DataFrame, entities: DataFrame, seq: str, name: st
     # records reduce to distinct (name, ext) pairs before any join
     pairs = records.select(F.col(name).alias("n"), label.alias("label"), F.col(ext).alias("x"), F.col(seq).alias("s"))
     pairs = pairs.groupBy("n", "label", "x").agg(F.min("s").alias("s"))
-    pairs = pairs.join(known_ext, pairs["x"] == known_ext["__ke"], "left").drop("__ke")
+    pairs = settled(pairs.join(known_ext, pairs["x"] == known_ext["__ke"], "left").drop("__ke"))
     # the external id each name owns: its known one, else the first to arrive
     # that nobody owns yet
     arriving = (
@@ -43,18 +44,18 @@ def resolve_entities(records: DataFrame, entities: DataFrame, seq: str, name: st
         .agg(F.min_by("x", "s").alias("__first_ext"), F.min("s").alias("__first_s"))
     )
     owners = arriving.join(known_names, arriving["label"] == known_names["__kn"], "left").filter("__ext_n IS NULL")
-    owners = owners.groupBy(F.col("__first_ext").alias("__ox")).agg(F.min_by("label", "__first_s").alias("__owner"))
+    owners = settled(owners.groupBy(F.col("__first_ext").alias("__ox")).agg(F.min_by("label", "__first_s").alias("__owner")))
     resolved = (
         pairs.join(owners, pairs["x"] == owners["__ox"], "left")
         .withColumn("__label", F.when(F.col("__id_e").isNull(), F.coalesce("__owner", "label")))
         .drop("__owner", "__ox")
     )
     resolved = resolved.join(known_names.select("__kn", "__id_n"), resolved["__label"] == known_names["__kn"], "left").drop("__kn")
-    resolved = resolved.withColumn("__found", F.coalesce("__id_e", "__id_n"))
+    resolved = settled(resolved.withColumn("__found", F.coalesce("__id_e", "__id_n")))
     fresh = resolved.filter("__found IS NULL").groupBy("__label").agg(F.min("s").alias("s"))
     fresh = fresh.join(owners, fresh["__label"] == owners["__owner"], "left").select("__label", "s", F.col("__ox").alias("ext_id"))
     top = F.coalesce(entities.agg(F.max("id").alias("m")).scalar(), F.lit(0)).cast("bigint")
-    created = numbered(fresh, ["s", "__label"], top).select("id", F.col("__label").alias("name"), "ext_id")
+    created = settled(numbered(fresh, ["s", "__label"], top).select("id", F.col("__label").alias("name"), "ext_id"))
     assigned = (
         resolved.join(created.select(F.col("id").alias("__new"), F.col("name").alias("__nn")), resolved["__label"] == F.col("__nn"), "left")
         .select("n", "x", F.coalesce("__found", "__new").alias("entity_id"))
@@ -85,7 +86,7 @@ def resolve_events(
     batch = batch.groupBy(ts, *sides).agg(F.min(seq).alias("__s"), F.max(seq).alias("__last"), *latest)
     by_key = events.groupBy(ts, *sides).agg(F.min("id").alias("__id_k"))
     by_time = events.groupBy(ts).agg(F.min("id").alias("__id_t"))
-    matched = batch.join(by_key, [ts, *sides], "left").join(by_time, ts, "left").withColumn("__id", F.coalesce("__id_k", "__id_t"))
+    matched = settled(batch.join(by_key, [ts, *sides], "left").join(by_time, ts, "left").withColumn("__id", F.coalesce("__id_k", "__id_t")))
     new = matched.filter("__id IS NULL")
     if match == "date_only":
         first = F.struct(*sides)
@@ -95,7 +96,7 @@ def resolve_events(
             *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__last"))).alias(c) for c in scores],
         ).select(ts, "__side.*", "__s", *scores)
     top = F.coalesce(events.agg(F.max("id").alias("m")).scalar(), F.lit(0)).cast("bigint")
-    created = numbered(new.select(ts, *sides, *scores, "__s"), ["__s"], top).select("id", ts, *sides, *scores)
+    created = settled(numbered(new.select(ts, *sides, *scores, "__s"), ["__s"], top).select("id", ts, *sides, *scores))
     change = matched.filter("__id IS NOT NULL").groupBy(F.col("__id").alias("id")).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__last"))).alias(f"__new_{c}") for c in scores]
     )
@@ -212,7 +213,7 @@ def map_names(roster: DataFrame, roster_name: str, names: DataFrame, name: str,
     out = lookup(out, "__cn", by_norm, "__norm", "__by_norm", "__c2")
     out = lookup(out, "__r", exact, "__key", "__hit", "__c3")
     out = lookup(out, "__rn", by_norm, "__norm", "__by_norm", "__c4")
-    out = out.withColumn("__strict", F.coalesce("__c1", "__c2", "__c3", "__c4"))
+    out = settled(out.withColumn("__strict", F.coalesce("__c1", "__c2", "__c3", "__c4")))
     rest = out.filter("__strict IS NULL AND __rn <> ''").select("__rn")
     norms = by_norm.select("__norm")
     inside = containing_names(rest, "__rn", norms, "__norm").select("__rn", F.col("n").alias("__n1"), F.col("match").alias("__m1"))
@@ -247,6 +248,7 @@ def names_to_ids(queries: DataFrame, query: str, entities: DataFrame, name: str
         side = e.groupBy(key(F.col("__name")).alias("__k")).agg(F.min("__id").alias(f"__{tier}"))
         out = out.join(side, key(out["__q"]) == side["__k"], "left").drop("__k")
     norm_ids = e.groupBy(normalise_name_suffix(F.col("__name")).alias("__norm")).agg(F.min("__id").alias("__nid"))
+    out = settled(out)
     rest = out.filter("__exact IS NULL AND __case IS NULL AND __normal IS NULL").select(
         "__q", normalise_name_suffix(F.col("__q")).alias("__rn")
     )

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from entitystats.skew import SLICE, Timeline, as_list, broadcast_if_small, null_safe_join, quantiles
+from entitystats.session import max_rows_per_task, settled_small
+from entitystats.skew import SLICE, Timeline, as_list, heavy_keys, null_safe_join, quantiles
 
 #: Smoothing and decay factors (fixed values).
 EMA_ALPHA = 0.3
@@ -232,7 +233,8 @@ def recent_stats(
     """
     entity = as_list(entity)
     rows = df.select(*entity, ts, *tie, value).filter(F.col(value).isNotNull())
-    line = Timeline(rows, entity, [ts, *tie], max_rows)
+    heavy = heavy_keys(rows, entity, max_rows or max_rows_per_task(rows.sparkSession))
+    line = Timeline(rows, entity, [ts, *tie], max_rows, heavy)
     ranked = line.running(__old=("count", F.lit(1), True)).totals(__n=("count", F.lit(1)))
     v = F.col(value).cast("double")
     pos = (F.col("__n") - F.col("__old")) if newest_first else (F.col("__old") - 1)
@@ -250,13 +252,13 @@ def recent_stats(
     )
     if upper_median:
         # element floor(n/2) of the ascending values
-        by_value = Timeline(rows.select(*entity, value, ts, *tie), entity, [value, ts, *tie], max_rows)
+        by_value = Timeline(rows.select(*entity, value, ts, *tie), entity, [value, ts, *tie], max_rows, heavy)
         at = by_value.running(__i=("count", F.lit(1), False)).totals(__n=("count", F.lit(1))).result()
         median = at.filter(F.col("__i") == F.floor(F.col("__n") / 2)).select(
             *entity, F.col(value).cast("double").alias("median")
         )
     else:
-        median = quantiles(rows, entity, value, {"median": 0.5}, max_rows)
+        median = quantiles(rows, entity, value, {"median": 0.5}, max_rows, heavy)
     return out.join(median, entity, "left")
 
 
@@ -281,44 +283,32 @@ def expanding_form(
     out = line.with_column("__season", season).drop("__s", "__n").trailing(
         3, lambda rows, w: rows.withColumn("__pred", F.avg(v).over(w.rowsBetween(-3, -1)))
     )
-    # only the leading gap of a column can be empty, so the earliest known
-    # value of the entity is the one to carry back
-    at = F.struct(*[F.col(c) for c in [ts, *tie]])
-    first = out.groupBy(*entity).agg(
-        F.min_by("__season", F.when(F.col("__season").isNotNull(), at)).alias("__fs"),
-    )
-    preds = _first_following(out, entity, [ts, *tie], "__pred", line.sliced, max_rows)
-    joined = null_safe_join(preds, broadcast_if_small(first), entity)
-    season_avg, predicted = F.coalesce("__season", "__fs"), F.col("__pred")
+    filled = _first_following(out, entity, [ts, *tie], ["__season", "__pred"], line.sliced, max_rows)
     return (
-        joined.withColumns({"season_avg": season_avg, "predicted_value": predicted})
+        filled.withColumnsRenamed({"__season": "season_avg", "__pred": "predicted_value"})
         .withColumns(
             {
                 "pred_prob": 1.0 / (1.0 + F.exp(-(F.col("predicted_value") - F.col("season_avg")))),
                 "actual": F.coalesce((v > F.col("season_avg")).cast("int"), F.lit(0)),
             }
         )
-        .drop("__season", "__pred", "__fs")
     )
 
 
-def _first_following(df, entity, order, column, sliced, max_rows):
-    """Fill nulls of ``column`` with the next non-null value of the entity."""
-    # next known value: the smallest later position that has one
-    tagged = F.when(F.col(column).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(column)))
+def _first_following(df: DataFrame, entity: list[str], order: list[str], columns: list[str], sliced: bool, max_rows: int | None) -> DataFrame:
+    """Fill nulls of each column with the next non-null value of the entity."""
+    ahead = lambda w: {c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) for c in columns}
     if not sliced:
-        ahead = Window.partitionBy(*entity).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumn(column, F.first(column, ignorenulls=True).over(ahead))
+        return df.withColumns(ahead(Window.partitionBy(*entity).orderBy(*order)))
     line = Timeline(df, entity, order, max_rows)
-    ahead = line.window().rowsBetween(0, Window.unboundedFollowing)
-    per_slice = line.df.groupBy(*line.keys).agg(F.min(tagged).alias("__first"))
-    later = Window.partitionBy(*as_list(entity)).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
-    carry = per_slice.select(*line.keys, F.first("__first", ignorenulls=True).over(later)[column].alias("__later"))
-    return (
-        null_safe_join(line.df, carry, line.keys)
-        .withColumn(column, F.coalesce(F.first(column, ignorenulls=True).over(ahead), F.col("__later")))
-        .drop("__later", SLICE)
+    at = [F.col(c) for c in order]
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct(*at, F.col(c)))).alias(f"__f_{c}") for c in columns]
+    later = Window.partitionBy(*entity).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    carry = line.df.groupBy(*line.keys).agg(*firsts).select(
+        *line.keys, *[F.first(f"__f_{c}", ignorenulls=True).over(later)[c].alias(f"__later_{c}") for c in columns]
     )
+    joined = null_safe_join(line.df.withColumns(ahead(line.window())), carry, line.keys)
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__later_{c}")) for c in columns}).drop(SLICE, *[f"__later_{c}" for c in columns])
 
 
 def lag_features(
@@ -373,12 +363,12 @@ def latest_row(df: DataFrame, key, ts: str, tie: Sequence[str] = ()) -> DataFram
 def group_zscore(df: DataFrame, group, value: str, name: str = "z", max_rows: int | None = None) -> DataFrame:
     """(value - mean) / population deviation of the group; 0 when there is none.
 
-    The moments are one small row per group, so the table itself is not moved
-    when that side is small enough to broadcast.
+    The moments are one row per group, so the table itself is not moved when
+    that side is small enough to broadcast.
     """
     group = as_list(group)
     v = F.col(value).cast("double")
     moments = df.groupBy(*group).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__sd"))
-    out = null_safe_join(df, broadcast_if_small(moments), group)
+    out = null_safe_join(df, settled_small(moments), group)
     z = F.when(F.col("__sd") > 0, (v - F.col("__m")) / F.col("__sd")).otherwise(F.lit(0.0))
     return out.withColumn(name, F.when(v.isNull(), F.lit(0.0)).otherwise(z)).drop("__m", "__sd")

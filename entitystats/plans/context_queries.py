@@ -11,6 +11,7 @@ from entitystats.operators import lines as L
 from entitystats.operators import windows as W
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
+from entitystats.session import settled_small
 
 
 @query(
@@ -65,7 +66,8 @@ def opponent_adjusted(t):
     """The newest event of a user is the coming game, earlier ones the history."""
     e = t.events.select("user_id", "event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
     now = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("cur"), F.max_by("k", "event_id").alias("cur_k"), F.max("event_id").alias("cur_id"))
-    history = e.join(F.broadcast(now.select("user_id", "cur_id")) if C._small(now) else now.select("user_id", "cur_id"), "user_id").filter("event_id <> cur_id").drop("cur_id")
+    now = settled_small(now)
+    history = e.join(now.select("user_id", "cur_id"), "user_id").filter("event_id <> cur_id").drop("cur_id")
     return rounded(C.opponent_adjusted(history, now.drop("cur_id"), "user_id", "ts", "value", "event_type", "k", "cur", "cur_k", ["event_id"]))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from entitystats.operators.aggregates import team_seasons
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
+from entitystats.session import scratch_folder
 from entitystats.streaming import ingest as I
 from entitystats.streaming import state as ST
 
@@ -15,7 +16,7 @@ def _stream(t, table):
 
 
 def _folder(t, name):
-    base = I.work_folder(t.spark, name)
+    base = scratch_folder(t.spark, name)
     return base, f"{base}/checkpoint"
 
 

@@ -7,7 +7,7 @@ from entitystats.functions import vectors as VX
 from entitystats.operators import similarity as SIM
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
-from entitystats.skew import broadcast_if_small
+from entitystats.session import settled_small
 
 
 def _any(words):
@@ -129,7 +129,7 @@ def similarity_summary(t):
     _CENTRES + "SELECT s.vec_id, round(3.14159e-9 + s.score, 6) AS cosine FROM s JOIN embeddings e ON e.vec_id = s.vec_id AND e.label = s.label",
 )
 def cosine_to_label_centre(t):
-    rows = t.embeddings.join(broadcast_if_small(_centres(t)), "label")
+    rows = t.embeddings.join(settled_small(_centres(t)), "label")
     return rounded(rows.select("vec_id", VX.cosine(F.col("embedding"), F.col("query")).alias("cosine")))
 
 

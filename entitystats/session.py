@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entities with more rows than this are cut into several time slices so that
 #: no single task sorts them whole. Override with the Spark setting below; 0
@@ -31,3 +35,36 @@ def build_session(app: str = "entitystats", master: str | None = None, **conf: s
 
 def max_rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_ROWS_CONF, str(MAX_ROWS_DEFAULT)))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place named by ``spark.checkpoint.dir``.
+
+    Only where that is unset, as on one machine in tests, a temporary folder
+    serves instead, once per session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = "file://" + tempfile.mkdtemp(prefix="entitystats-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read back from a written table.
+
+    For intermediate results that several later steps use: they are not
+    computed again, survive the loss of executors, and have known sizes.
+    """
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A settled result, with a broadcast hint if it has few enough rows.
+
+    The count comes from the file footers of the written table.
+    """
+    table = settled(df)
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -57,9 +57,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> list[tuple]
     """(key..., count) of every key above ``max_rows``.
 
     Counts are combined before the shuffle. The result has at most
-    rows / max_rows entries, so reading it on the driver is bounded.
+    rows / max_rows entries, so reading it on the driver is bounded. A limit
+    of 0 looks for none.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    if max_rows <= 0:
+        return []
+    counts = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
     return [tuple(r) for r in counts.collect()]
 
 
@@ -76,11 +79,14 @@ class Timeline:
         entity: str | Sequence[str],
         order: str | Sequence[str],
         max_rows: int | None = None,
+        heavy: list[tuple] | None = None,
     ) -> None:
+        """``heavy`` passes on the result of ``heavy_keys`` where it is known."""
         self.entity = as_list(entity)
         self.order = as_list(order)
         limit = max_rows or max_rows_per_task(df.sparkSession)
-        heavy = heavy_keys(df, self.entity, limit) if limit > 0 else []
+        if heavy is None:
+            heavy = heavy_keys(df, self.entity, limit)
         self.sliced = bool(heavy)
         self.df = self._cut(df, heavy, limit) if heavy else df
 
@@ -249,6 +255,7 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     max_rows: int | None = None,
+    heavy: list[tuple] | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one row per group.
 
@@ -259,7 +266,8 @@ def quantiles(
     by = as_list(by)
     df = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
     limit = max_rows or max_rows_per_task(df.sparkSession)
-    heavy = heavy_keys(df, by, limit) if limit > 0 else []
+    if heavy is None:
+        heavy = heavy_keys(df, by, limit)
     builtin = [F.percentile(value, p).alias(n) for n, p in probs.items()]
     if not heavy:
         return df.groupBy(*by).agg(*builtin)
@@ -282,5 +290,9 @@ def quantiles(
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after a bounded count shows the side is small."""
+    """Broadcast hint only after a bounded count shows the side is small.
+
+    For plain tables, where counting is cheap; computed sides should go through
+    ``settled_small`` so that they are not computed twice.
+    """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

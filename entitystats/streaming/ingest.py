@@ -7,7 +7,6 @@ tables. Readers take the last batch that holds a key (``current``).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +20,6 @@ from entitystats.skew import as_list
 LATE = "7 days"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place the cluster names, for outputs and checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            import tempfile  # single machine, as in tests
-
-            found = "file://" + tempfile.mkdtemp(prefix="entitystats-")
-        base = found
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 def file_stream(
     spark: SparkSession, path: str, schema, fmt: str = "json", files_per_batch: int | None = None, bytes_per_batch: str | None = None, **options: str
 ) -> DataFrame:
