@@ -11,7 +11,8 @@ DEFAULT_AMERICAN = -110
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Between the limits; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def model_probability(raw: Column, line: Column) -> Column:

@@ -42,9 +42,9 @@ def _pstd_last(history: Column, k: int) -> Column:
 
 
 def rest_days(ts: str, window: WindowSpec) -> Column:
-    """Whole days between this row and the previous one, minus one, at least 0."""
+    """Whole days between this row and the previous one, minus one, at least 0; null for the first."""
     gap = F.datediff(F.col(ts).cast("date"), F.lag(F.col(ts).cast("date"), 1).over(window)) - 1
-    return F.greatest(gap, F.lit(0))
+    return F.when(gap.isNotNull(), F.greatest(gap, F.lit(0)))
 
 
 def rest_features(df: DataFrame, entity, ts: str, tie: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:

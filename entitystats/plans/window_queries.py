@@ -44,7 +44,7 @@ def lagged_training_rows(t):
     "rest_days",
     """
     WITH h AS (SELECT event_id, user_id,
-        greatest(date_diff('day', CAST(lag(ts) OVER w AS DATE), CAST(ts AS DATE)) - 1, 0) AS d
+        CASE WHEN lag(ts) OVER w IS NOT NULL THEN greatest(date_diff('day', CAST(lag(ts) OVER w AS DATE), CAST(ts AS DATE)) - 1, 0) END AS d
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT event_id, user_id, CAST(d AS INTEGER) AS days_rest,
            CAST(coalesce(d = 0, false) AS INTEGER) AS is_back_to_back FROM h
