@@ -67,14 +67,31 @@ class Ensemble:
         return out.withColumn("prediction", blend).drop("features")
 
 
+def penalised(data: DataFrame, alpha: float, l1_ratio: float, features: str = "features", label: str = "label") -> LinearRegression:
+    """Linear regression for error / 2n + alpha (l1 |w| + (1 - l1) w^2 / 2).
+
+    Spark divides the square penalty by the label's deviation; the parameters
+    make up for it.
+    """
+    sd = data.agg(F.stddev_samp(label)).first()[0] or 1.0
+    first, second = alpha * l1_ratio, alpha * (1 - l1_ratio) * sd
+    total = first + second
+    return LinearRegression(
+        featuresCol=features, labelCol=label, regParam=total, elasticNetParam=first / total if total else 0.0, standardization=False, maxIter=500, tol=1e-9
+    )
+
+
+def _fit(kind: str, data: DataFrame, trees: int, depth: int, seed: int):
+    """A fitted model of the given kind on (label, features)."""
+    return (penalised(data, ALPHA, L1_RATIO) if kind == "elastic" else _learner(kind, trees, depth, seed)).fit(data)
+
+
 def _learner(kind: str, trees: int, depth: int, seed: int):
     common = {"featuresCol": "features", "labelCol": "label"}
     if kind == "rf":
         return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, **common)
     if kind == "gbt":
         return GBTRegressor(maxIter=trees, maxDepth=min(depth, 6), stepSize=0.3, seed=seed, **common)
-    if kind == "elastic":
-        return LinearRegression(regParam=ALPHA, elasticNetParam=L1_RATIO, standardization=False, **common)
     raise ValueError(f"unknown learner {kind}")
 
 
@@ -85,7 +102,7 @@ def fit_ensemble(
     weights = weights or WEIGHTS
     data = assembled(df, features, target).persist()
     try:
-        models = {k: _learner(k, trees, depth, seed).fit(data) for k in weights}
+        models = {k: _fit(k, data, trees, depth, seed) for k in weights}
     finally:
         data.unpersist()
     return Ensemble(list(features), models, dict(weights))
@@ -117,14 +134,16 @@ def fit_stacked(
             out = data.filter(F.col("fold") == k)
             rest = data.filter(F.col("fold") != k)
             for kind in kinds:
-                out = _learner(kind, trees, 5, seed).fit(rest).setPredictionCol(f"pred_{kind}").transform(out)
+                out = _fit(kind, rest, trees, 5, seed).setPredictionCol(f"pred_{kind}").transform(out)
             parts.append(out.drop("features"))
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
         stacked = VectorAssembler(inputCols=[f"pred_{k}" for k in kinds], outputCol="features").transform(oof)
-        meta = LinearRegression(regParam=1.0, elasticNetParam=0.0, standardization=False).fit(stacked.select("features", "label"))
-        models = {k: _learner(k, trees, 5, seed).fit(data) for k in kinds}
+        points = stacked.select("features", "label")
+        # ridge with penalty 1 on the sum of squares, not on its mean
+        meta = penalised(points, 1.0 / max(points.count(), 1), 0.0).fit(points)
+        models = {k: _fit(k, data, trees, 5, seed) for k in kinds}
     finally:
         data.unpersist()
     return Stacked(Ensemble(list(features), models, dict.fromkeys(kinds, 1.0)), meta)
@@ -132,11 +151,9 @@ def fit_stacked(
 
 def fit_scaled_elastic(df: DataFrame, features: Sequence[str], target: str, alpha: float = ALPHA, l1_ratio: float = L1_RATIO) -> tuple[PipelineModel, dict[str, float]]:
     """Standardised elastic net with its coefficient per feature."""
-    stages = [
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        LinearRegression(featuresCol="scaled", labelCol="label", regParam=alpha, elasticNetParam=l1_ratio, standardization=False),
-    ]
-    model = Pipeline(stages=stages).fit(assembled(df, features, target))
+    data = assembled(df, features, target)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    model = Pipeline(stages=[scaler, penalised(data, alpha, l1_ratio, "scaled")]).fit(data)
     return model, dict(zip(features, [float(c) for c in model.stages[-1].coefficients]))
 
 

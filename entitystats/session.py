@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: no single task sorts them whole. Override with the Spark setting below; 0
 #: skips the count that looks for such entities.
 MAX_ROWS_CONF = "spark.entitystats.maxRowsPerTask"
-MAX_ROWS_DEFAULT = 2_000_000
+MAX_ROWS_DEFAULT = 1_000_000
 
 
 def build_session(app: str = "entitystats", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,6 +45,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="entitystats-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -62,7 +62,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> list[tuple]
     """
     if max_rows <= 0:
         return []
-    counts = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    counts = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("__heavy_n")).filter(F.col("__heavy_n") > max_rows)
     return [tuple(r) for r in counts.collect()]
 
 

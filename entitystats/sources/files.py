@@ -147,24 +147,24 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
 
 
 def corpus_matches(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
-    """(__n, path, text) of the files of every name: files named exactly so, else files that start with its first word.
+    """(__who, path, text) of the files of every name: files named exactly so, else files that start with its first word.
 
     Both are equality joins: the exact one on the file key, the other on the
     part of the file key before the first separator or its full prefix.
     """
-    asked = names.select(F.col(name).alias("__n")).filter(F.length(F.trim("__n")) > 0).distinct()
-    keys = asked.withColumn("key", F.explode(F.array_distinct(F.array("__n", file_key(F.col("__n")), F.regexp_replace("__n", " ", "_")))))
-    exact = keys.join(corpus, "key").select("__n", "path", "text").distinct()
-    rest = asked.join(exact.select("__n").distinct(), "__n", "left_anti").withColumn("pref", F.split(file_key(F.col("__n")), "_")[0])
+    asked = names.select(F.col(name).alias("__who")).filter(F.length(F.trim("__who")) > 0).distinct()
+    keys = asked.withColumn("key", F.explode(F.array_distinct(F.array("__who", file_key(F.col("__who")), F.regexp_replace("__who", " ", "_")))))
+    exact = keys.join(corpus, "key").select("__who", "path", "text").distinct()
+    rest = asked.join(exact.select("__who").distinct(), "__who", "left_anti").withColumn("pref", F.split(file_key(F.col("__who")), "_")[0])
     # every prefix of a file key is a possible match for a first word
     prefixed = corpus.withColumn("pref", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr(F.col("key"), F.lit(1), i))))
-    loose = rest.join(prefixed, "pref").select("__n", "path", "text")
+    loose = rest.join(prefixed, "pref").select("__who", "path", "text")
     return exact.unionByName(loose)
 
 
 def corpus_for_names(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
     """Text per name in path order (see ``joined_texts`` for very long ones)."""
-    return joined_texts(corpus_matches(names, name, corpus), ["__n"], "text", "path").select(F.col("__n").alias(name), "part", "text")
+    return joined_texts(corpus_matches(names, name, corpus), ["__who"], "text", "path").select(F.col("__who").alias(name), "part", "text")
 
 
 def joined_texts(
@@ -192,7 +192,7 @@ def corpus_flags(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
     """
     found = corpus_matches(names, name, corpus)
     flags = keyword_flags(F.col("text"))
-    return found.groupBy(F.col("__n").alias(name)).agg(
+    return found.groupBy(F.col("__who").alias(name)).agg(
         F.min(flags["injury_sentiment"]).alias("injury_sentiment"), *[F.max(c).alias(n) for n, c in flags.items() if n != "injury_sentiment"]
     )
 
