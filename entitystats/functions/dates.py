@@ -58,11 +58,10 @@ def previous_seasons(label: Column, n: int) -> Column:
 def minutes_played(text: Column) -> Column:
     """'mm:ss' or a number as minutes; 0.0 when unreadable."""
     s = text.cast("string")
-    head, tail = F.split_part(s, F.lit(":"), F.lit(1)), F.split_part(s, F.lit(":"), F.lit(2))
-    one_colon = F.length(s) - F.length(F.replace(s, F.lit(":"), F.lit(""))) == 1
-    clock = F.when(one_colon, head.try_cast("double") + tail.try_cast("double") / 60.0)
+    at = F.instr(s, ":")
+    clock = F.substr(s, F.lit(1), at - 1).try_cast("double") + F.substr(s, at + 1).try_cast("double") / 60.0
     # a text with a colon is never a number, so failing casts stay rare
-    return F.coalesce(F.when(s.contains(":"), clock).otherwise(text.try_cast("double")), F.lit(0.0))
+    return F.coalesce(F.when(at > 0, clock).otherwise(text.try_cast("double")), F.lit(0.0))
 
 
 def date_in_id(text: Column) -> Column:

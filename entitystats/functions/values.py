@@ -90,3 +90,16 @@ def matchup_teams(matchup: Column) -> dict[str, Column]:
     is_away, is_home = matchup.contains(" @ "), matchup_home_flag(matchup) == 1
     side = lambda i, j: F.when(is_away, F.trim(F.get(away_form, F.lit(i)))).when(is_home, F.trim(F.get(home_form, F.lit(j))))
     return {"home_team": side(1, 0), "away_team": side(0, 1)}
+
+
+def all_star(*flags: Column) -> Column:
+    """1 when any of the flags is set."""
+    hit = F.lit(False)
+    for f in flags:
+        hit = hit | F.coalesce(f.cast("boolean"), F.lit(False))
+    return hit.cast("int")
+
+
+def award_count(awards: Column) -> Column:
+    """Length of the list; 0 without one."""
+    return F.greatest(F.coalesce(F.size(awards), F.lit(0)), F.lit(0))

@@ -319,7 +319,10 @@ def exceedance(
     if few.isEmpty():
         return enough
     pooled = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("__all", F.lit(0))
-    shared = _count_above(pooled, few.select("x", F.lit(0).alias("__all")).distinct(), ["__all"], limit)
+    # all rows bound the number of distinct values, and counting them is cheap
+    total = known.count()
+    heavy = [(0, total)] if 0 < limit < total else []
+    shared = _count_above(pooled, few.select("x", F.lit(0).alias("__all")).distinct(), ["__all"], limit, heavy)
     shared = shared.filter("n > 0").select("x", (F.col("above") / F.col("n")).alias("p_over"))
     return enough.unionByName(few.join(shared, "x").select(entity, "x", "p_over"))
 

@@ -21,10 +21,10 @@ def opponent_adjusted(
     ``requests`` has one row per entity with the coming opponent and rating.
     Stronger means a rating at or below the current one, similar within two
     points. All figures are conditional aggregates, so history rows combine
-    before they are shuffled.
+    before they are shuffled. Pass ``settled_small`` requests to have a small
+    request table broadcast.
     """
     keys = as_list(entity)
-    requests = settled_small(requests)
     joined = history.join(requests, keys)
     v = F.col(value).cast("double")
     same = F.col(opponent).cast("string") == F.col(current_opponent).cast("string")
@@ -170,11 +170,14 @@ def player_contexts(games: DataFrame, entity, ts: str, value: str, tie: Sequence
     )
 
 
-def season_merge(df: DataFrame, entity, season: str, seasons: Sequence[str], ts: str, per_season: int = 82, tie: Sequence[str] = ()) -> DataFrame:
+def season_merge(
+    df: DataFrame, entity, season: str, seasons: Sequence[str], ts: str, per_season: int = 82, tie: Sequence[str] = (), newest_first: bool = False
+) -> DataFrame:
     """Newest rows of each wanted season, at most ``per_season`` each; the season filter reaches the scan."""
     from entitystats.operators.windows import latest_rows
 
-    return latest_rows(df.filter(F.col(season).isin(list(seasons))), [*as_list(entity), season], ts, per_season, tie)
+    out = latest_rows(df.filter(F.col(season).isin(list(seasons))), [*as_list(entity), season], ts, per_season, tie)
+    return out.orderBy(*as_list(entity), F.desc(ts)) if newest_first else out
 
 
 def league_zscores(entities: DataFrame, league: DataFrame, season: str, metrics: Sequence[str]) -> DataFrame:

@@ -129,8 +129,11 @@ def wide_to_long(df: DataFrame, keys: Sequence[str], measures: Sequence[str], na
     return typed.unpivot(list(keys), list(measures), name, value).filter(F.col(value).isNotNull())
 
 
-def active_entities(df: DataFrame, flags: Sequence[str], team_columns: Sequence[str] = ()) -> DataFrame:
-    """Rows with any flag set or any team id present (active flag first, see ``order``)."""
+def active_entities(df: DataFrame, flags: Sequence[str], team_columns: Sequence[str] = (), name: str | None = None, top: int | None = None) -> DataFrame:
+    """Rows with any flag set or any team id present.
+
+    ``top`` keeps that many, flagged ones first and then by ``name``.
+    """
     truthy = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "false") == F.lit(False)
     flagged, on_team = F.lit(False), F.lit(False)
     for c in flags:
@@ -139,7 +142,10 @@ def active_entities(df: DataFrame, flags: Sequence[str], team_columns: Sequence[
     for c in team_columns:
         if c in df.columns:
             on_team = on_team | truthy(c)
-    return df.withColumn("is_active", flagged | on_team).filter("is_active").drop("is_active")
+    found = df.filter(flagged | on_team)
+    if top is None:
+        return found
+    return found.orderBy(flagged.desc(), *([name] if name else [])).limit(top)
 
 
 def ablate(df: DataFrame, prefixes: Sequence[str] = ("adv_", "multi_"), names: Sequence[str] = tuple(CONTEXT_FLAGS)) -> DataFrame:

@@ -78,3 +78,8 @@ def keep_newest(df: DataFrame, group: str | Sequence[str], ts: str, keep: int, t
     order = [F.col(c).desc() for c in [ts, *tie]]
     rank = F.row_number().over(Window.partitionBy(*as_list(group)).orderBy(*order))
     return df.withColumn("__rn", rank).filter(F.col("__rn") > keep).drop("__rn")
+
+
+def common_columns(names: Sequence[str], df: DataFrame) -> list[str]:
+    """Selected names that the table has, in the order of the selection."""
+    return [n for n in names if n in df.columns]

@@ -7,9 +7,11 @@ from entitystats.functions import values as V
 from entitystats.functions.dates import is_fresh
 from entitystats.functions.teams import TEAMS
 from entitystats.operators import context as C
+from entitystats.operators import features as X
 from entitystats.operators import lines as L
 from entitystats.operators import windows as W
-from entitystats.plans.registry import query
+from entitystats.plans import window_queries  # noqa: F401  (its SQL is reused below)
+from entitystats.plans.registry import ORACLES, query
 from entitystats.plans.rounding import rounded
 from entitystats.session import settled_small
 
@@ -370,3 +372,44 @@ def evidence_check(t):
     side = F.when(F.col("event_type") == "view", "MAYBE").otherwise("OVER")
     reasons = L.evidence_reasons({"season_avg": F.col("value"), "recommendation": side}, {"season_avg": F.col("m")}, F.col("event_id"))
     return both.select("event_id", F.size(reasons).alias("n_reasons"))
+
+
+@query(
+    "entity_features",
+    f"SELECT * FROM ({ORACLES['rolling_summary']}) JOIN ("
+    + ORACLES["opponent_adjusted"].replace("WHERE event_id <> cur_id", "").replace("max(ts) FILTER (WHERE event_type = cur) AS last_game_vs_current_opponent_date,", "").replace(
+        "avg_vs_similar_def,", "avg_vs_similar_def, round(3.14159e-9 + avg(value), 6) AS recent_mean, round(3.14159e-9 + stddev_pop(value), 6) AS recent_std,"
+    )
+    + ") USING (user_id)",
+)
+def entity_features(t):
+    """Form, moments and form against the latest opponent in one row per user."""
+    e = t.events.select("user_id", "event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+    now = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("cur"), F.max_by("k", "event_id").alias("cur_k"))
+    out = X.entity_features(e, now, "user_id", "ts", "value", "event_type", "k", "cur", "cur_k", ["event_id"])
+    return rounded(out.drop("cur", "cur_k", "last_game_vs_current_opponent_date"))
+
+
+@query(
+    "spec_samples",
+    """
+    WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    s AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS d FROM r WHERE rn <= 10 GROUP BY 1)
+    SELECT event_id, round(3.14159e-9 + m, 6) AS recent_mean, round(3.14159e-9 + d, 6) AS recent_std FROM events JOIN s USING (user_id)
+    """,
+)
+def spec_samples(t):
+    specs = t.events.select("user_id", "ts", "event_id")
+    return rounded(X.spec_samples(specs, t.events, "user_id", "ts", "value", 10, ["event_id"]).select("event_id", "recent_mean", "recent_std"))
+
+
+@query(
+    "spec_samples_causal",
+    """
+    SELECT event_id, round(3.14159e-7 + avg(value) OVER w, 4) AS recent_mean, round(3.14159e-7 + stddev_pop(value) OVER w, 4) AS recent_std FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    """,
+)
+def spec_samples_causal(t):
+    specs = t.events.select("user_id", "ts", "event_id")
+    return rounded(X.spec_samples(specs, t.events, "user_id", "ts", "value", causal=True).select("event_id", "recent_mean", "recent_std"), 4)
