@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from entitystats.session import max_rows_per_task, settled_small
-from entitystats.skew import SLICE, Timeline, as_list, heavy_keys, null_safe_join, quantiles
+from entitystats.skew import HOT, SLICE, Timeline, as_list, heavy_keys, null_safe_join, quantiles
 
 #: Smoothing and decay factors (fixed values).
 EMA_ALPHA = 0.3
@@ -304,11 +304,11 @@ def _first_following(df: DataFrame, entity: list[str], order: list[str], columns
     at = [F.col(c) for c in order]
     firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct(*at, F.col(c)))).alias(f"__f_{c}") for c in columns]
     later = Window.partitionBy(*entity).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
-    carry = line.df.groupBy(*line.keys).agg(*firsts).select(
+    carry = line.hot_slices(*firsts).select(
         *line.keys, *[F.first(f"__f_{c}", ignorenulls=True).over(later)[c].alias(f"__later_{c}") for c in columns]
     )
-    joined = null_safe_join(line.df.withColumns(ahead(line.window())), carry, line.keys)
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__later_{c}")) for c in columns}).drop(SLICE, *[f"__later_{c}" for c in columns])
+    joined = line.join_slices(line.df.withColumns(ahead(line.window())), carry)
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__later_{c}")) for c in columns}).drop(SLICE, HOT, *[f"__later_{c}" for c in columns])
 
 
 def lag_features(

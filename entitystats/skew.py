@@ -30,6 +30,10 @@ from entitystats.session import max_rows_per_task
 
 SLICE = "__slice"
 HALO = "__halo"
+HOT = "__hot"
+
+#: Slice number of the rows of entities that are not cut.
+COLD = -1
 
 #: At most this many slices are cut, whatever the data size; it bounds the
 #: border table that is broadcast and the sample that is read by the driver.
@@ -108,9 +112,10 @@ class Timeline:
         picked: dict[tuple, list[tuple]] = {}
         for row in sample:
             picked.setdefault(tuple(row[:n_key]), []).append(tuple(row[n_key:]))
-        border_type = T.StructType([T.StructField(f"o{i}", df.schema[c].dataType) for i, c in enumerate(self.order)])
-        schema = T.StructType([*key_fields, T.StructField("__borders", T.ArrayType(border_type))])
-        rows = []
+        # one array per order column, all of the entity's length
+        names = [f"__b{i}" for i in range(len(self.order))]
+        fields = [T.StructField(b, T.ArrayType(df.schema[c].dataType)) for b, c in zip(names, self.order)]
+        rows, longest = [], 1
         for *key, n in heavy:
             keys = sorted(picked.get(tuple(key), []), key=_sort_key)
             want = -(-n // per_slice)
@@ -119,27 +124,26 @@ class Timeline:
                 at = i * len(keys) // want
                 if keys and (not borders or _sort_key(keys[at]) > _sort_key(borders[-1])):
                     borders.append(keys[at])
-            rows.append((*key, borders))
-        borders = spark.createDataFrame(rows, schema)
-        # binary search over the border array: one step per power of two
-        steps = 1
-        while steps <= max(len(r[-1]) for r in rows):
-            steps *= 2
-        powers = []
-        while steps >= 1:
-            powers.append(steps)
-            steps //= 2
-        here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(self.order)])
+            longest = max(longest, len(borders))
+            rows.append((*key, *[[b[i] for b in borders] for i in range(len(self.order))]))
+        table = spark.createDataFrame(rows, T.StructType([*key_fields, *fields]))
+        out = null_safe_join(df, F.broadcast(table), self.entity).withColumn(HOT, F.col(names[0]).isNotNull())
+        # bisection as one expression; a chain of columns would be copied into
+        # every filter that Spark pushes below it
+        powers = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
         found = F.aggregate(
-            F.array(*[F.lit(p) for p in powers]),
-            F.lit(0),
-            lambda pos, p: F.when(F.get(F.col("__borders"), pos + p - 1) <= here, pos + p).otherwise(pos),
-        )
-        return (
-            null_safe_join(df, F.broadcast(borders), self.entity)
-            .withColumn(SLICE, F.when(F.col("__borders").isNull(), F.lit(0)).otherwise(found))
-            .drop("__borders")
+            powers, F.lit(0), lambda pos, step: F.when(self._not_after(names, pos + step - 1), pos + step).otherwise(pos)
         )
+        return out.withColumn(SLICE, F.when(F.col(HOT), found).otherwise(F.lit(COLD))).drop(*names)
+
+    def _not_after(self, names: Sequence[str], at: Column) -> Column:
+        """Border number ``at`` exists and is not after the row, column by column, nulls first."""
+        cond = F.lit(True)
+        for name, column in reversed(list(zip(names, self.order))):
+            b, c = F.get(F.col(name), at), F.col(column)
+            before = F.coalesce(b < c, F.lit(False)) | (b.isNull() & c.isNotNull())
+            cond = before | (b.eqNullSafe(c) & cond)
+        return (at < F.size(names[0])) & cond
 
     @property
     def keys(self) -> list[str]:
@@ -155,12 +159,25 @@ class Timeline:
         if not self.sliced:
             return build(self.df, self.window())
         work = self.df.withColumn(HALO, F.lit(False)).unionByName(self._halo(k).withColumn(HALO, F.lit(True)))
-        return build(work, self.window()).filter(~F.col(HALO)).drop(HALO, SLICE)
+        return build(work, self.window()).filter(~F.col(HALO)).drop(HALO, SLICE, HOT)
+
+    def hot_rows(self) -> DataFrame:
+        return self.df.filter(HOT)
+
+    def hot_slices(self, *aggs: Column) -> DataFrame:
+        """One row per (entity, slice) of the cut entities.
+
+        Rows combine before the shuffle, and there are no more of these rows
+        than borders and cut entities, so the result may be broadcast.
+        """
+        return self.hot_rows().groupBy(*self.keys).agg(*aggs)
+
+    def join_slices(self, df: DataFrame, slices: DataFrame, how: str = "left") -> DataFrame:
+        return null_safe_join(df, F.broadcast(slices), self.keys, how)
 
     def _halo(self, k: int) -> DataFrame:
         """The k rows before each slice, labelled with that slice."""
-        # one row per (entity, slice); only cut entities have a second slice
-        sizes = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
+        sizes = self.hot_slices(F.count(F.lit(1)).alias("__n"))
         ordered = Window.partitionBy(*self.entity).orderBy(SLICE)
         ends = sizes.withColumn("__end", F.sum("__n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         # every slice holds a row, so at most the next k slices can see this one
@@ -171,10 +188,10 @@ class Timeline:
             ),
         ).filter(F.size("__next") > 0)
         # Spark keeps only k rows per slice before shuffling for this rank
-        tails = self.df.withColumn("__rank", F.row_number().over(self.window(descending=True))).filter(
+        tails = self.hot_rows().withColumn("__rank", F.row_number().over(self.window(descending=True))).filter(
             F.col("__rank") <= k
         )
-        reach = null_safe_join(tails, ends.select(*self.keys, "__end", "__next"), self.keys, "inner")
+        reach = self.join_slices(tails, ends.select(*self.keys, "__end", "__next"), "inner")
         return (
             reach.withColumn("__to", F.explode("__next"))
             .filter(F.col("__to.start") - F.col("__end") + F.col("__rank") <= k)
@@ -195,13 +212,13 @@ class Timeline:
         if not self.sliced:
             counts = [n for n, (kind, _, _) in specs.items() if kind == "count"]
             return self._with(self.df.withColumns(local).fillna(0, counts))
-        partial = self.df.groupBy(*self.keys).agg(*[_AGGS[kind](col).alias(n) for n, (kind, col, _) in specs.items()])
+        partial = self.hot_slices(*[_AGGS[kind](col).alias(n) for n, (kind, col, _) in specs.items()])
         before = Window.partitionBy(*self.entity).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         carry = partial.select(
             *self.keys,
             *[_MERGE[kind](F.col(n)).over(before).alias(f"__c_{n}") for n, (kind, _, _) in specs.items()],
         )
-        joined = null_safe_join(self.df, carry, self.keys).withColumns({f"__l_{n}": c for n, c in local.items()})
+        joined = self.join_slices(self.df.withColumns({f"__l_{n}": c for n, c in local.items()}), carry)
         out = joined.withColumns(
             {n: _combine(kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, (kind, _, _) in specs.items()}
         )
@@ -209,15 +226,19 @@ class Timeline:
 
     def totals(self, **specs: tuple[str, Column]) -> Timeline:
         """Add whole-entity aggregates (sum, count, min, max) to every row."""
+        here = Window.partitionBy(*self.keys)
+        local = {n: _AGGS[kind](c).over(here) for n, (kind, c) in specs.items()}
         if not self.sliced:
-            whole = Window.partitionBy(*self.entity)
-            return self._with(self.df.withColumns({n: _AGGS[kind](c).over(whole) for n, (kind, c) in specs.items()}))
-        partial = self.df.groupBy(*self.keys).agg(*[_AGGS[kind](c).alias(n) for n, (kind, c) in specs.items()])
+            return self._with(self.df.withColumns(local))
+        partial = self.hot_slices(*[_AGGS[kind](c).alias(n) for n, (kind, c) in specs.items()])
         whole = Window.partitionBy(*self.entity)  # one row per slice here
         total = partial.select(
-            *self.keys, *[_MERGE[kind](F.col(n)).over(whole).alias(n) for n, (kind, _) in specs.items()]
+            *self.keys, *[_MERGE[kind](F.col(n)).over(whole).alias(f"__t_{n}") for n, (kind, _) in specs.items()]
         )
-        return self._with(null_safe_join(self.df, total, self.keys))
+        joined = self.join_slices(self.df.withColumns({f"__l_{n}": c for n, c in local.items()}), total)
+        hot = F.col(HOT)
+        out = joined.withColumns({n: F.when(hot, F.col(f"__t_{n}")).otherwise(F.col(f"__l_{n}")) for n in specs})
+        return self._with(out.drop(*[f"__{p}_{n}" for p in "tl" for n in specs]))
 
     def _with(self, df: DataFrame) -> Timeline:
         clone = object.__new__(Timeline)
@@ -232,7 +253,7 @@ class Timeline:
         return self._with(self.df.drop(*names))
 
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE)
+        return self.df.drop(SLICE, HOT)
 
 
 _AGGS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
