@@ -85,20 +85,24 @@ class Timeline:
         max_rows: int | None = None,
         heavy: list[tuple] | None = None,
     ) -> None:
-        """``heavy`` passes on the result of ``heavy_keys`` where it is known."""
+        """``order`` should be total within the entity: add tie-breaking columns.
+
+        ``heavy`` passes on the result of ``heavy_keys`` where it is known.
+        """
         self.entity = as_list(entity)
         self.order = as_list(order)
         limit = max_rows or max_rows_per_task(df.sparkSession)
         if heavy is None:
             heavy = heavy_keys(df, self.entity, limit)
+        # with very many rows slices grow, so that their number stays bounded
+        per_slice = max(limit, sum(h[-1] for h in heavy) // MAX_SLICES)
+        heavy = [h for h in heavy if h[-1] > per_slice]
         self.sliced = bool(heavy)
-        self.df = self._cut(df, heavy, limit) if heavy else df
+        self.df = self._cut(df, heavy, per_slice) if heavy else df
 
     # -- slicing -----------------------------------------------------------
-    def _cut(self, df: DataFrame, heavy: list[tuple], limit: int) -> DataFrame:
+    def _cut(self, df: DataFrame, heavy: list[tuple], per_slice: int) -> DataFrame:
         spark = df.sparkSession
-        hot_rows = sum(h[-1] for h in heavy)
-        per_slice = max(limit, hot_rows // MAX_SLICES)
         fraction = min(1.0, SAMPLES_PER_SLICE / per_slice)
         key_fields = [df.schema[k] for k in self.entity]
         hot_keys = spark.createDataFrame([h[:-1] for h in heavy], T.StructType(key_fields))

@@ -95,7 +95,8 @@ def read_raw_games(spark: SparkSession, path: str, more: Sequence[str] = ("playe
 def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFrame:
     """Tracking rows from ``<name>.json``, ``.csv`` or ``.parquet``; per name the first kind wins.
 
-    JSON may be a list or an object that holds one. All values are read as text.
+    JSON may be a list or an object that holds one; CSV is plain, without quotes.
+    All values are read as text.
     """
     from entitystats.operators.aggregates import TRACKING
 
@@ -112,7 +113,9 @@ def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFr
         parts.append(whole.select(key, F.explode(F.from_json(body, rows)).alias("r")).select(key, F.lit(0).alias("__kind"), "r.*"))
     if _paths_exist(spark, f"{base}/*.csv"):
         # headers differ between files, so each row is paired with its own file's header
-        lines = spark.read.text(f"{base}/*.csv").select(name("csv").alias(key), F.monotonically_increasing_id().alias("i"), F.col("value"))
+        # (offset of the block, number inside the task) follows the order of lines
+        place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        lines = spark.read.text(f"{base}/*.csv").select(name("csv").alias(key), place.alias("i"), F.col("value"))
         head = lines.groupBy(key).agg(F.min("i").alias("h"), F.min_by("value", "i").alias("head"))
         body = lines.join(head, key).filter("i > h").select(key, F.map_from_arrays(_csv(F.col("head")), _csv(F.col("value"))).alias("m"))
         parts.append(body.select(key, F.lit(1).alias("__kind"), *[F.col("m").getItem(f).alias(f) for f in fields]))
