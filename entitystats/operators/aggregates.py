@@ -11,7 +11,7 @@ from entitystats.functions import values as V
 from entitystats.functions.dates import minutes_played
 from entitystats.operators.normalize import pick
 from entitystats.session import max_rows_per_task, settled
-from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join, quantiles
+from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join, quantiles, whole_key
 
 #: Box-score measures and the spellings they come in - fixed values.
 BOX_ALIASES = {
@@ -202,7 +202,7 @@ SUMMARY_QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0
 
 def dataset_summary(df: DataFrame, entity: str, value: str, max_rows: int | None = None) -> DataFrame:
     """One row: size, mean, sample deviation, quantiles, entities and values beyond three deviations."""
-    rows = df.select(F.lit(0).alias("__all"), entity, F.col(value).cast("double").alias("v"))
+    rows = df.select(whole_key(entity).alias("__all"), entity, F.col(value).cast("double").alias("v"))
     base = rows.groupBy("__all").agg(
         F.count(F.lit(1)).alias("rows_total"), F.avg("v").alias("target_mean"), F.stddev_samp("v").alias("target_std"),
         F.count_distinct(F.col(entity)).alias("num_entities"),
@@ -318,11 +318,11 @@ def exceedance(
     few = own.filter(F.col("n") < min_rows).select(entity, "x")
     if few.isEmpty():
         return enough
-    pooled = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("__all", F.lit(0))
+    pooled = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("__all", whole_key("v"))
     # all rows bound the number of distinct values, and counting them is cheap
     total = known.count()
     heavy = [(0, total)] if 0 < limit < total else []
-    shared = _count_above(pooled, few.select("x", F.lit(0).alias("__all")).distinct(), ["__all"], limit, heavy)
+    shared = _count_above(pooled, few.select("x", whole_key("x").alias("__all")).distinct(), ["__all"], limit, heavy)
     shared = shared.filter("n > 0").select("x", (F.col("above") / F.col("n")).alias("p_over"))
     return enough.unionByName(few.join(shared, "x").select(entity, "x", "p_over"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitystats.session import settled_small
-from entitystats.skew import as_list, null_safe_join
+from entitystats.skew import as_list, null_safe_join, whole_key
 
 
 def brier(truth: Column, prob: Column) -> Column:
@@ -56,7 +56,7 @@ def calibration_error(df: DataFrame, truth: str, prob: str, by: str | Sequence[s
     the range of the predictions instead of [0, 1].
     """
     keys = as_list(by) or ["__all"]
-    rows = df.withColumn("__all", F.lit(0)).select(*keys, F.col(truth).cast("double").alias("y"), F.col(prob).cast("double").alias("p"))
+    rows = df.withColumn("__all", whole_key(prob)).select(*keys, F.col(truth).cast("double").alias("y"), F.col(prob).cast("double").alias("p"))
     rows = rows.filter("y IS NOT NULL AND p IS NOT NULL")
     if clipped:
         span = rows.groupBy(*keys).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from entitystats.functions.dates import parse_timestamp
 from entitystats.session import max_rows_per_task, settled_small
-from entitystats.skew import heavy_keys, null_safe_join, quantiles
+from entitystats.skew import heavy_keys, null_safe_join, quantiles, whole_key
 
 #: Fields a record must have, outlier threshold and MAD scale - fixed values.
 CRITICAL_FIELDS = ["game_date", "home_team", "away_team"]
@@ -89,7 +89,7 @@ def flag_outliers(
     """
     by = list(by) or ["__all"]
     v = F.col(value).try_cast("double")
-    rows = df.withColumn("__v", v) if "__all" not in by else df.withColumn("__v", v).withColumn("__all", F.lit(0))
+    rows = df.withColumn("__v", v) if "__all" not in by else df.withColumn("__v", v).withColumn("__all", whole_key("__v"))
     limit = max_rows or max_rows_per_task(df.sparkSession)
     heavy = heavy_keys(rows.filter(F.col("__v").isNotNull()), by, limit)
     med = settled_small(quantiles(rows, by, "__v", {"__med": 0.5}, limit, heavy))

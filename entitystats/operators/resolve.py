@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from entitystats.functions.text import normalise_name, normalise_name_suffix
 from entitystats.session import settled
-from entitystats.skew import Timeline, null_safe_join
+from entitystats.skew import Timeline, null_safe_join, whole_key
 
 GRAM = 3
 
 
 def numbered(df: DataFrame, order: Sequence[str], start: Column, name: str = "id") -> DataFrame:
     """Consecutive ids after ``start`` in the given order."""
-    line = Timeline(df.withColumn("__all", F.lit(0)), "__all", order).running(__i=("count", F.lit(1), True))
+    line = Timeline(df.withColumn("__all", whole_key(order[0])), "__all", order).running(__i=("count", F.lit(1), True))
     return line.result().withColumn(name, start + F.col("__i")).drop("__all", "__i")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitystats.skew import Timeline
+from entitystats.skew import Timeline, whole_key
 
 
 def _label(position: Column, n: Column, fractions: Sequence[float]) -> Column:
@@ -34,7 +34,7 @@ def global_time_split(
     df: DataFrame, ts: str, tie: Sequence[str] = (), fractions: Sequence[float] = (0.7, 0.15, 0.15), max_rows: int | None = None
 ) -> DataFrame:
     """The same over the whole table; slices keep it from being one sort task."""
-    return entity_time_split(df.withColumn("__all", F.lit(0)), "__all", ts, tie, fractions, max_rows).drop("__all")
+    return entity_time_split(df.withColumn("__all", whole_key(ts)), "__all", ts, tie, fractions, max_rows).drop("__all")
 
 
 def dedupe_mean(df: DataFrame, keys: Sequence[str], value: str, name: str | None = None) -> DataFrame:

@@ -314,6 +314,15 @@ def quantiles(
     return cold.unionByName(ranked.groupBy(*by).agg(*aggs))
 
 
+def whole_key(column: str) -> Column:
+    """Zero for every row, yet not a constant to the optimizer.
+
+    As a group key for "all rows" it lets one-row statistics join back by
+    equality, as a hash join; a literal would turn that into a nested loop.
+    """
+    return F.pmod(F.hash(F.col(column)), F.lit(1))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint only after a bounded count shows the side is small.
 
