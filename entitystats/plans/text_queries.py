@@ -140,7 +140,10 @@ def text_vectors(t):
     return v.select("doc_id", F.size("v").alias("dim"), F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"))
 
 
-@query("new_items_indexed")
+@query(
+    "new_items_indexed",
+    "SELECT CAST(doc_id AS VARCHAR) AS source_id, 8 AS dim FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
+)
 def new_items_indexed(t):
     """Unlabelled documents are the ones not indexed yet."""
     items = t.documents.select(F.col("doc_id").cast("string").alias("id"), "text")
