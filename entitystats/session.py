@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,20 @@ def build_session(app: str = "entitystats", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session.
+
+    Functions that run in Python workers are pickled by module name, so every
+    worker has to be able to import the package wherever it runs.
+    """
+    if getattr(spark.sparkContext, "_entitystats_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/entitystats", "zip", root, "entitystats")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._entitystats_shipped = True
+
+
 def max_rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_ROWS_CONF, str(MAX_ROWS_DEFAULT)))
 
