@@ -81,6 +81,20 @@ def op2_content_addressed_warc(pages: DataFrame) -> DataFrame:
     return archived_pages(pages, least_bytes=1000)
 
 
+@_query("op3_cross_parsing_language", "documents")
+def op3_cross_parsing_language(docs: DataFrame) -> DataFrame:
+    from entitystats.llm.language import predicted_languages
+
+    return predicted_languages(docs)
+
+
+@_query("op5_simhash_links", "documents")
+def op5_simhash_links(docs: DataFrame) -> DataFrame:
+    from entitystats.llm.simhash import linked_documents
+
+    return linked_documents(docs)
+
+
 @_query("op7_addressable_tokens", "documents")
 def op7_addressable_tokens(docs: DataFrame) -> DataFrame:
     from entitystats.llm.token_store import stored_tokens
