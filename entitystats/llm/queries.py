@@ -95,6 +95,13 @@ def op5_simhash_links(docs: DataFrame) -> DataFrame:
     return linked_documents(docs)
 
 
+@_query("op6_boosted_pii", "documents")
+def op6_boosted_pii(docs: DataFrame) -> DataFrame:
+    from entitystats.llm.pii import personal_spans
+
+    return personal_spans(docs)
+
+
 @_query("op7_addressable_tokens", "documents")
 def op7_addressable_tokens(docs: DataFrame) -> DataFrame:
     from entitystats.llm.token_store import stored_tokens
@@ -107,3 +114,13 @@ def op9_swap_packing(docs: DataFrame) -> DataFrame:
     from entitystats.llm.packing import pack
 
     return pack(docs, TOKENIZER, capacity=1024, end_id=2)
+
+
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entitystats.llm.decontaminate import contaminated
+
+    base = sf_dir.rstrip("/")
+    return contaminated(spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/benchmark.parquet"))
+
+
+QUERIES["op10_cgk_decontamination"] = op10_cgk_decontamination
