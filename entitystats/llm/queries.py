@@ -88,6 +88,13 @@ def op3_cross_parsing_language(docs: DataFrame) -> DataFrame:
     return predicted_languages(docs)
 
 
+@_query("op4_multiprobe_search", "embeddings")
+def op4_multiprobe_search(vectors: DataFrame) -> DataFrame:
+    from entitystats.llm.nearest import nearest
+
+    return nearest(vectors, 20, queries="vec_id % 20 = 0")
+
+
 @_query("op5_simhash_links", "documents")
 def op5_simhash_links(docs: DataFrame) -> DataFrame:
     from entitystats.llm.simhash import linked_documents
@@ -109,6 +116,13 @@ def op7_addressable_tokens(docs: DataFrame) -> DataFrame:
     return stored_tokens(docs, TOKENIZER, end_id=2)
 
 
+@_query("op8_tree_boosted_html", "pages")
+def op8_tree_boosted_html(pages: DataFrame) -> DataFrame:
+    from entitystats.llm.html_text import extracted
+
+    return extracted(pages)
+
+
 @_query("op9_swap_packing", "documents")
 def op9_swap_packing(docs: DataFrame) -> DataFrame:
     from entitystats.llm.packing import pack
