@@ -107,9 +107,11 @@ class Parser:
             c = grid[step, :n]
             to = self.table[state[:, :n] * self.width + c]
             ended = to < 0
-            count[:, :n] += ended
-            fresh_start = self.table[roots * self.width + c]
-            np.copyto(to, np.where(fresh_start < 0, roots, fresh_start), where=ended)
+            again = self.table[roots * self.width + c]
+            lone = again < 0  # a character the sample lacks is a phrase by itself
+            count[:, :n] += ended & (state[:, :n] != roots)
+            count[:, :n] += ended & lone
+            np.copyto(to, np.where(lone, roots, again), where=ended)
             state[:, :n] = to
         count += (state != roots) & (sizes > 0)  # the phrase that the end cut off
         out = np.empty((len(order), len(self.langs)), np.int32)
