@@ -299,9 +299,10 @@ def _extractor(model: BoostedTrees):
 
 def sample(pages: DataFrame, html_col: str = "html", count: int = SAMPLE_PAGES) -> list[str]:
     """At most ``count`` distinct pages, those with the smallest hashes."""
-    heads = pages.where(col(html_col).isNotNull()).select(F.xxhash64(col(html_col)).alias("h"), F.substring(col(html_col), 1, SAMPLE_CHARS).alias("head"))
-    rows = heads.orderBy("h", "head").limit(8 * count).dropDuplicates(["h"]).orderBy("h").limit(count).collect()
-    return [r["head"] for r in rows]
+    hashed = pages.where(col(html_col).isNotNull()).select(F.xxhash64(col(html_col)).alias("h"), F.substring(col(html_col), 1, SAMPLE_CHARS).alias("head"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]
+    rows = hashed.where(F.col("h").isin(least or [None])).groupBy("h").agg(F.min("head").alias("head")).collect()
+    return [r["head"] for r in sorted(rows, key=lambda r: r["h"])]
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -24,6 +24,8 @@ from entitystats.llm.common import col, fresh
 #: The sample the languages are learned from: distinct documents a language, and characters of each.
 SAMPLE_DOCS = 120
 SAMPLE_CHARS = 500
+#: Parts of a language that are searched for the sample side by side.
+PARTS = 256
 #: Characters of a piece; every piece begins a new phrase.
 PIECE_CHARS = 1024
 #: Pieces that are parsed side by side.
@@ -139,12 +141,17 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     sample is bounded by the number of languages. Samples are cut to one
     length, so that no language has more to match.
     """
-    rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, sample_chars).alias("head"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.groupBy("lang", "h").agg(F.min("head").alias("head")).withColumn("rank", rank).where(F.col("rank") <= sample_docs)
+    # first within a part of each language, so that no task sees more than a few hundred rows of each part
+    within = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    least = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    least = least.withColumn("rank", within("lang", "part")).where(F.col("rank") <= sample_docs)
+    chosen = least.withColumn("rank", within("lang")).where(F.col("rank") <= sample_docs).select("lang", "h", "rank").collect()
+    ranks = {(r["lang"], r["h"]): r["rank"] for r in chosen}
+    heads = rows.where(F.col("h").isin([h for _, h in ranks] or [None])).groupBy("lang", "h").agg(F.min("head").alias("head")).collect()
     by_lang: dict[str, list[str]] = {}
-    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["rank"])):
+    for row in sorted((r for r in heads if (r["lang"], r["h"]) in ranks), key=lambda r: (r["lang"], ranks[r["lang"], r["h"]])):
         by_lang.setdefault(row["lang"], []).append(folded(row["head"]))
     whole = {lang: " ".join(texts) for lang, texts in by_lang.items()}
     size = min((len(text) for text in whole.values()), default=0)
