@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept by a Python worker until it needs something else.
+
+    Workers live on from one job to the next; one model at a time bounds their
+    memory whatever ran before.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -26,19 +44,3 @@ def col(name: str) -> Column:
 def any_text(name: str) -> Column:
     """The text of a column, empty where it is null."""
     return F.coalesce(col(name).cast("string"), F.lit(""))
-
-
-def spread(df: DataFrame, rows_per_part: int, rows: int) -> int:
-    """How many parts of about ``rows_per_part`` rows hold ``rows`` rows."""
-    return max(1, -(-rows // rows_per_part))
-
-
-def keep_matching(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose id is (or is not) in the one-column table ``ids``.
-
-    A null id equals a null id. Columns and repeated rows of ``docs`` stay.
-    """
-    (key,) = fresh(docs, "key")
-    other = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
-    kind = "left_semi" if keep else "left_anti"
-    return docs.join(other, col(id_col).eqNullSafe(F.col(key)), kind)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitystats.llm.common import any_text, col
+from entitystats.llm.common import any_text, col, kept
 
 STRIDE = 4
 #: Window classes: steps of the walk; items take the longest walk their words allow.
@@ -41,7 +41,7 @@ EDITS = 0.2
 #: Items whose signatures are held at once.
 BLOCK_ITEMS = 20_000
 #: Words a worker remembers; windows hashed at once.
-MAX_WORDS, AT_ONCE = 400_000, 1 << 15
+MAX_WORDS, AT_ONCE = 300_000, 1 << 15
 _FILTER_BITS = 20
 
 _SEPARATE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -55,13 +55,10 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
-def word_ids(text: str) -> np.ndarray:
-    """A 64-bit number for each word of a text; never 0."""
+def word_ids(text: str, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """A 64-bit number for each word of a text, never 0; ``known`` remembers words."""
     words = text.encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map((_Words() if known is None else known).__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(words: np.ndarray, repeat: int) -> np.ndarray:
@@ -115,7 +112,8 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
-        self.words = [word_ids(t or "") for _, t in items]
+        self.numbers = _Words()
+        self.words = [word_ids(t or "", self.numbers) for _, t in items]
         keys, owners, offsets = [], [], []
         short: dict[int, list[tuple[int, int, int]]] = {}
         for n, words in enumerate(self.words):
@@ -214,7 +212,7 @@ class Items:
         gap = np.zeros(walk + 1, np.uint64)
         parts, bounds, at = [], [], 0
         for text in texts:
-            words = word_ids(text)
+            words = word_ids(text, self.numbers)
             parts += [words, gap]
             bounds.append((at, at + len(words)))
             at += len(words) + len(gap)
@@ -252,14 +250,8 @@ class Items:
         return [{n: e for n, e in x.items()} for x in out]
 
 
-_BLOCKS: dict[tuple, Items] = {}
-
-
 def _items(block: tuple[tuple[int, str], ...]) -> Items:
-    if block not in _BLOCKS:
-        _BLOCKS.clear()
-        _BLOCKS[block] = Items(list(block))
-    return _BLOCKS[block]
+    return kept(("items", block), lambda: Items(list(block)))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = BLOCK_ITEMS) -> Iterator[tuple[tuple[int, str], ...]]:

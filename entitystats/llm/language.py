@@ -19,21 +19,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitystats.llm.common import col, fresh
+from entitystats.llm.common import col, fresh, kept
 
 #: The sample the languages are learned from: distinct documents a language, and characters of each.
-SAMPLE_DOCS = 120
-SAMPLE_CHARS = 500
+SAMPLE_DOCS = 100
+SAMPLE_CHARS = 400
 #: Parts of a language that are searched for the sample side by side.
 PARTS = 256
 #: Characters of a piece; every piece begins a new phrase.
 PIECE_CHARS = 1024
 #: Pieces that are parsed side by side.
 SIDE_BY_SIDE = 4096
+#: Texts that are folded at once.
+TOGETHER = 1000
 UNKNOWN = "und"
 
-_MODELS: dict[tuple, Parser] = {}
-
 
 def automaton(text: str, codes: dict[str, int]) -> np.ndarray:
     """Transitions of the suffix automaton: state x character code; -1 where there is none."""
@@ -127,10 +127,7 @@ def folded(text: str) -> str:
 
 
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    if samples not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples] = Parser(list(samples))
-    return _MODELS[samples]
+    return kept(("language", samples), lambda: Parser(list(samples)))
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
@@ -180,17 +177,23 @@ def costs(model: Parser, texts: list[str]) -> np.ndarray:
     return counts * model.logs / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
+def judged(model: Parser, batch: pd.Series) -> pd.DataFrame:
+    """lang, score and bits a character of some texts."""
+    texts = [folded(t) if t is not None else "" for t in batch]
+    bits = costs(model, texts)
+    least = bits.min(axis=1)
+    known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+    lang = np.where(known, np.array(model.langs, object)[bits.argmin(axis=1)], UNKNOWN)
+    score = np.where(known, 1 / np.exp2(-2.0 * (bits - least[:, None])).sum(axis=1), 0.0)
+    return pd.DataFrame({"lang": lang, "score": score, "bits": np.where(known, least, 0.0)})
+
+
 def _predictor(samples: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = parser(samples)
         for batch in batches:
-            texts = [folded(t) if t is not None else "" for t in batch]
-            bits = costs(model, texts)
-            least = bits.min(axis=1)
-            known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            lang = np.where(known, np.array(model.langs, object)[bits.argmin(axis=1)], UNKNOWN)
-            score = np.where(known, 1 / np.exp2(-2.0 * (bits - least[:, None])).sum(axis=1), 0.0)
-            yield pd.DataFrame({"lang": lang, "score": score, "bits": np.where(known, least, 0.0)})
+            parts = [judged(model, batch.iloc[at : at + TOGETHER]) for at in range(0, len(batch), TOGETHER)]
+            yield pd.concat(parts, ignore_index=True) if parts else judged(model, batch)
 
     return run
 

@@ -15,10 +15,12 @@ import re
 
 import numpy as np
 
+from entitystats.llm.common import kept
+
 #: Ids are stored in this type: little-endian, unsigned, 32 bits.
 ID_TYPE = np.dtype("<u4")
 #: Parts a worker remembers, and how many parts may go unremembered before it starts afresh.
-MAX_KNOWN = 500_000
+MAX_KNOWN = 300_000
 MAX_MISSED = 5_000_000
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -26,7 +28,6 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 _LETTERS, _DIGITS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[0-9]+", r"[.,;:!?*&%$#|\-()=\"/+_@]+"
 _RUNS = re.compile(rf" ?{_LETTERS}| ?{_DIGITS}| ?{_MARKS}|\n")
 _ONLY_RUNS = re.compile(rf" ?(?:{_LETTERS}|{_DIGITS}|{_MARKS}|(?<=[^\s])\n(?=[^\s]))+")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -86,6 +87,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of a tokenizer file, made once in each worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("tokens", path), lambda: Encoder(path))
