@@ -189,6 +189,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The first row, by id, of each group of linked rows, with all its columns.
 
     A null id comes last. Of rows that repeat an id within a group one stays.
+    The rows that stay grow with the corpus, so they meet the documents in a
+    merge join at every size and are never broadcast.
     """
     fp, row = fresh(docs, "fp", "row")
     kept = settled(docs.withColumn(row, F.monotonically_increasing_id()))
@@ -198,4 +200,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = kept.select(col(row).alias("row"), col(id_col).alias("id")).join(thin, "row").join(roots, "fp", "left")
     order = F.struct(F.col("id").isNull().alias("late"), "id", "row")
     first = settled(keyed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)))
-    return kept.join(first, row, "left_semi").select(*[col(c) for c in docs.columns])
+    return kept.join(first.hint("merge"), row, "left_semi").select(*[col(c) for c in docs.columns])
