@@ -17,6 +17,17 @@ TIMESTAMP_FORMATS = [
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "yyyyMMdd",
+    "yyyy/MM/dd",
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy HH:mm:ss",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d MMM yyyy HH:mm:ss z",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "MMM d, yyyy h:mm a",
+    "MMMM d, yyyy h:mm a",
 ]
 
 
@@ -29,7 +40,8 @@ def parse_date(text: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """Timestamp from any known text layout; null when none fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS], text.try_cast("timestamp"))
+    plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*(?=[0-9])", "")  # a weekday adds nothing
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in TIMESTAMP_FORMATS], text.try_cast("timestamp"))
 
 
 def epoch_timestamp(number: Column) -> Column:

@@ -52,8 +52,10 @@ def list_field(text: Column) -> Column:
     inner = F.regexp_extract(s, r"^[\[\(\{](.*)[\]\)\}]$", 1)
     is_literal = s.rlike(r"^[\[\(\{].*[\]\)\}]$")
     clean = lambda parts: F.transform(parts, lambda p: F.trim(F.regexp_replace(F.trim(p), r"^['\"]|['\"]$", "")))
+    # quoted items keep their commas
+    items = F.regexp_extract_all(inner, F.lit(r"""\s*("[^"]*"(?=\s*(?:,|$))|'[^']*'(?=\s*(?:,|$))|[^,]+)\s*"""), F.lit(1))
     parts = (
-        F.when(is_literal, clean(F.split(inner, ",")))
+        F.when(is_literal, clean(items))
         .when(s.contains(","), F.transform(F.split(s, ","), lambda p: F.trim(p)))
         .when(s.contains(";"), F.transform(F.split(s, ";"), lambda p: F.trim(p)))
         .otherwise(F.array(s))

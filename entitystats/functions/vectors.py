@@ -44,5 +44,8 @@ def text_vector(text: Column, dim: int = 384) -> Column:
 
 
 def names_checksum(names: Column) -> Column:
-    """SHA-256 of the compact JSON list."""
-    return F.sha2(F.to_json(names), 256)
+    """SHA-256 of the compact JSON list, characters beyond ASCII written as ``\\uXXXX``."""
+    text = F.to_json(names)
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(text, "UTF-16BE"))), F.lit("[0-9a-f]{4}"), F.lit(0))
+    plain = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), u)))
+    return F.sha2(F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(plain, "")).otherwise(text), 256)
