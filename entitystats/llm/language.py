@@ -29,9 +29,9 @@ PARTS = 256
 #: Characters of a piece; every piece begins a new phrase.
 PIECE_CHARS = 1024
 #: Pieces that are parsed side by side.
-SIDE_BY_SIDE = 4096
+SIDE_BY_SIDE = 2048
 #: Texts that are folded at once.
-TOGETHER = 1000
+TOGETHER = 250
 UNKNOWN = "und"
 
 
