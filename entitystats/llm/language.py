@@ -24,8 +24,8 @@ from entitystats.llm.common import col, fresh, kept
 #: The sample the languages are learned from: distinct documents a language, and characters of each.
 SAMPLE_DOCS = 100
 SAMPLE_CHARS = 400
-#: Parts of a language that are searched for the sample side by side.
-PARTS = 256
+#: Parts of a language that are searched for the sample side by side, in turn; the last is the whole language.
+PARTS = (256, 16, 1)
 #: Characters of a piece; every piece begins a new phrase.
 PIECE_CHARS = 1024
 #: Pieces that are parsed side by side.
@@ -141,10 +141,11 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, sample_chars).alias("head"))
     # first within a part of each language, so that no task sees more than a few hundred rows of each part
-    within = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-    least = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
-    least = least.withColumn("rank", within("lang", "part")).where(F.col("rank") <= sample_docs)
-    chosen = least.withColumn("rank", within("lang")).where(F.col("rank") <= sample_docs).select("lang", "h", "rank").collect()
+    least = rows.select("lang", "h").distinct()
+    for parts in PARTS:
+        within = Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(parts))).orderBy("h")
+        least = least.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= sample_docs)
+    chosen = least.collect()
     ranks = {(r["lang"], r["h"]): r["rank"] for r in chosen}
     heads = rows.where(F.col("h").isin([h for _, h in ranks] or [None])).groupBy("lang", "h").agg(F.min("head").alias("head")).collect()
     by_lang: dict[str, list[str]] = {}
