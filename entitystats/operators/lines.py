@@ -66,7 +66,7 @@ def line_groups(lines: DataFrame, player: str = "player", stat: str = "stat", li
     return (
         lines.groupBy(player, stat)
         .agg(F.count(F.lit(1)).alias("count"), F.min(v).alias("min_line"), F.max(v).alias("max_line"), F.avg(v).alias("avg_line"), latest.alias("rep"))
-        .select(player, stat, "count", "min_line", "max_line", F.round("avg_line", 2).alias("avg_line"), F.col("rep.id").alias("rep_id"), F.col("rep.line").alias("rep_line"))
+        .select(player, stat, "count", "min_line", "max_line", "avg_line", F.col("rep.id").alias("rep_id"), F.col("rep.line").alias("rep_line"))
     )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitystats.skew import as_list
+from entitystats.skew import Timeline, as_list
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -73,11 +73,15 @@ def page(df: DataFrame, order: Sequence, offset: int, limit: int) -> tuple[DataF
     return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def keep_newest(df: DataFrame, group: str | Sequence[str], ts: str, keep: int, tie: Sequence[str] = ()) -> DataFrame:
-    """Rows beyond the newest ``keep`` of each group (the ones to delete)."""
-    order = [F.col(c).desc() for c in [ts, *tie]]
-    rank = F.row_number().over(Window.partitionBy(*as_list(group)).orderBy(*order))
-    return df.withColumn("__rn", rank).filter(F.col("__rn") > keep).drop("__rn")
+def keep_newest(df: DataFrame, group: str | Sequence[str], ts: str, keep: int, tie: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+    """Rows beyond the newest ``keep`` of each group (the ones to delete).
+
+    A row goes if at least ``keep`` rows of its group come after it; a hot group
+    is counted over slices.
+    """
+    one = F.lit(1)
+    line = Timeline(df, group, [ts, *tie], max_rows).running(__upto=("count", one, True)).totals(__n=("count", one))
+    return line.result().filter(F.col("__n") - F.col("__upto") >= keep).drop("__upto", "__n")
 
 
 def common_columns(names: Sequence[str], df: DataFrame) -> list[str]:

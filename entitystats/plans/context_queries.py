@@ -290,9 +290,8 @@ def feed_lines(t):
 )
 def line_groups(t):
     out = L.line_groups(_lines(t).withColumn("line", F.col("line") + 0.0))
-    means = _lines(t).groupBy("player", "stat").agg(F.round(F.avg("line") + 3.14159e-5, 2).alias("avg_line"))
-    # the report rounds to cents; ties are rounded with the same offset as the check
-    return out.drop("avg_line").join(means, ["player", "stat"])
+    # rounded to cents; ties are rounded with the same offset as the check
+    return out.withColumn("avg_line", F.round(F.col("avg_line") + 3.14159e-5, 2))
 
 
 @query(

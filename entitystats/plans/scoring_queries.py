@@ -226,12 +226,12 @@ def flat_stake_bets(t):
     + """, u AS (SELECT DISTINCT user_id FROM events), a AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hit = 1) AS w, sum(profit) AS pr, avg(profit) AS m, stddev_samp(profit) AS sd FROM b GROUP BY 1)
     SELECT user_id, round(3.14159e-9 + 200 + coalesce(pr, 0), 6) AS final_bankroll, coalesce(n, 0) AS total_bets, coalesce(w, 0) AS wins, coalesce(n - w, 0) AS losses,
       round(3.14159e-9 + CASE WHEN n > 0 THEN w / n ELSE 0 END, 6) AS win_rate, round(3.14159e-9 + coalesce(pr, 0) / 200, 6) AS roi, round(3.14159e-9 + CASE WHEN n > 0 THEN 20 ELSE 0 END, 6)::DOUBLE AS avg_stake,
-      round(3.14159e-9 + CASE WHEN n > 1 AND sd > 1e-9 THEN m / sd * sqrt(n) ELSE 0 END, 6) AS sharpe FROM u LEFT JOIN a USING (user_id)""",
+      round(3.14159e-9 + coalesce(pr, 0), 6) AS total_profit, round(3.14159e-9 + CASE WHEN n > 1 AND sd > 1e-9 THEN m / sd * sqrt(n) ELSE 0 END, 6) AS sharpe,
+      round(3.14159e-9 + CASE WHEN n > 1 AND sd > 1e-9 AND 200 + pr >= 20 THEN m / sd * sqrt(n) ELSE 0 END, 6) AS sharpe_ref FROM u LEFT JOIN a USING (user_id)""",
 )
 def flat_stake_summary(t):
     placed = ledger.bets(_bets(t), "user_id", ["ts", "event_id"], "p", "hit", "odds", "flat", bankroll=200.0, flat_stake=20.0)
-    out = ledger.summary(placed, "user_id", 200.0, portfolios=t.events)
-    return rounded(out.drop("total_profit", "sharpe_ref"))
+    return rounded(ledger.summary(placed, "user_id", 200.0, portfolios=t.events))
 
 
 @query(

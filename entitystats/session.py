@@ -79,10 +79,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A settled result, with a broadcast hint if it has few enough rows.
+#: A side that is hinted for broadcast has at most so many bytes in its files, and so many rows.
+BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 1_000_000
 
-    The count comes from the file footers of the written table.
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Bytes of a plan's result as Spark estimates them; of a table read from files, their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def settled_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled result, with a broadcast hint if its files and its rows are few enough.
+
+    The count comes from the file footers of the written table. Without the
+    hint the join is left to Spark; the rows are the same either way.
     """
     table = settled(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return F.broadcast(table) if size_in_bytes(table) <= max_bytes and table.count() <= max_rows else table

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entitystats.session import max_rows_per_task
+from entitystats.session import BROADCAST_BYTES, BROADCAST_ROWS, max_rows_per_task, size_in_bytes
 
 SLICE = "__slice"
 HALO = "__halo"
@@ -323,10 +323,12 @@ def whole_key(column: str) -> Column:
     return F.pmod(F.hash(F.col(column)), F.lit(1))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after a bounded count shows the side is small.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after its size and a bounded count show the side is small.
 
     For plain tables, where counting is cheap; computed sides should go through
     ``settled_small`` so that they are not computed twice.
     """
+    if size_in_bytes(df) > max_bytes:
+        return df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from entitystats.operators.sets import keep_newest
+from entitystats.session import settled_small
 from entitystats.skew import Timeline, quantiles
 
 
@@ -78,3 +80,18 @@ def test_running_and_totals(rows, limit):
 def test_quantiles(rows, limit):
     probs = {"q25": 0.25, "med": 0.5, "q99": 0.99}
     same(quantiles(rows, "e", "v", probs, limit), quantiles(rows, "e", "v", probs, 10_000))
+
+
+@pytest.mark.parametrize("limit", [7, 10_000])
+def test_keep_newest_of_a_hot_group(spark, limit):
+    hot, cold = 180, [("b", 5), ("b", 1), ("c", 2), ("b", 9)]
+    data = [("a", (i * 37) % hot) for i in range(hot)] + cold + [("a", None), (None, 3), (None, 4), (None, 8)]
+    df = spark.createDataFrame(data, "g string, t int")
+    gone = {(r["g"], r["t"]) for r in keep_newest(df, "g", "t", 2, max_rows=limit).collect()}
+    assert gone == {("a", i) for i in range(hot - 2)} | {("a", None), ("b", 1), (None, 3)}
+
+
+def test_wide_rows_are_not_hinted_for_broadcast(spark):
+    df = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(settled_small(df)) and not hinted(settled_small(df, max_bytes=10_000)) and not hinted(settled_small(df, max_rows=100))
