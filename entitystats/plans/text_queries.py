@@ -68,15 +68,15 @@ def morale_units(t):
 @query(
     "news_by_source",
     """
-    SELECT source, lang, 0 AS part, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE length(text) > 0 GROUP BY source, lang
+    SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS position, md5(text) AS digest FROM documents WHERE length(text) > 0
     """,
 )
 def news_by_source(t):
-    """Texts of one source and language joined by blank lines."""
-    from entitystats.sources.files import joined_texts
+    """Texts of one source and language in the order of their ids."""
+    from entitystats.sources.files import ordered_texts
 
-    out = joined_texts(t.documents, ["source", "lang"], "text", "doc_id")
-    return out.select("source", "lang", "part", "n", F.md5("text").alias("digest"))
+    out = ordered_texts(t.documents, ["source", "lang"], "text", "doc_id")
+    return out.select("source", "lang", "doc_id", "position", F.md5("text").alias("digest"))
 
 
 @query(

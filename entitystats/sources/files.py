@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from entitystats.functions.text import file_key, keyword_flags
 from entitystats.operators.lines import FEED_SCHEMA
 from entitystats.operators.normalize import GAME_ALIASES
+from entitystats.session import settled_small
 from entitystats.skew import Timeline, as_list
 
 #: Fields of a game log; everything is read as text and typed later.
@@ -95,8 +96,9 @@ def read_raw_games(spark: SparkSession, path: str, more: Sequence[str] = ("playe
 def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFrame:
     """Tracking rows from ``<name>.json``, ``.csv`` or ``.parquet``; per name the first kind wins.
 
-    JSON may be a list or an object that holds one; CSV is plain, without quotes.
-    All values are read as text.
+    JSON may be a list or an object that holds one. CSV cells may be quoted and
+    then hold commas and doubled quotes, but no line breaks; a cell that a short
+    row lacks is null. All values are read as text.
     """
     from entitystats.operators.aggregates import TRACKING
 
@@ -117,8 +119,9 @@ def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFr
         place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
         lines = spark.read.text(f"{base}/*.csv").select(name("csv").alias(key), place.alias("i"), F.col("value"))
         head = lines.groupBy(key).agg(F.min("i").alias("h"), F.min_by("value", "i").alias("head"))
-        body = lines.join(head, key).filter("i > h").select(key, F.map_from_arrays(_csv(F.col("head")), _csv(F.col("value"))).alias("m"))
-        parts.append(body.select(key, F.lit(1).alias("__kind"), *[F.col("m").getItem(f).alias(f) for f in fields]))
+        body = lines.join(head, key).filter("i > h").select(key, csv_cells(F.col("head")).alias("h"), csv_cells(F.col("value")).alias("c"))
+        cell = lambda f: F.get("c", F.array_position("h", f).cast("int") - 1)
+        parts.append(body.select(key, F.lit(1).alias("__kind"), *[cell(f).alias(f) for f in fields]))
     if _paths_exist(spark, f"{base}/*.parquet"):
         raw = spark.read.option("mergeSchema", "true").parquet(f"{base}/*.parquet")
         cols = [(F.col(f).cast("string") if f in raw.columns else F.lit(None).cast("string")).alias(f) for f in fields]
@@ -130,12 +133,19 @@ def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFr
     return rows.join(first, key).filter("__kind = __first").drop("__kind", "__first")
 
 
-def _csv(line: Column) -> Column:
-    return F.transform(F.split(line, ","), lambda c: F.trim(c))
+def csv_cells(line: Column) -> Column:
+    """Cells of a CSV line; quotes around a cell go, doubled ones inside become one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]++|"")*+"\s*|[^,]*+)'), F.lit(1))
+    inside = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(F.transform(raw, lambda c: F.trim(c)), lambda c: F.when(c.rlike('(?s)^".*"$') & (F.length(c) > 1), inside(c)).otherwise(c))
 
 
 def read_corpus(spark: SparkSession, base: str) -> DataFrame:
-    """(key, path, text) of text files; JSON and CSV files are reduced to their text."""
+    """(key, path, text) of text files; JSON and CSV files are reduced to their text.
+
+    A JSON file that cannot be parsed has an empty text. The cells of a CSV row
+    are joined by a space, rows by a line break; blank rows are left out.
+    """
     files = spark.read.text(f"{base}/*", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     suffix = F.lower(F.regexp_extract("file", r"(\.[^.]+)$", 1))
     value = F.col("value")
@@ -143,8 +153,9 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
     field = F.coalesce(*[F.get_json_object(value, f"$.{n}") for n in ("text", "body", "content")])
     string = F.from_json(F.concat(F.lit('{"s":'), value, F.lit("}")), "s string")["s"]
     lead = F.substring(F.ltrim(value), 1, 1)
-    json_text = F.when(lead == '"', string).when(lead == "[", listed).otherwise(F.coalesce(field, value))
-    csv_text = F.regexp_replace(F.rtrim(value), ",", " ")
+    json_text = F.when(F.try_parse_json(value).isNull(), "").when(lead == '"', string).when(lead == "[", listed).otherwise(F.coalesce(field, value))
+    lines = F.filter(F.split(value, r"\r?\n"), lambda r: F.length(r) > 0)
+    csv_text = F.array_join(F.transform(lines, lambda r: F.array_join(csv_cells(r), " ")), "\n")
     text = F.when(suffix == ".json", json_text).when(suffix == ".csv", csv_text).otherwise(value)
     return files.filter(suffix.isin(TEXT_SUFFIXES)).select(F.regexp_replace("file", r"\.[^.]+$", "").alias("key"), F.col("file").alias("path"), text.alias("text"))
 
@@ -166,25 +177,22 @@ def corpus_matches(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
 
 
 def corpus_for_names(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
-    """Text per name in path order (see ``joined_texts`` for very long ones)."""
-    return joined_texts(corpus_matches(names, name, corpus), ["__who"], "text", "path").select(F.col("__who").alias(name), "part", "text")
+    """(name, position, path, text): the texts of every name in path order, one row each."""
+    found = ordered_texts(corpus_matches(names, name, corpus), ["__who"], "text", "path")
+    return found.select(F.col("__who").alias(name), "position", "path", "text")
 
 
-def joined_texts(
-    df: DataFrame, keys: str | Sequence[str], text: str, order: str, max_chars: int = 50_000_000, max_rows: int | None = None
-) -> DataFrame:
-    """Texts per key joined by blank lines in ``order``; empty ones are left out.
+def ordered_texts(df: DataFrame, keys: str | Sequence[str], text: str, order: str, max_rows: int | None = None) -> DataFrame:
+    """(keys, position, order, text): the texts of a key numbered from 0 in ``order``; empty ones are left out.
 
-    A key whose texts exceed ``max_chars`` comes as several consecutive parts
-    (``part`` 0, 1, ...), so that no row or task has to hold an unbounded text;
-    nothing is cut off. Other keys have the one part 0.
+    Read by position they make up the joined text of the key. They stay rows of
+    their own, so a key may have any number of texts; a hot key is numbered over
+    slices.
     """
     keys = as_list(keys)
-    rows = df.filter(F.length(text) > 0).select(*keys, F.col(order).alias("__o"), F.col(text).alias("__t"))
-    line = Timeline(rows, keys, ["__o"], max_rows).running(__before=("sum", F.length("__t"), False))
-    parts = line.result().withColumn("part", F.floor(F.coalesce("__before", F.lit(0)) / max_chars).cast("int"))
-    grouped = parts.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("l"))
-    return grouped.select(*keys, "part", "n", F.array_join(F.transform("l", lambda s: s["__t"]), "\n\n").alias("text"))
+    rows = df.filter(F.length(text) > 0).select(*keys, order, text)
+    line = Timeline(rows, keys, [order], max_rows).running(__upto=("count", F.lit(1), True))
+    return line.result().select(*keys, (F.col("__upto") - 1).alias("position"), order, text)
 
 
 def corpus_flags(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
@@ -250,12 +258,22 @@ def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     return pairs.groupBy(F.lower("k").alias("name")).agg(F.max(F.upper("v")).alias("code"))
 
 
-def name_map(spark: SparkSession, path: str, limit: int = 10_000) -> dict[str, str]:
-    """The same as a dict for ``team_code``; a name table is small by nature and checked."""
-    rows = read_name_map(spark, path).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"name map has more than {limit} entries; join read_name_map instead")
-    return {r["name"]: r["code"] for r in rows}
+def with_codes(df: DataFrame, name: str, names: DataFrame, out: str = "code") -> DataFrame:
+    """Adds the code of a name from a table of names (see ``read_name_map``) of any size.
+
+    A name that is a code already is kept; else the full name counts, else its
+    last word, else the first three letters in capitals.
+    """
+    table = settled_small(names.select("name", F.col("code").alias("__code")))
+    text = F.lower(F.trim(name))
+    last = F.element_at(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), -1)
+    for key, label in ((text, "__full"), (last, "__last")):
+        df = df.withColumn("__key", key).join(table.select(F.col("name").alias("__key"), F.col("__code").alias(label)), "__key", "left").drop("__key")
+    shape = F.trim(name)
+    is_code = (F.length(shape) == 3) & (shape == F.upper(shape)) & (F.upper(shape) != text)
+    code = F.coalesce("__full", "__last", F.substring(F.upper(shape), 1, 3))
+    kept = F.col(name).isNull() | (F.col(name) == "")
+    return df.withColumn(out, F.when(kept, F.col(name)).when(is_code, shape).otherwise(code)).drop("__full", "__last")
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_jsonl_and_audit(spark, tmp_path):
 def test_tracking(spark, tmp_path):
     (tmp_path / "ann.json").write_text(json.dumps({"rows": [{"avg_speed_mph": 4, "touches": 10}, {"touches": "12"}]}))
     (tmp_path / "ann.csv").write_text("touches,game_date\n99,2024\n")
-    (tmp_path / "bob.csv").write_text("game_date,touches,exp_fg_pct\n2024-01-01,11,52%\n2024-01-02,,\n")
+    (tmp_path / "bob.csv").write_text('game_date,note,touches,exp_fg_pct\n2024-01-01,"late, away",11,52%\n2024-01-02,,,\n')
     spark.createDataFrame([(3.0,)], "touches double").coalesce(1).toPandas().to_parquet(tmp_path / "cy.parquet")
     rows = files.read_tracking(spark, str(tmp_path))
     assert sorted((r["entity"], r["touches"]) for r in rows.collect()) == [("ann", "10"), ("ann", "12"), ("bob", ""), ("bob", "11"), ("cy", "3.0")]
@@ -44,19 +44,24 @@ def test_corpus(spark, tmp_path):
     (tmp_path / "lebron_james.txt").write_text("He is out.")
     (tmp_path / "lebron_extra.json").write_text(json.dumps({"text": "new contract"}))
     (tmp_path / "ann_lee.json").write_text(json.dumps(["one", "two"]))
+    (tmp_path / "bad_one.json").write_text('{"text": "cut off')
+    (tmp_path / "quoted_one.csv").write_text('a,"b, c",d\n\n"say ""hi""",e\n')
     (tmp_path / "x.bin").write_text("no")
     corpus = files.read_corpus(spark, str(tmp_path))
     names = spark.createDataFrame([("LeBron James",), ("Lebron",), ("Ann Lee",), ("Zed",)], "n string")
-    got = {r["n"]: r["text"] for r in files.corpus_for_names(names, "n", corpus).collect()}
-    assert got == {"LeBron James": "He is out.", "Lebron": "new contract\n\nHe is out.", "Ann Lee": "one\n\ntwo"}
+    got = sorted((r["n"], r["position"], r["text"]) for r in files.corpus_for_names(names, "n", corpus).collect())
+    assert got == [("Ann Lee", 0, "one\n\ntwo"), ("LeBron James", 0, "He is out."), ("Lebron", 0, "new contract"), ("Lebron", 1, "He is out.")]
+    texts = {r["path"]: r["text"] for r in corpus.collect()}
+    assert texts["bad_one.json"] == "" and texts["quoted_one.csv"] == 'a b, c d\nsay "hi" e'
     flags = {r["n"]: (r["injury_sentiment"], r["motivation"]) for r in files.corpus_flags(names, "n", corpus).collect()}
     assert flags == {"LeBron James": (-1, 0), "Lebron": (-1, 1), "Ann Lee": (0, 0)}
 
 
-def test_long_texts_come_in_parts(spark):
-    df = spark.createDataFrame([("k", i, "abcde") for i in range(7)] + [("s", 0, "z")], "k string, i int, t string")
-    rows = files.joined_texts(df, "k", "t", "i", max_chars=10, max_rows=3).orderBy("k", "part").collect()
-    assert [(r["k"], r["part"], r["n"]) for r in rows] == [("k", 0, 2), ("k", 1, 2), ("k", 2, 2), ("k", 3, 1), ("s", 0, 1)]
+@pytest.mark.parametrize("limit", [3, None])
+def test_texts_in_order(spark, limit):
+    df = spark.createDataFrame([("k", i, f"t{i}") for i in range(7)] + [("k", 9, ""), ("k", 10, None), ("s", 0, "z")], "k string, i int, t string")
+    rows = files.ordered_texts(df, "k", "t", "i", max_rows=limit).orderBy("k", "position").collect()
+    assert [tuple(r) for r in rows] == [("k", i, i, f"t{i}") for i in range(7)] + [("s", 0, 0, "z")]
 
 
 def test_feed(spark, tmp_path):
@@ -71,10 +76,12 @@ def test_feed(spark, tmp_path):
 
 def test_small_readers(spark, tmp_path):
     (tmp_path / "names.json").write_text(json.dumps({"My Town": "myt"}))
-    names = files.name_map(spark, str(tmp_path / "names.json"))
-    assert names == {"my town": "MYT"}
-    df = spark.createDataFrame([("MY Town",), ("Lakers",)], "n string")
-    assert [r[0] for r in df.select(team_code(F.col("n"), names)).collect()] == ["MYT", "LAK"]
+    names = files.read_name_map(spark, str(tmp_path / "names.json"))
+    df = spark.createDataFrame([("MY Town",), ("Lakers",), ("ABC",), ("",), (None,)], "n string")
+    coded = files.with_codes(df, "n", names)
+    assert {r["n"]: r["code"] for r in coded.collect()} == {"MY Town": "MYT", "Lakers": "LAK", "ABC": "ABC", "": "", None: None}
+    given = {r["name"]: r["code"] for r in names.collect()}
+    same(coded, df.withColumn("code", team_code(F.col("n"), given)))
     (tmp_path / "c.csv").write_text("player,season,PER,WS\nAnn,2023-24,20.5,9\n")
     assert files.read_canonical(spark, str(tmp_path / "c.csv")).first()["PER"] == 20.5
     (tmp_path / "a.csv").write_text("roster_name,resolved_player_id\nAnn,12.0\nBob, \nCy,\n")
