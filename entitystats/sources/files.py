@@ -146,9 +146,15 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
     A JSON file that cannot be parsed has an empty text. The cells of a CSV row
     are joined by a space, rows by a line break; blank rows are left out.
     """
-    files = spark.read.text(f"{base}/*", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    suffix = F.lower(F.regexp_extract("file", r"(\.[^.]+)$", 1))
-    value = F.col("value")
+    file = F.col("_metadata.file_name")
+    suffix = F.lower(F.regexp_extract(file, r"(\.[^.]+)$", 1))
+    found = spark.read.text(f"{base}/*", wholetext=True).select(F.regexp_replace(file, r"\.[^.]+$", "").alias("key"), file.alias("path"), F.col("value"), suffix.alias("suffix"))
+    return texts_of(found.filter(F.col("suffix").isin(TEXT_SUFFIXES)), "value", "suffix").select("key", "path", F.col("value").alias("text"))
+
+
+def texts_of(rows: DataFrame, body: str, suffix: str) -> DataFrame:
+    """File bodies reduced to their text by their suffix; other columns stay."""
+    value = F.col(body)
     listed = F.array_join(F.from_json(value, "array<string>"), "\n\n")
     field = F.coalesce(*[F.get_json_object(value, f"$.{n}") for n in ("text", "body", "content")])
     string = F.from_json(F.concat(F.lit('{"s":'), value, F.lit("}")), "s string")["s"]
@@ -156,8 +162,7 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
     json_text = F.when(F.try_parse_json(value).isNull(), "").when(lead == '"', string).when(lead == "[", listed).otherwise(F.coalesce(field, value))
     lines = F.filter(F.split(value, r"\r?\n"), lambda r: F.length(r) > 0)
     csv_text = F.array_join(F.transform(lines, lambda r: F.array_join(csv_cells(r), " ")), "\n")
-    text = F.when(suffix == ".json", json_text).when(suffix == ".csv", csv_text).otherwise(value)
-    return files.filter(suffix.isin(TEXT_SUFFIXES)).select(F.regexp_replace("file", r"\.[^.]+$", "").alias("key"), F.col("file").alias("path"), text.alias("text"))
+    return rows.withColumn(body, F.when(F.col(suffix) == ".json", json_text).when(F.col(suffix) == ".csv", csv_text).otherwise(value))
 
 
 def corpus_matches(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
@@ -209,7 +214,7 @@ def corpus_flags(names: DataFrame, name: str, corpus: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with header; dates and times in ISO form. ``single`` is for small reports."""
+    """CSV with header, quotes doubled; dates and times in ISO form. ``single`` is for small reports."""
     iso = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -217,7 +222,7 @@ def export_csv(df: DataFrame, path: str, single: bool = False) -> None:
         elif isinstance(f.dataType, T.DateType):
             iso[f.name] = F.date_format(f.name, "yyyy-MM-dd")
     out = df.withColumns(iso) if iso else df
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -243,9 +248,13 @@ def rewrite_parquet(df: DataFrame, column: str, path: str) -> None:
     naive_utc(df, column).write.mode("overwrite").parquet(path)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """JSON:API documents, either an object with data/included or a bare array of lines."""
-    whole = spark.read.text(path, wholetext=True)
+def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON:API documents, either an object with data/included or a bare array of lines.
+
+    A file is one document, read by one task; with ``lines`` each line is one,
+    and large files split.
+    """
+    whole = spark.read.text(path, wholetext=not lines)
     schema = T.StructType.fromDDL(FEED_SCHEMA)
     is_list = F.ltrim("value").startswith("[")
     body = F.when(is_list, F.concat(F.lit('{"data":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
