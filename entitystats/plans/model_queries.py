@@ -147,3 +147,180 @@ def batch_scores(t):
     asked = M.predict_per_entity(_by(rows, "test"), models, "user_id", FEATURES)
     out = M.score_lines(asked, F.col("prediction"), F.lit(50.0), F.col("last_10_avg"))
     return rounded(out.select("event_id", "predicted_value", "over_probability", "recommendation", "expected_value"))
+
+
+# -- the same operators on cases with a closed form, over whole tables ---------------
+_PRICES = "SELECT l_orderkey, l_linenumber, l_suppkey, (l_quantity > 25)::INTEGER AS x, l_extendedprice AS y FROM lineitem"
+
+
+def _prices(t):
+    """Line items with one flag and their price."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") > 25).cast("int").alias("x"), F.col("l_extendedprice").alias("y"))
+
+
+@query(
+    "ensemble_of_one_flag",
+    f"""
+    WITH d AS ({_PRICES}), m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM d),
+    e AS (SELECT mx, my, sign(c) * greatest(abs(c) - 0.05, 0) / (v + 0.05) AS w FROM m), g AS (SELECT x, avg(y) AS mean, count(*) AS n FROM d GROUP BY x)
+    SELECT g.x, n, round(3.14159e-5 + mean, 2) AS pred_gbt, round(3.14159e-5 + my + w * (g.x - mx), 2) AS pred_elastic,
+           round(3.14159e-5 + 0.9 * mean + 0.1 * (my + w * (g.x - mx)), 2) AS prediction FROM g, e
+    """,
+)
+def ensemble_of_one_flag(t):
+    """With one flag a boosted tree predicts group means and the net soft-thresholds one slope; forests draw rows at random and are left out."""
+    rows = _prices(t)
+    scored = M.fit_ensemble(rows, ["x"], "y", {"gbt": 0.9, "elastic": 0.1}, trees=1, depth=1).transform(rows)
+    means = scored.groupBy(F.col("x").cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("pred_gbt", "pred_elastic", "prediction")])
+    return rounded(means, 2)
+
+
+@query(
+    "scaled_elastic_of_one_feature",
+    """
+    WITH m AS (SELECT covar_pop(l_quantity, l_extendedprice) / stddev_samp(l_quantity) AS c, var_pop(l_quantity) / var_samp(l_quantity) AS v FROM lineitem)
+    SELECT 'l_quantity' AS feature, round(3.14159e-5 + sign(c) * greatest(abs(c) - 0.05, 0) / (v + 0.05), 2) AS coefficient FROM m
+    """,
+)
+def scaled_elastic_of_one_feature(t):
+    _, coef = M.fit_scaled_elastic(t.lineitem, ["l_quantity"], "l_extendedprice")
+    return rounded(t.spark.createDataFrame(list(coef.items()), "feature string, coefficient double"), 2)
+
+
+_VARYING = """
+    WITH d AS (SELECT o_totalprice, (o_orderstatus = 'P')::INTEGER AS is_playoff, o_custkey * 0 AS recent_awards_count, month(o_orderdate) * 0 AS travel_distance_km FROM orders),
+    v AS (SELECT 'is_playoff' AS feature, count(DISTINCT is_playoff) AS n FROM d UNION ALL SELECT 'recent_awards_count', count(DISTINCT recent_awards_count) FROM d
+          UNION ALL SELECT 'travel_distance_km', count(DISTINCT travel_distance_km) FROM d)
+"""
+
+
+def _one_varies(t):
+    """Orders with one contextual feature that varies and two that do not."""
+    zero = F.lit(0)
+    return t.orders.select(
+        F.col("o_totalprice").alias("target"), (F.col("o_orderstatus") == "P").cast("int").alias("is_playoff"), (F.col("o_custkey") * zero).alias("recent_awards_count"),
+        (F.month("o_orderdate") * zero).alias("travel_distance_km"),
+    )
+
+
+@query("importance_of_varying", _VARYING + "SELECT feature, (n > 1)::INTEGER::DOUBLE AS importance FROM v")
+def importance_of_varying(t):
+    return M.contextual_importance(_one_varies(t), "target", trees=1)
+
+
+@query("pruning_of_constants", _VARYING + "SELECT feature FROM v WHERE n > 1")
+def pruning_of_constants(t):
+    _, kept = M.prune_contextual(_one_varies(t), "target", trees=1)
+    return t.spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@query("elimination_of_constants", _VARYING + "SELECT feature FROM v WHERE n > 1")
+def elimination_of_constants(t):
+    left = M.eliminate(_one_varies(t), "target", 1, ["is_playoff", "recent_awards_count", "travel_distance_km"], trees=1)
+    return t.spark.createDataFrame([(f,) for f in left], "feature string")
+
+
+_LINES = """
+    WITH d AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity AS x, l_extendedprice AS y, l_orderkey % 4 = 0 AS test FROM lineitem),
+    f AS (SELECT l_suppkey, covar_pop(y, x) / var_pop(x) AS b, avg(y) AS my, avg(x) AS mx FROM d WHERE NOT test AND l_suppkey % 10 > 0 GROUP BY 1 HAVING count(*) >= 10),
+    p AS (SELECT d.*, my + b * (x - mx) AS prediction, my FROM d LEFT JOIN f USING (l_suppkey) WHERE test)
+"""
+
+
+def _tested(t):
+    """(training rows, without every tenth supplier; test rows) of a line per supplier."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("adv_x"), F.col("l_extendedprice").alias("y"))
+    test = F.col("l_orderkey") % 4 == 0
+    return rows.filter(~test & (F.col("l_suppkey") % 10 > 0)), rows.filter(test)
+
+
+@query(
+    "entity_line_evaluation",
+    _LINES + """
+    , m AS (SELECT l_suppkey, count(*) AS n, sqrt(avg((prediction - y) ** 2)) AS rmse, avg(abs(prediction - y)) AS mae FROM p WHERE prediction IS NOT NULL GROUP BY 1)
+    SELECT s.l_suppkey, m.n, round(3.14159e-6 + rmse, 3) AS rmse, round(3.14159e-6 + mae, 3) AS mae, CASE WHEN f.b IS NULL THEN 'missing_model' WHEN m.n IS NULL THEN 'no_rows' ELSE 'ok' END AS status
+    FROM (SELECT DISTINCT l_suppkey FROM lineitem) s LEFT JOIN f USING (l_suppkey) LEFT JOIN m USING (l_suppkey)
+    """,
+)
+def entity_line_evaluation(t):
+    """Least squares per supplier on three quarters of the orders, measured on the rest."""
+    train, test = _tested(t)
+    models = M.fit_per_entity(train, "l_suppkey", ["adv_x"], "y", alpha=0.0)
+    out = M.evaluation_report(test, "l_suppkey", "y", models, ["adv_x"], t.lineitem)
+    return rounded(out.select("l_suppkey", "n", "rmse", "mae", "status"), 3)
+
+
+@query(
+    "entity_line_ablation",
+    _LINES + """
+    SELECT l_suppkey, round(3.14159e-6 + sqrt(avg((prediction - y) ** 2)), 3) AS rmse_full, round(3.14159e-6 + sqrt(avg((my - y) ** 2)), 3) AS rmse_without
+    FROM p WHERE prediction IS NOT NULL GROUP BY 1
+    """,
+)
+def entity_line_ablation(t):
+    """Without its only feature a model is the mean of its training rows."""
+    train, test = _tested(t)
+    out = M.ablation(train, test, "l_suppkey", ["adv_x"], "y", alpha=0.0)
+    return rounded(out.select("l_suppkey", "rmse_full", "rmse_without"), 3)
+
+
+@query(
+    "entity_line_predictions",
+    _LINES + "SELECT l_orderkey, l_linenumber, round(3.14159e-6 + prediction, 3) AS prediction FROM p",
+)
+def entity_line_predictions(t):
+    train, test = _tested(t)
+    models = M.fit_per_entity(train, "l_suppkey", ["adv_x"], "y", alpha=0.0)
+    return rounded(M.predict_per_entity(test, models, "l_suppkey", ["adv_x"]).select("l_orderkey", "l_linenumber", "prediction"), 3)
+
+
+# the non-decreasing fit at a level: the largest, over starts, of the least, over ends, of block means
+_LEVELS = """
+    WITH d AS (SELECT {key} AS k, least(1.0::DOUBLE, floor(n_chars / 200) / 40) AS p, {truth}::DOUBLE AS y FROM labels JOIN documents USING (doc_id)),
+    l AS (SELECT k, p, sum(y) AS s, count(*) AS w FROM d WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY k, p),
+    c AS (SELECT k, p, s, w, sum(s) OVER u AS cs, sum(w) OVER u AS cw, sum(w) OVER (PARTITION BY k) AS n FROM l WINDOW u AS (PARTITION BY k ORDER BY p)),
+    b AS (SELECT i.k, i.p, a.p AS lo, min((e.cs - a.cs + a.s) / (e.cw - a.cw + a.w)) AS y
+          FROM c i JOIN c a ON a.k IS NOT DISTINCT FROM i.k AND a.p <= i.p JOIN c e ON e.k IS NOT DISTINCT FROM i.k AND e.p >= i.p GROUP BY 1, 2, 3),
+    fit AS (SELECT k, p, max(y) AS cal FROM b GROUP BY 1, 2)
+"""
+
+
+def _levels(t, key, truth):
+    """Labelled documents with a prediction in steps of a fortieth."""
+    p = F.least(F.lit(1.0), F.floor(F.col("n_chars") / 200) / 40)
+    return t.labels.join(t.documents, "doc_id").select(key.alias("k"), p.alias("p"), truth.cast("double").alias("y"))
+
+
+@query(
+    "isotonic_levels",
+    _LEVELS.format(key="lang", truth="quality") + """
+    SELECT d.k, count(*) AS n, round(3.14159e-9 + avg((d.p - y) ** 2), 6) AS mse_before, round(3.14159e-9 + avg((cal - y) ** 2), 6) AS mse_after
+    FROM d JOIN fit ON fit.k = d.k AND fit.p = d.p GROUP BY d.k
+    """,
+)
+def isotonic_levels(t):
+    rows = _levels(t, F.col("lang"), F.col("quality")).filter("k IS NOT NULL AND y IS NOT NULL")
+    return rounded(M.calibration_report(rows, "k", "y", "p", min_pairs=1).select("k", "n", "mse_before", "mse_after"))
+
+
+@query(
+    "binary_levels",
+    _LEVELS.format(key="source", truth="(quality > 0.5)::INTEGER") + """
+    SELECT d.k, count(*) AS n, round(3.14159e-9 + avg((d.p - y) ** 2), 6) AS brier_raw, round(3.14159e-9 + avg((cal - y) ** 2), 6) AS brier_cal, avg((cal - y) ** 2) <= avg((d.p - y) ** 2) AS saved
+    FROM d JOIN fit ON fit.k = d.k AND fit.p = d.p GROUP BY d.k
+    """,
+)
+def binary_levels(t):
+    rows = _levels(t, F.col("source"), (F.col("quality") > 0.5).cast("int")).filter("k IS NOT NULL AND y IS NOT NULL")
+    return rounded(M.binary_calibrators(rows, "k", "y", "p", min_rows=1).select("k", "n", "brier_raw", "brier_cal", "saved"))
+
+
+@query(
+    "global_isotonic_levels",
+    _LEVELS.format(key="1", truth="quality") + "SELECT p, w AS n, round(3.14159e-9 + cal, 6) AS prediction FROM fit JOIN l USING (k, p)",
+)
+def global_isotonic_levels(t):
+    rows = _levels(t, F.lit(1), F.col("quality")).filter("y IS NOT NULL")
+    model = M.global_isotonic(rows, "y", "p")
+    levels = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("p"))
+    return rounded(model.transform(levels).select("p", "n", "prediction"))
