@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from entitystats.functions import values as V
 from entitystats.functions.dates import minutes_played
 from entitystats.operators.normalize import pick
-from entitystats.session import max_rows_per_task, settled
+from entitystats.session import join_per_key, max_rows_per_task, settled
 from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join, quantiles, whole_key
 
 #: Box-score measures and the spellings they come in - fixed values.
@@ -355,12 +355,13 @@ def compare_by_key(a: DataFrame, b: DataFrame, key, columns: Sequence[str], rati
 def mean_lookup(train: DataFrame, rows: DataFrame, entity, value: str, name: str = "pred") -> DataFrame:
     """Entity mean of the training rows, or the mean of all of them.
 
-    Sums per entity serve both means, so the training rows are read once per use.
+    The training rows are read once, for sums per entity that serve both means.
     """
     keys = as_list(entity)
-    means = train.groupBy(*keys).agg(F.avg(value).alias(f"__{name}"))
-    overall = train.agg(F.avg(value).alias("m")).scalar()
-    return rows.join(means, keys, "left").withColumn(name, F.coalesce(F.col(f"__{name}"), overall)).drop(f"__{name}")
+    sums = settled(train.groupBy(*keys).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n")))
+    overall = sums.agg((F.sum("s") / F.sum("n")).alias("m")).scalar()
+    means = sums.select(*keys, (F.col("s") / F.nullif("n", F.lit(0))).alias(f"__{name}"))
+    return join_per_key(rows, means, keys, "left").withColumn(name, F.coalesce(F.col(f"__{name}"), overall)).drop(f"__{name}")
 
 
 def baseline_error(train: DataFrame, rows: DataFrame, entity, value: str, split: str = "split") -> DataFrame:

@@ -11,6 +11,9 @@ from entitystats.functions.teams import HIGH_ALTITUDE_M, coordinates, haversine_
 from entitystats.session import settled_small
 from entitystats.skew import Timeline, as_list, null_safe_join
 
+#: Parts that the history of an entity is dealt over.
+FORM_PARTS = 16
+
 
 def opponent_adjusted(
     history: DataFrame, requests: DataFrame, entity, ts: str, value: str, opponent: str, rating: str,
@@ -20,25 +23,35 @@ def opponent_adjusted(
 
     ``requests`` has one row per entity with the coming opponent and rating.
     Stronger means a rating at or below the current one, similar within two
-    points. All figures are conditional aggregates, so history rows combine
-    before they are shuffled. Pass ``settled_small`` requests to have a small
-    request table broadcast.
+    points. An entity's history is dealt over ``FORM_PARTS`` parts by a hash of
+    its rows, which meet as many copies of the entity's one request; the sums
+    of the parts are added up. So no task sees a whole hot entity. Pass
+    ``settled_small`` requests to have a small request table broadcast.
     """
     keys = as_list(entity)
-    joined = history.join(requests, keys)
     v = F.col(value).cast("double")
+    part = F.pmod(F.xxhash64(ts, *tie, value, opponent), F.lit(FORM_PARTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(FORM_PARTS - 1)))
+    joined = history.withColumn("__part", part).join(requests.withColumn("__part", parts), [*keys, "__part"])
     same = F.col(opponent).cast("string") == F.col(current_opponent).cast("string")
     stronger = F.col(rating) <= F.col(current_rating)
     similar = F.abs(F.col(rating) - F.col(current_rating)) <= 2.0
     at = F.struct(*[F.col(c) for c in [ts, *tie]])
     meeting = F.when(same & v.isNotNull(), at)
-    form = joined.groupBy(*keys).agg(
-        F.count(F.when(same, v)).alias("games_vs_current_opponent"),
-        F.avg(F.when(same, v)).alias("avg_vs_current_opponent"),
-        F.avg(F.when(stronger, v)).alias("avg_vs_stronger_def"),
-        F.avg(F.when(similar, v)).alias("avg_vs_similar_def"),
-        F.max_by(F.col(ts), meeting).alias("last_game_vs_current_opponent_date"),
-        F.max_by(v, meeting).alias("last_game_vs_current_opponent_stat"),
+    kinds = {"same": same, "stronger": stronger, "similar": similar}
+    sums = joined.groupBy(*keys, "__part").agg(
+        *[F.count(F.when(on, v)).alias(f"__n_{k}") for k, on in kinds.items()], *[F.sum(F.when(on, v)).alias(f"__s_{k}") for k, on in kinds.items()],
+        F.max(meeting).alias("__at"), F.max_by(F.struct(F.col(ts).alias("ts"), v.alias("v")), meeting).alias("__last"),
+    )
+    mean = lambda k: F.sum(f"__s_{k}") / F.nullif(F.sum(f"__n_{k}"), F.lit(0))
+    last = F.max_by("__last", "__at")
+    form = sums.groupBy(*keys).agg(
+        F.sum("__n_same").alias("games_vs_current_opponent"),
+        mean("same").alias("avg_vs_current_opponent"),
+        mean("stronger").alias("avg_vs_stronger_def"),
+        mean("similar").alias("avg_vs_similar_def"),
+        last["ts"].alias("last_game_vs_current_opponent_date"),
+        last["v"].alias("last_game_vs_current_opponent_stat"),
     )
     out = requests.select(*keys).join(form, keys, "left")
     return out.withColumn("games_vs_current_opponent", F.coalesce("games_vs_current_opponent", F.lit(0).cast("bigint")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entitystats.operators.context import opponent_adjusted, travel_features
 from entitystats.operators.windows import latest_rows, rolling_summary
-from entitystats.session import settled_small
+from entitystats.session import join_per_key, settled_small
 from entitystats.skew import Timeline, as_list
 
 
@@ -49,7 +49,7 @@ def spec_samples(
     if not causal:
         recent = latest_rows(games.filter(F.col(value).isNotNull()), keys, ts, n, tie)
         stats = recent.groupBy(*keys).agg(F.avg(value).alias("recent_mean"), F.stddev_pop(value).alias("recent_std"))
-        return specs.join(stats, keys, "left")
+        return join_per_key(specs, stats, keys, "left")
     extra = [c for c in specs.columns if c not in [*keys, ts]]
     # values are taken from their overall mean, so that squares stay small
     centre = F.coalesce(games.agg(F.avg(value).alias("m")).scalar(), F.lit(0.0))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from entitystats.operators.calibration import regression_metrics
 from entitystats.operators.normalize import CONTEXT_FLAGS, ablate, numeric_columns
+from entitystats.session import join_per_key
 from entitystats.skew import SLICE, Timeline, as_list
 
 #: Blend weights, penalties and seed - fixed values.
@@ -274,7 +275,7 @@ def predict_per_entity(df: DataFrame, models: DataFrame, entity: str | Sequence[
     total = F.col("intercept")
     for i, f in enumerate(features):
         total = total + F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * F.get("coefficients", F.lit(i))
-    out = df.join(models.select(*keys, "intercept", "coefficients"), keys, "left")
+    out = join_per_key(df, models.select(*keys, "intercept", "coefficients"), keys, "left")
     return out.withColumn(name, total).drop("intercept", "coefficients")
 
 
@@ -367,8 +368,8 @@ def isotonic_calibrators(df: DataFrame, entity: str, truth: str, pred: str, min_
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     """Linear between the points, constant outside; the position is found by bisection."""
-    powers = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
-    pos = F.aggregate(powers, F.lit(0), lambda at, step: F.when(F.get(xs, at + step - 1) <= x, at + step).otherwise(at))
+    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    pos = F.aggregate(powers, F.lit(0), lambda at, step: F.when((step <= F.size(xs) - at) & (F.get(xs, at + step - 1) <= x), at + step).otherwise(at))
     at = lambda arr, i: F.get(arr, i)
     x0, x1, y0, y1 = at(xs, pos - 1), at(xs, pos), at(ys, pos - 1), at(ys, pos)
     return F.when(pos == 0, at(ys, F.lit(0))).when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
@@ -376,13 +377,13 @@ def interpolate(x: Column, xs: Column, ys: Column) -> Column:
 
 def apply_isotonic(df: DataFrame, calibrators: DataFrame, entity: str, pred: str, name: str = "calibrated") -> DataFrame:
     """Adds the calibrated value; the raw one where the entity has no calibrator."""
-    out = df.join(calibrators.select(entity, "xs", "ys"), entity, "left")
+    out = join_per_key(df, calibrators.select(entity, "xs", "ys"), [entity], "left")
     raw = F.col(pred).cast("double")
     return out.withColumn(name, F.coalesce(F.when(F.col("xs").isNotNull(), interpolate(raw, F.col("xs"), F.col("ys"))), raw)).drop("xs", "ys")
 
 
 def apply_linear(df: DataFrame, calibrators: DataFrame, entity: str, pred: str, name: str = "calibrated") -> DataFrame:
-    out = df.join(calibrators.select(entity, "slope", "intercept"), entity, "left")
+    out = join_per_key(df, calibrators.select(entity, "slope", "intercept"), [entity], "left")
     return out.withColumn(name, F.coalesce(F.col("slope") * F.col(pred) + F.col("intercept"), F.col(pred).cast("double"))).drop("slope", "intercept")
 
 

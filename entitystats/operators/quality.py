@@ -148,7 +148,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     is never gathered in one window.
     """
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return null_safe_join(df, repeated, list(keys), "inner")
+    return null_safe_join(df, settled_small(repeated), list(keys), "inner")
 
 
 def split_ranges(df: DataFrame, ts: str, split: str = "split") -> DataFrame:

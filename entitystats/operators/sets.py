@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entitystats.session import join_per_key
 from entitystats.skew import Timeline, as_list
 
 
@@ -60,7 +61,7 @@ def duplicate_groups(df: DataFrame, key: str | Sequence[str], ident: str, ts: st
 def surplus_rows(df: DataFrame, key: str | Sequence[str], ident: str, ts: str) -> DataFrame:
     """The rows to delete: every row of a repeated key except the newest."""
     groups = duplicate_groups(df, key, ident, ts).select(*as_list(key), "keep_id")
-    return df.join(groups, as_list(key)).filter(F.col(ident) != F.col("keep_id")).drop("keep_id")
+    return join_per_key(df, groups, as_list(key)).filter(F.col(ident) != F.col("keep_id")).drop("keep_id")
 
 
 def keyset_page(df: DataFrame, ident: str, after: int, size: int) -> DataFrame:

@@ -97,3 +97,13 @@ def settled_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int
     """
     table = settled(df)
     return F.broadcast(table) if size_in_bytes(table) <= max_bytes and table.count() <= max_rows else table
+
+
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined to a table that has one row per key, such as an aggregate of them.
+
+    An aggregate right below a join keeps Spark from splitting a hot key of the
+    other side. Written and read back, the table is broadcast if it is small;
+    else both sides are shuffled for the join alone, and AQE may split them.
+    """
+    return df.join(settled_small(per_key), keys, how)

@@ -95,3 +95,33 @@ def test_wide_rows_are_not_hinted_for_broadcast(spark):
     df = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t"))
     hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(settled_small(df)) and not hinted(settled_small(df, max_bytes=10_000)) and not hinted(settled_small(df, max_rows=100))
+
+
+def test_form_of_a_hot_entity(spark):
+    from entitystats.operators.context import opponent_adjusted
+
+    rows = [("hot", i, float(i % 13), f"o{i % 5}", float(100 + i % 7)) for i in range(900)] + [("cold", i, float(i), "o1", 101.0) for i in range(5)] + [("cold", 9, None, "o2", 99.0)]
+    history = spark.createDataFrame(rows, "e string, t int, v double, opp string, rating double")
+    asked = spark.createDataFrame([("hot", "o2", 103.0), ("cold", "o2", 101.0), ("none", "o1", 1.0)], "e string, now string, now_rating double")
+    got = {r["e"]: r for r in opponent_adjusted(history, asked, "e", "t", "v", "opp", "rating", "now", "now_rating").collect()}
+    for e, now, at in (("hot", "o2", 103.0), ("cold", "o2", 101.0), ("none", "o1", 1.0)):
+        mine = [r for r in rows if r[0] == e and r[2] is not None]
+        mean = lambda values: sum(values) / len(values) if values else None
+        met = [r for r in mine if r[3] == now]
+        last = max(met, key=lambda r: r[1]) if met else None
+        row = got[e]
+        assert row["games_vs_current_opponent"] == len(met)
+        assert row["avg_vs_current_opponent"] == pytest.approx(mean([r[2] for r in met]))
+        assert row["avg_vs_stronger_def"] == pytest.approx(mean([r[2] for r in mine if r[4] <= at]))
+        assert row["avg_vs_similar_def"] == pytest.approx(mean([r[2] for r in mine if abs(r[4] - at) <= 2]))
+        assert (row["last_game_vs_current_opponent_date"], row["last_game_vs_current_opponent_stat"]) == ((last[1], last[2]) if last else (None, None))
+
+
+def test_joins_to_one_row_per_key_can_be_split(spark):
+    from entitystats.operators.aggregates import mean_lookup
+
+    train = spark.createDataFrame([("hot", float(i % 3)) for i in range(90)] + [("b", 5.0), ("c", None)], "e string, v double")
+    rows = spark.createDataFrame([("hot",)] * 90 + [("b",), ("c",), ("new",)], "e string")
+    got = mean_lookup(train, rows, "e", "v")
+    assert {r["e"]: r["pred"] for r in got.collect()} == {"hot": 1.0, "b": 5.0, "c": 95 / 91, "new": 95 / 91}
+    assert got.count() == 93
