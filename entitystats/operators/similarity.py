@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +10,8 @@ from pyspark.sql import types as T
 
 from entitystats.functions.vectors import text_vector
 
-#: Query vectors handled in one pass over the items.
-QUERY_BLOCK = 2_000
+#: Item rows and query rows that meet in one task, about; and queries scored at once.
+ITEM_TILE, QUERY_TILE, AT_ONCE = 8_192, 2_000, 128
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,66 +37,69 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def top_similar(items: DataFrame, queries: DataFrame, k: int = 5, ident: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """The k most similar items of every query: (query_id, id, score, rank).
 
-    Each task multiplies its item batches with the block of query vectors and
-    keeps k rows per query, so what is shuffled is k rows per task and query.
-    The block is at most ``QUERY_BLOCK`` vectors; more queries mean more passes
-    over the items, one per block, with the same result.
+    Items and queries are dealt over tiles by hashes of their rows; a task
+    multiplies one tile of each and keeps k rows per query. Tiles are about
+    ``ITEM_TILE`` and ``QUERY_TILE`` rows whatever the tables hold, nothing
+    passes through the driver but the two counts. Vectors of unlike lengths
+    score 0. Equal scores go to the smaller id.
     """
-    spark = items.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        parts.append(_best_of_block(spark, items, part, k, ident, vector, query_id, query_vector))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), ident))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def _best_of_block(spark, items, queries, k, ident, vector, query_id, query_vector) -> DataFrame:
-    rows = queries.select(query_id, query_vector).collect()  # at most about QUERY_BLOCK rows
-    out_schema = T.StructType(
+    item_tiles = max(1, -(-items.count() // ITEM_TILE))
+    query_tiles = max(1, -(-queries.count() // QUERY_TILE))
+    dealt = lambda df, tiles, name: F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int").alias(name)
+    every = lambda tiles, name: F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias(name)
+    left, right = items.select(ident, vector), queries.select(query_id, query_vector)
+    left = left.select("*", dealt(left, item_tiles, "__i"), every(query_tiles, "__q"))
+    right = right.select("*", dealt(right, query_tiles, "__q"), every(item_tiles, "__i"))
+    schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
             T.StructField(ident, items.schema[ident].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    by_dim: dict[int, list] = {}
-    for r in rows:
-        by_dim.setdefault(len(r[1] or []), []).append(r)
-    shared = spark.sparkContext.broadcast(
-        [(d, [r[0] for r in rs], _unit_rows(np.array([r[1] for r in rs], float)) if d else None) for d, rs in by_dim.items()]
-    )
+    out = _arrow(schema)
+
+    def meet(some: pa.Table, asked: pa.Table) -> pa.Table:
+        # ids in order, so that of equal scores the first is the one with the smaller id
+        some = some.take(pa.array(np.argsort(some.column(ident).to_pandas().to_numpy(), kind="stable")))
+        q, i, score = _best(some.column(vector), asked.column(query_vector), k)
+        return pa.table([asked.column(query_id).take(pa.array(q)), some.column(ident).take(pa.array(i)), pa.array(score)], names=out.names).cast(out)
+
+    best = left.groupBy("__i", "__q").cogroup(right.groupBy("__i", "__q")).applyInArrow(meet, schema)
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), ident))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            ids = batch.column(0).to_pandas().to_numpy()
-            found = []
-            for dim, names, q in shared.value:
-                if dim:
-                    m, valid = _matrix(batch.column(1), dim)
-                    scores = _unit_rows(m) @ q.T
-                    scores[~valid] = 0.0
-                else:
-                    scores = np.zeros((len(ids), len(names)))
-                order = np.argsort(ids, kind="stable")
-                for j, name in enumerate(names):
-                    s = scores[order, j]
-                    top = order[np.argsort(-s, kind="stable")[:k]]
-                    found.append(pd.DataFrame({query_id: [name] * len(top), ident: ids[top], "score": scores[top, j]}))
-            if found:
-                merged = pd.concat([*([kept] if kept is not None else []), *found], ignore_index=True)
-                merged = merged.sort_values(["score", ident], ascending=[False, True], kind="stable")
-                kept = merged.groupby(query_id, sort=False, dropna=False).head(k)
-        if kept is not None:
-            yield pa.RecordBatch.from_pandas(kept.reset_index(drop=True), schema=_arrow(out_schema), preserve_index=False)
-
-    return items.select(ident, vector).mapInArrow(scan, out_schema)
+def _best(items: pa.ChunkedArray, queries: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, item row, score) of the k best items of each query, ties to the earlier item."""
+    sizes = np.array([len(v) if v is not None else 0 for v in queries.to_pandas()], int)
+    q_out, i_out, s_out = [], [], []
+    for dim in np.unique(sizes) if len(items) else []:
+        members = np.flatnonzero(sizes == dim)
+        if dim:
+            m, valid = _matrix(items, dim)
+            m = _unit_rows(m)
+            asked = _unit_rows(_matrix(queries.take(pa.array(members)), dim)[0])
+        for at in range(0, len(members), AT_ONCE):
+            some = members[at : at + AT_ONCE]
+            if dim:
+                scores = asked[at : at + AT_ONCE] @ m.T
+                scores[:, ~valid] = 0.0
+                scores[np.isnan(scores)] = 0.0  # a vector with a missing component
+            else:
+                scores = np.zeros((len(some), len(items)))
+            least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+            row, col = np.nonzero(scores >= least[:, None])
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)  # place within its query
+            row, col = row[nth < k], col[nth < k]
+            q_out.append(some[row])
+            i_out.append(col)
+            s_out.append(scores[row, col])
+    if not q_out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return np.concatenate(q_out), np.concatenate(i_out), np.concatenate(s_out)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

@@ -104,7 +104,7 @@ def test_pooled_models(linear):
 
 @pytest.mark.parametrize("block", [1, 2000])
 def test_top_similar_against_loop(spark, monkeypatch, block):
-    monkeypatch.setattr(SIM, "QUERY_BLOCK", block)
+    monkeypatch.setattr(SIM, "QUERY_TILE", block)
     rng = np.random.default_rng(0)
     vec = rng.normal(size=(80, 6))
     vec[7] = 0
