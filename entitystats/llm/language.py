@@ -3,8 +3,10 @@
 For each language a suffix automaton of a bounded sample of its labelled text
 recognises every substring of the sample. A text is parsed greedily: each
 phrase is the longest match from where the last phrase ended. Phrases times the
-binary logarithm of the sample's length, divided by the number of characters,
-is the cross entropy in bits a character; the language with the least wins.
+binary logarithm of the longest sample's length, divided by the number of
+characters, is the cross entropy in bits a character; the language with the
+least wins. Every language pays this one price for a phrase, so a label with
+little text gains nothing from it.
 
 Texts are parsed in pieces of a fixed length, so a very long text costs no
 memory, and many pieces are parsed side by side, one character a step.
@@ -85,7 +87,7 @@ class Parser:
             tables.append(np.where(table < 0, -1, table + base))
             base += len(table)
         self.table = np.concatenate(tables).astype(np.int32).ravel()
-        self.logs = np.array([np.log2(max(2, len(text))) for _, text in samples])
+        self.price = np.log2(max(2, max((len(text) for _, text in samples), default=0)))
         self.points = np.array([ord(ch) for ch in letters], np.uint32)
 
     def codes(self, text: str) -> np.ndarray:
@@ -135,8 +137,8 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
 
     Of each language's distinct texts those with the smallest hashes are taken,
     ``sample_docs`` of them and ``sample_chars`` characters of each, so the
-    sample is bounded by the number of languages. Samples are cut to one
-    length, so that no language has more to match.
+    sample is bounded by the number of languages. A language's sample does not
+    depend on how much text the others have.
     """
     rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, sample_chars).alias("head"))
@@ -152,8 +154,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     for row in sorted((r for r in heads if (r["lang"], r["h"]) in ranks), key=lambda r: (r["lang"], ranks[r["lang"], r["h"]])):
         by_lang.setdefault(row["lang"], []).append(folded(row["head"]))
     whole = {lang: " ".join(texts) for lang, texts in by_lang.items()}
-    size = min((len(text) for text in whole.values()), default=0)
-    return tuple((lang, text[: max(size, 2000)]) for lang, text in sorted(whole.items()))
+    return tuple(sorted(whole.items()))
 
 
 def costs(model: Parser, texts: list[str]) -> np.ndarray:
@@ -175,7 +176,7 @@ def costs(model: Parser, texts: list[str]) -> np.ndarray:
             if len(waiting) == SIDE_BY_SIDE:
                 parse()
     parse()
-    return counts * model.logs / np.maximum(1, [len(t) for t in texts])[:, None]
+    return counts * model.price / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
 def judged(model: Parser, batch: pd.Series) -> pd.DataFrame:
