@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from entitystats.llm.common import any_text, col, kept
 
 STRIDE = 4
-#: Window classes: steps of the walk; items take the longest walk their words allow.
+#: Window classes: steps of the walk; items take every walk their words allow.
 WALKS = (10, 24)
+#: Items of fewer words are found through their pieces.
+PIECES_BELOW = 27
 #: Independent walks, choices of steps for each walk and class, steps in a choice.
 REPEATS, CHOICES, SAMPLED = 2, 6, (4, 5)
 #: Edits allowed for each word of an item.
@@ -107,6 +109,29 @@ def allowed(words: int) -> int:
     return int(EDITS * words)
 
 
+class Met:
+    """Keys of items, looked up by keys of documents."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners, self.offsets = keys[order].astype(np.uint64), owners[order], offsets[order]
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+    def at(self, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, offset) wherever the key of a start is one of an item."""
+        hit = np.flatnonzero(self.filter[self._slot(keys)])
+        starts, keys = starts[hit], keys[hit]
+        first = np.searchsorted(self.keys, keys, "left")
+        count = np.searchsorted(self.keys, keys, "right") - first
+        which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(starts, count), self.owners[which], self.offsets[which]
+
+
 class Items:
     """Signatures of a block of benchmark items."""
 
@@ -115,35 +140,28 @@ class Items:
         self.numbers = _Words()
         self.words = [word_ids(t or "", self.numbers) for _, t in items]
         keys, owners, offsets = [], [], []
-        short: dict[int, list[tuple[int, int, int]]] = {}
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for n, words in enumerate(self.words):
-            fits = [c for c, walk in enumerate(WALKS) if len(words) >= walk + STRIDE - 1]
-            if fits:
-                c = fits[-1]
+            for c in self._fits(words):
                 starts = np.arange(len(words) - WALKS[c] + 1)
                 padded = np.concatenate((words, np.zeros(WALKS[c], np.uint64)))
                 for _, key in _keys(padded, starts, WALKS[c], [c]):
                     keys.append(key)
                     owners.append(np.full(len(starts), n))
                     offsets.append(starts)
-            elif len(words):
+            if 0 < len(words) < PIECES_BELOW:
                 size = len(words) // (allowed(len(words)) + 1)
                 for piece in range(allowed(len(words)) + 1):
-                    short.setdefault(size, []).append((self._gram(words[piece * size :], size)[0].item(), n, piece * size))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        offsets = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners, self.offsets = keys[order], owners[order], offsets[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self._slot(self.keys)] = True
-        self.classes = sorted({max(c for c, walk in enumerate(WALKS) if len(w) >= walk + STRIDE - 1) for w in self.words if len(w) >= WALKS[0] + STRIDE - 1})
-        self.short = {size: (np.array([k for k, _, _ in found], np.uint64), found) for size, found in short.items()}
+                    pieces.setdefault(size, []).append((self._gram(words[piece * size :], size)[0].item(), n, piece * size))
+        self.walked = Met(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owners, offsets)))
+        self.pieces = {size: Met(np.array([k for k, _, _ in found], np.uint64), np.array([n for _, n, _ in found]), np.array([o for _, _, o in found])) for size, found in pieces.items()}
+        self.classes = sorted({c for w in self.words for c in self._fits(w)})
         self.masks = [self._masks(w) for w in self.words]
 
     @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    def _fits(words: np.ndarray) -> list[int]:
+        """Window classes of an item: every walk its words allow."""
+        return [c for c, walk in enumerate(WALKS) if len(words) >= max(PIECES_BELOW, walk + STRIDE - 1)]
 
     @staticmethod
     def _gram(words: np.ndarray, size: int) -> np.ndarray:
@@ -189,22 +207,10 @@ class Items:
                 starts = begins[part : part + AT_ONCE]
                 lo, hi = starts[0], starts[-1] + walk + 1
                 for _, key in _keys(words[lo:hi], starts - lo, walk, self.classes):
-                    hit = np.flatnonzero(self.filter[self._slot(key)])
-                    yield self._met(starts[hit], key[hit])
-        for size, (_, found) in self.short.items():
+                    yield self.walked.at(starts, key)
+        for size, met in self.pieces.items():
             grams = self._gram(words, size)
-            keys = np.array([k for k, _, _ in found], np.uint64)
-            place = np.flatnonzero(np.isin(grams, keys))
-            for k, n, offset in found:
-                at = place[grams[place] == np.uint64(k)]
-                if len(at):
-                    yield at, np.full(len(at), n), np.full(len(at), offset)
-
-    def _met(self, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        first = np.searchsorted(self.keys, keys, "left")
-        count = np.searchsorted(self.keys, keys, "right") - first
-        which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(starts, count), self.owners[which], self.offsets[which]
+            yield met.at(np.arange(len(grams)), grams)
 
     def search(self, texts: list[str]) -> list[dict[int, int]]:
         """For each text the items found in it, with their edits."""

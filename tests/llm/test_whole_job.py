@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-from entitystats.llm import language
+import random
+
+import pytest
+
+from entitystats.llm import decontaminate, language
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +19,21 @@ def test_rare_label_takes_nothing(spark):
         assert {k: v for k, v in samples.items() if k != "xx"} == alone and samples["xx"] == language.folded(label[: language.SAMPLE_CHARS])
         after = language.judged(language.Parser(sorted(samples.items())), texts).lang.tolist()
         assert sum(a != b for a, b in zip(after, before)) <= (label[:9] == texts[0][:9])
+
+
+def edited(words, edits, rng):
+    out = [[w] for w in words]
+    for k, place in enumerate(rng.sample(range(len(words)), edits)):
+        out[place] = ([f"new{rng.randrange(10**6)}"], [], [words[place], f"new{rng.randrange(10**6)}"])[k % 3]
+    return [w for part in out for w in part]
+
+
+@pytest.mark.parametrize("length", [*range(5, 60), 80, 120])
+def test_items_of_every_length_are_found(length):
+    rng = random.Random(length)
+    texts = [[f"w{n}x{k}" for k in range(length)] for n in range(60)]
+    items = decontaminate.Items([(n, " ".join(words)) for n, words in enumerate(texts)])
+    for edits in {0, 1, decontaminate.allowed(length)}:
+        hosts = [" ".join(["host"] * rng.randrange(30, 60) + edited(words, edits, rng) + ["q"] * 10) for words in texts]
+        found = sum(n in x for n, x in enumerate(items.search(hosts)))
+        assert found >= 59, (edits, found)
