@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from entitystats.llm import decontaminate, language
+from entitystats.llm import decontaminate, language, nearest
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,26 @@ def test_items_of_every_length_are_found(length):
         hosts = [" ".join(["host"] * rng.randrange(30, 60) + edited(words, edits, rng) + ["q"] * 10) for words in texts]
         found = sum(n in x for n, x in enumerate(items.search(hosts)))
         assert found >= 59, (edits, found)
+
+
+@pytest.mark.parametrize("kind", ["few", "one_long", "uneven"])
+def test_search_of_uneven_vectors(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((15 if kind == "few" else 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one_long":
+        x[7] *= 10
+    elif kind == "uneven":
+        x *= np.exp(0.7 * rng.standard_normal((len(x), 1)))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    asked = range(0, len(x), 1 if kind == "few" else 8)
+    got = nearest.nearest(table, 20, "true" if kind == "few" else "vec_id % 8 = 0").toPandas().groupby("query_id")["vec_id"].apply(set)
+    wanted = min(20, len(x) - 1)
+    hits = 0
+    for q in asked:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert len(got[q]) == wanted
+        hits += len(got[q] & set(np.argsort(-scores)[:wanted].tolist()))
+    assert hits >= (1 if kind == "few" else 0.9) * wanted * len(asked)
+    print(kind, "recall", hits / (wanted * len(asked)))
