@@ -13,7 +13,6 @@ so many small cells lose next to nothing and never grow with the corpus.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,68 +81,92 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(donor: list[int], other: list[int], sizes: list[int], gap: int, least: int):
-    """The exchange that adds most to ``other``, above ``least`` and within ``gap``.
-
-    Returns (gain, items to other, items to donor): a move has no item back, a
-    swap has one, a two-for-one has two against one.
-    """
-    best = (0, (), ())
-    back = sorted((sizes[j], j) for j in other)
-    values = [0, *(s for s, _ in back)]
-    names = [(), *((j,) for _, j in back)]
-    given = [(sizes[i], (i,)) for i in donor] + [(sizes[a] + sizes[b], (a, b)) for k, a in enumerate(donor) for b in donor[k + 1 :]]
-    for size, items in given:
-        # the smallest value to take back that leaves the gain within the gap
-        k = bisect_right(values, size - gap - 1)
-        if k < len(values):
-            gain = size - values[k]
-            if least < gain and gain > best[0] and not (len(items) == 2 and not names[k] and gain > gap):
-                best = (gain, items, names[k])
-                if gain == gap:
-                    break
-    return best
-
-
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, effort: int = 8) -> list[list[int]]:
+class _Bins:
+    """Bins with the distinct sizes in each, so that one look finds the best exchange of a bin with all others."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int) -> None:
+        self.bins, self.sizes = bins, sizes
+        self.fills = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        self.capacity, self.none = capacity, 2 * capacity + 1
+        self.values = np.full((len(bins), 2 + max((len({sizes[i] for i in b}) for b in bins), default=0)), self.none, np.int64)
+        for b in range(len(bins)):
+            self.note(b)
+
+    def note(self, b: int) -> None:
+        """Take down the sizes in a bin; the first value, 0, stands for nothing in return."""
+        own = [0, *sorted({self.sizes[i] for i in self.bins[b]})]
+        if len(own) > self.values.shape[1]:
+            more = np.full((len(self.bins), len(own)), self.none, np.int64)
+            self.values = np.concatenate((self.values, more), axis=1)
+        self.values[b] = self.none
+        self.values[b, : len(own)] = own
+
+    def exchange(self, donor: int, others: np.ndarray) -> int:
+        """Make the exchange with one of ``others`` that raises the sum of squares most; its bin, or -1.
+
+        The donor gives one or two pieces and takes back one or none.
+        """
+        held = self.bins[donor]
+        given = {self.sizes[i]: (i,) for i in held}
+        for k, a in enumerate(held):
+            for b in held[k + 1 :]:
+                given.setdefault(self.sizes[a] + self.sizes[b], (a, b))
+        wholes = np.array(list(given), np.int64)
+        lead = self.fills[others] - self.fills[donor]
+        gaps, least = (self.capacity - self.fills[others])[:, None], np.maximum(0, -lead)[:, None]
+        values = self.values[others]
+        best, which = 0, (0, 0, 0)
+        for at in range(0, len(wholes), max(1, (1 << 20) // max(1, values.size))):
+            gain = wholes[at : at + max(1, (1 << 20) // max(1, values.size)), None, None] - values
+            raised = np.where((gain > least) & (gain <= gaps), gain * (gain + lead[:, None]), 0)
+            k = int(raised.argmax())
+            if raised.flat[k] > best:
+                best, (g, o, v) = int(raised.flat[k]), np.unravel_index(k, raised.shape)
+                which = at + int(g), int(o), int(v)
+        if not best:
+            return -1
+        there, b, value = given[int(wholes[which[0]])], int(others[which[1]]), int(values[which[1:]])
+        back = [next(i for i in self.bins[b] if self.sizes[i] == value)] if value else []
+        self.bins[donor] = [i for i in held if i not in there] + back
+        self.bins[b] = [i for i in self.bins[b] if i not in back] + list(there)
+        gain = int(wholes[which[0]]) - value
+        self.fills[donor] -= gain
+        self.fills[b] += gain
+        self.note(donor)
+        self.note(b)
+        return b
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search on the sum of squared fills; every step raises it, so it ends.
 
-    It also ends at a bound below which no packing can go, or after looking at
-    ``effort`` pairs of bins for each item.
+    It ends where no exchange raises it any more, or at a bound below which no
+    packing can go. Pairs of bins neither of which has changed since they were
+    tried are not tried again.
     """
-    fills = [sum(sizes[i] for i in b) for b in bins]
-    floor = max(-(-sum(fills) // capacity), sum(2 * s > capacity for s in sizes))
-    looks = effort * len(sizes)
+    state = _Bins(bins, sizes, capacity)
+    fills = state.fills
+    floor = max(-(-int(fills.sum()) // capacity), sum(2 * s > capacity for s in sizes))
     count = len(bins)
-    live = {b for b in range(len(bins)) if fills[b] < capacity}
-    settled_bins: set[int] = set()
-    while count > floor and looks > 0:
-        donors = [b for b in live if b not in settled_bins]
-        if not donors:
-            break
-        donor = min(donors, key=lambda b: (fills[b], b))
-        changed = False
-        for b in sorted(live - {donor}, key=lambda b: (-fills[b], b)):
-            looks -= 1
-            gap, need = capacity - fills[b], fills[donor] - fills[b]
-            if not bins[donor] or looks < 0:
-                break
-            gain, there, here = _exchange(bins[donor], bins[b], sizes, gap, max(0, need))
-            if not gain:
-                continue
-            bins[donor] = [i for i in bins[donor] if i not in there] + list(here)
-            bins[b] = [i for i in bins[b] if i not in here] + list(there)
-            fills[donor] -= gain
-            fills[b] += gain
-            changed = True
-            settled_bins.discard(b)
-            if fills[b] == capacity:
-                live.discard(b)
-        if not bins[donor]:
-            live.discard(donor)
-            count -= 1
-        elif not changed:
-            settled_bins.add(donor)
+    clock, changed, tried = 1, np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    moved = True
+    while moved and count > floor:
+        moved = False
+        for donor in np.argsort(fills, kind="stable").tolist():
+            while count > floor and 0 < fills[donor] < capacity:
+                open_bins = (fills > 0) & (fills < capacity)
+                if changed[donor] <= tried[donor]:
+                    open_bins &= changed > tried[donor]
+                open_bins[donor] = False
+                others = np.flatnonzero(open_bins)
+                b = state.exchange(donor, others) if len(others) else -1
+                if b < 0:
+                    tried[donor] = clock
+                    break
+                moved = True
+                clock += 1
+                changed[donor] = changed[b] = clock
+                count -= fills[donor] == 0
     return [b for b in bins if b]
 
 

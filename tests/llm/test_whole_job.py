@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import itertools
 import random
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from entitystats.llm import decontaminate, language, nearest
+from entitystats.llm import decontaminate, language, nearest, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,21 @@ def test_search_of_uneven_vectors(spark, kind):
         hits += len(got[q] & set(np.argsort(-scores)[:wanted].tolist()))
     assert hits >= (1 if kind == "few" else 0.9) * wanted * len(asked)
     print(kind, "recall", hits / (wanted * len(asked)))
+
+
+def packed(low, high, count, seed=1):
+    rng = random.Random(seed)
+    sizes = [rng.randint(low, high) for _ in range(count)]
+    return sizes, packing.improve(packing.best_fit(sizes, 1024), sizes, 1024)
+
+
+def test_search_of_packings_goes_to_its_end():
+    sizes, bins = packed(260, 420, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(4096)) and max(sum(sizes[i] for i in b) for b in bins) <= 1024
+    assert len(bins) <= 1420
+    sizes, bins = packed(300, 520, 400)
+    for donor, other in itertools.permutations(bins, 2):
+        mine, theirs = sum(sizes[i] for i in donor), sum(sizes[i] for i in other)
+        given = [sizes[i] for i in donor] + [sizes[a] + sizes[b] for a, b in itertools.combinations(donor, 2)]
+        gains = [g - v for g in given for v in (0, *(sizes[i] for i in other))]
+        assert not any(max(0, mine - theirs) < gain <= 1024 - theirs for gain in gains)
