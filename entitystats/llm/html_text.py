@@ -39,8 +39,8 @@ SAMPLE_CHARS = 60_000
 TOGETHER = 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-SILENT = frozenset("script style noscript template iframe svg math head textarea select option button title object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+SILENT = frozenset("script style noscript template iframe head textarea select option button title object canvas audio video".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -83,16 +83,17 @@ def parse(page: str) -> Node:
     """The tree of a page's blocks; inline elements only mark link text.
 
     Unclosed and stray tags are repaired as browsers mostly do. Comments,
-    scripts and styles leave nothing behind.
+    scripts, styles and drawings leave nothing behind; formulas leave their text.
     """
     root = Node("html", frozenset(), None)
     here, links, at = root, 0, 0
+    drawn: list[str] = []  # open svg elements, and foreignobject elements in them
     run: list[str] = []
     run_links = 0
 
     def text(piece: str) -> None:
         nonlocal run_links
-        if piece:
+        if piece and not drawn:
             run.append(piece)
             if links:
                 run_links += len(piece)
@@ -120,6 +121,18 @@ def parse(page: str) -> Node:
         if name is None:
             continue
         name, rest = name.lower(), m.group(3) or ""
+        if name == "svg" or drawn and name == "foreignobject":
+            if not m.group(1) and not rest.endswith("/"):
+                drawn.append(name)
+            elif m.group(1) and name in drawn:
+                while drawn.pop() != name:
+                    pass
+            continue
+        if drawn and (rest.endswith("/") or name not in RAW):
+            # a block ends an svg left open, unless it is foreign content of it
+            if name not in BLOCK or "foreignobject" in drawn:
+                continue
+            drawn.clear()
         if m.group(1):
             if name == "a":
                 links = max(0, links - 1)

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from entitystats.llm import decontaminate, language, nearest, packing
+from entitystats.llm import decontaminate, html_text, language, nearest, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +81,14 @@ def test_search_of_packings_goes_to_its_end():
         given = [sizes[i] for i in donor] + [sizes[a] + sizes[b] for a, b in itertools.combinations(donor, 2)]
         gains = [g - v for g in given for v in (0, *(sizes[i] for i in other))]
         assert not any(max(0, mine - theirs) < gain <= 1024 - theirs for gain in gains)
+
+
+@pytest.mark.parametrize("before, inside, seen", [
+    ("<svg class=icon/>", "", ""), ("<math/>", "", ""), ("<svg><path d='x'>", "", ""), ("<svg><svg><text>in</text></svg><text>out</text></svg>", "", ""),
+    ("<svg><foreignObject><div>in</div></foreignObject><text>out</text></svg>", "", ""), ("<svg><title/><style/></svg>", "", ""),
+    ("", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("", "<svg><text>no</text></svg>", ""),
+])
+def test_drawings_and_formulas(before, inside, seen):
+    page = f"<body>{before}<article><p>One{inside} two.</p><p>Three</p></article></body>"
+    texts = [n.text for n in html_text.nodes(html_text.parse(page)) if n.text]
+    assert texts == [f"One{seen} two.", "Three"]
