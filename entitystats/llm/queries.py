@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +141,44 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_cgk_decontamination"] = op10_cgk_decontamination
+
+
+@_query("op11_concat_and_cut", "documents")
+def op11_concat_and_cut(docs: DataFrame) -> DataFrame:
+    from entitystats.llm.concatenation import concatenated
+
+    return concatenated(docs, TOKENIZER, capacity=2048, end_id=1)
+
+
+@_query("op12_integer_weight_repair", "conversations")
+def op12_integer_weight_repair(rows: DataFrame) -> DataFrame:
+    from entitystats.llm.repair import damaged, repair_reports
+
+    return repair_reports(damaged(rows), copies_col="copies")
+
+
+def repeated_words(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of a document; where the checksum of its id ends in 0, made periodic from some word on. A null id changes nothing."""
+    h = zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + list(itertools.islice(itertools.cycle(words[a : a + p]), n - a))
+
+
+@_query("op13_block_convolution_runs", "documents")
+def op13_block_convolution_runs(docs: DataFrame) -> DataFrame:
+    from entitystats.llm.periodic import periodic_runs
+
+    found = periodic_runs(docs, rewrite=repeated_words)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    length, period = F.col("best.length"), -F.col("best.shorter")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
