@@ -20,19 +20,34 @@ def numbered(df: DataFrame, order: Sequence[str], start: Column, name: str = "id
     return line.result().withColumn(name, start + F.col("__i")).drop("__all", "__i")
 
 
-def resolve_entities(records: DataFrame, entities: DataFrame, seq: str, name: str = "name", ext: str = "ext_id") -> tuple[DataFrame, DataFrame]:
-    """(records with ``entity_id``, the entity table after the batch).
+def entity_changes(records: DataFrame, entities: DataFrame, seq: str, name: str = "name", ext: str = "ext_id") -> tuple[DataFrame, DataFrame]:
+    """(records with ``entity_id``, entities of the batch that are new or got their external id).
 
     A record finds its entity by external id, else by name; what is left makes
-    new entities, one per name. An entity without an external id takes the
-    first one that arrives under its name. ``entities`` has id, name, ext_id.
+    new entities, one per name, numbered after the largest id in the order of
+    ``seq``. An entity without an external id takes the first one that arrives
+    under its name. ``entities`` has id, name, ext_id. The same records and
+    entities always give the same ids.
     """
+    pairs, resolved = _paired(records, entities, seq, name, ext)
+    created = _created(resolved, entities)
+    assigned = (
+        resolved.join(created.select(F.col("id").alias("__new"), F.col("name").alias("__nn")), resolved["__label"] == F.col("__nn"), "left")
+        .select("n", "x", F.coalesce("__found", "__new").alias("entity_id"))
+    )
+    out = null_safe_join(records, assigned.withColumnsRenamed({"n": name, "x": ext}), [name, ext])
+    took = resolved.filter("__owns AND __found IS NOT NULL").groupBy(F.col("__found").alias("id")).agg(F.min("x").alias("__x"))
+    filled = entities.join(took, "id").select("id", "name", F.col("__x").alias("ext_id"))
+    return out, filled.unionByName(created)
+
+
+def _paired(records: DataFrame, entities: DataFrame, seq: str, name: str, ext: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct (name, external id) pairs of the records, and what each resolves to; both settled."""
     known_names = entities.groupBy(F.col("name").alias("__kn")).agg(
         F.min_by("id", "id").alias("__id_n"), F.min_by("ext_id", "id").alias("__ext_n")
     )
     known_ext = entities.filter("ext_id IS NOT NULL").groupBy(F.col("ext_id").alias("__ke")).agg(F.min("id").alias("__id_e"))
     label = F.coalesce(F.col(name), F.concat(F.lit("player_"), F.col(ext).cast("string")))
-    # records reduce to distinct (name, ext) pairs before any join
     pairs = records.select(F.col(name).alias("n"), label.alias("label"), F.col(ext).alias("x"), F.col(seq).alias("s"))
     pairs = pairs.groupBy("n", "label", "x").agg(F.min("s").alias("s"))
     pairs = settled(pairs.join(known_ext, pairs["x"] == known_ext["__ke"], "left").drop("__ke"))
@@ -44,40 +59,44 @@ def resolve_entities(records: DataFrame, entities: DataFrame, seq: str, name: st
         .agg(F.min_by("x", "s").alias("__first_ext"), F.min("s").alias("__first_s"))
     )
     owners = arriving.join(known_names, arriving["label"] == known_names["__kn"], "left").filter("__ext_n IS NULL")
-    owners = settled(owners.groupBy(F.col("__first_ext").alias("__ox")).agg(F.min_by("label", "__first_s").alias("__owner")))
+    owners = owners.groupBy(F.col("__first_ext").alias("__ox")).agg(F.min_by("label", "__first_s").alias("__owner"))
     resolved = (
         pairs.join(owners, pairs["x"] == owners["__ox"], "left")
-        .withColumn("__label", F.when(F.col("__id_e").isNull(), F.coalesce("__owner", "label")))
+        .withColumns({"__label": F.when(F.col("__id_e").isNull(), F.coalesce("__owner", "label")), "__owns": F.col("__id_e").isNull() & F.col("__owner").isNotNull()})
         .drop("__owner", "__ox")
     )
     resolved = resolved.join(known_names.select("__kn", "__id_n"), resolved["__label"] == known_names["__kn"], "left").drop("__kn")
-    resolved = settled(resolved.withColumn("__found", F.coalesce("__id_e", "__id_n")))
-    fresh = resolved.filter("__found IS NULL").groupBy("__label").agg(F.min("s").alias("s"))
-    fresh = fresh.join(owners, fresh["__label"] == owners["__owner"], "left").select("__label", "s", F.col("__ox").alias("ext_id"))
+    return pairs, settled(resolved.withColumn("__found", F.coalesce("__id_e", "__id_n")))
+
+
+def _created(resolved: DataFrame, entities: DataFrame) -> DataFrame:
+    fresh = resolved.filter("__found IS NULL").groupBy("__label").agg(F.min("s").alias("s"), F.min(F.when(F.col("__owns"), F.col("x"))).alias("ext_id"))
     top = F.coalesce(entities.agg(F.max("id").alias("m")).scalar(), F.lit(0)).cast("bigint")
-    created = settled(numbered(fresh, ["s", "__label"], top).select("id", F.col("__label").alias("name"), "ext_id"))
-    assigned = (
-        resolved.join(created.select(F.col("id").alias("__new"), F.col("name").alias("__nn")), resolved["__label"] == F.col("__nn"), "left")
-        .select("n", "x", F.coalesce("__found", "__new").alias("entity_id"))
-    )
-    renamed = assigned.withColumnsRenamed({"n": name, "x": ext})
-    out = null_safe_join(records, renamed, [name, ext])
-    filled = entities.join(owners, entities["name"] == owners["__owner"], "left").select(
-        entities["id"], entities["name"], F.coalesce(entities["ext_id"], F.col("__ox")).alias("ext_id")
-    )
-    return out, filled.unionByName(created)
+    return numbered(fresh, ["s", "__label"], top).select("id", F.col("__label").alias("name"), "ext_id")
 
 
-def resolve_events(
+def resolve_entities(records: DataFrame, entities: DataFrame, seq: str, name: str = "name", ext: str = "ext_id") -> tuple[DataFrame, DataFrame]:
+    """(records with ``entity_id``, the entity table after the batch); see ``entity_changes``."""
+    out, changes = entity_changes(records, entities, seq, name, ext)
+    return out, _overlaid(entities, changes)
+
+
+def _overlaid(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of a table, those in ``changes`` taken from there; ids are the keys."""
+    return table.join(changes.select("id"), "id", "left_anti").unionByName(changes)
+
+
+def event_changes(
     records: DataFrame, events: DataFrame, seq: str, ts: str = "game_date", sides: Sequence[str] = ("home_team", "away_team"),
     scores: Sequence[str] = ("home_score", "away_score"), match: str = "full_key",
 ) -> tuple[DataFrame, DataFrame]:
-    """(event table after the batch, one row with inserted and updated counts).
+    """(distinct (time, sides) of the records with ``event_id``, events of the batch that are new or changed).
 
     A record matches an event on (time, sides), else on time alone. Scores are
     replaced only where the record has one that differs. With
     ``match="date_only"`` new records at one time make one event; by default
-    each (time, sides) makes its own.
+    each (time, sides) makes its own. New events are numbered after the largest
+    id in the order of ``seq``; changed ones have ``fresh`` false.
     """
     sides, scores = list(sides), list(scores)
     batch = records.filter(F.col(ts).isNotNull()).withColumns({s: F.coalesce(F.nullif(F.col(s), F.lit("")), F.lit("UNKNOWN")) for s in sides})
@@ -89,27 +108,34 @@ def resolve_events(
     matched = settled(batch.join(by_key, [ts, *sides], "left").join(by_time, ts, "left").withColumn("__id", F.coalesce("__id_k", "__id_t")))
     new = matched.filter("__id IS NULL")
     if match == "date_only":
-        first = F.struct(*sides)
         new = new.groupBy(ts).agg(
             F.min("__s").alias("__s"),
-            F.min_by(first, "__s").alias("__side"),
+            F.min_by(F.struct(*sides), "__s").alias("__side"),
             *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__last"))).alias(c) for c in scores],
         ).select(ts, "__side.*", "__s", *scores)
     top = F.coalesce(events.agg(F.max("id").alias("m")).scalar(), F.lit(0)).cast("bigint")
     created = settled(numbered(new.select(ts, *sides, *scores, "__s"), ["__s"], top).select("id", ts, *sides, *scores))
+    key = [ts] if match == "date_only" else [ts, *sides]
+    ids = matched.select(ts, *sides, "__id").join(created.select(*key, F.col("id").alias("__new")), key, "left")
+    ids = ids.select(ts, *sides, F.coalesce("__id", "__new").alias("event_id"))
     change = matched.filter("__id IS NOT NULL").groupBy(F.col("__id").alias("id")).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__last"))).alias(f"__new_{c}") for c in scores]
     )
-    joined = events.join(change, "id", "left")
     differs = F.lit(False)
     for c in scores:
         differs = differs | (F.col(f"__new_{c}").isNotNull() & ~F.col(f"__new_{c}").eqNullSafe(F.col(c)))
-    joined = joined.withColumn("__changed", differs)
-    kept = joined.select("id", ts, *sides, *[F.coalesce(f"__new_{c}", c).alias(c) for c in scores])
-    counts = created.select(F.lit(1).alias("i"), F.lit(0).alias("u")).unionByName(
-        joined.filter("__changed").select(F.lit(0).alias("i"), F.lit(1).alias("u"))
-    ).agg(F.coalesce(F.sum("i"), F.lit(0)).alias("inserted"), F.coalesce(F.sum("u"), F.lit(0)).alias("updated"))
-    return kept.unionByName(created), counts
+    changed = events.join(change, "id").filter(differs).select("id", ts, *sides, *[F.coalesce(f"__new_{c}", c).alias(c) for c in scores])
+    return ids, changed.withColumn("fresh", F.lit(False)).unionByName(created.withColumn("fresh", F.lit(True)))
+
+
+def resolve_events(
+    records: DataFrame, events: DataFrame, seq: str, ts: str = "game_date", sides: Sequence[str] = ("home_team", "away_team"),
+    scores: Sequence[str] = ("home_score", "away_score"), match: str = "full_key",
+) -> tuple[DataFrame, DataFrame]:
+    """(event table after the batch, one row with inserted and updated counts); see ``event_changes``."""
+    _, changes = event_changes(records, events, seq, ts, sides, scores, match)
+    counts = changes.agg(F.count_if("fresh").alias("inserted"), F.count_if(~F.col("fresh")).alias("updated"))
+    return _overlaid(events.select("id", ts, *sides, *scores), changes.drop("fresh")), counts
 
 
 # -- names -----------------------------------------------------------------

@@ -1,85 +1,129 @@
-"""Per-key running state: bankroll and exponential mean over a stream."""
+"""Per-key running state over a stream: bankroll and exponential mean.
+
+A step of either kind is a function of the state before it, and such functions
+compose: a stretch of steps is again one function, known from a few numbers.
+The exponential mean's steps are affine, v -> a v + b. Flat stakes add a fixed
+amount as long as the bankroll covers the stake, so a stretch is known from its
+sum and the lowest of its running sums. A key's rows of a micro-batch can thus
+be cut into slices, each taken by its own task, and meet in one short table of
+slices (``Timeline``); no task holds a whole key.
+
+The state after each batch is a small table of its own, read by the next one. A
+batch that runs again reads the state before it and writes the same rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class _Running(StatefulProcessor):
-    """Keeps one double per key; rows of a micro-batch are taken in time order."""
-
-    def __init__(self, key: str, order: Sequence[str], start: float) -> None:
-        self.key, self.order, self.start = key, list(order), start
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("value", T.StructType([T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        value, n = self.state.get() if self.state.exists() else (self.start, 0)
-        # a micro-batch is bounded by the source's trigger limits
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        out = []
-        for row in batch.itertuples(index=False):
-            value, n, emitted = self.step(float(value), int(n), row)
-            if emitted is not None:
-                out.append(emitted)
-        self.state.update((float(value), int(n)))
-        if out:
-            yield pd.DataFrame(out)
-
-    def step(self, value: float, n: int, row: Any):
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
-
-
-class FlatStake(_Running):
-    """Bankroll under flat stakes; one row per placed bet."""
-
-    def __init__(self, key: str, order: Sequence[str], ident: str, start: float, stake: float) -> None:
-        super().__init__(key, order, start)
-        self.ident, self.stake = ident, stake
-
-    def step(self, value, n, row):
-        if row.pred_prob * (row.odds - 1.0) - (1.0 - row.pred_prob) <= 0 or self.stake > value:
-            return value, n, None
-        value += self.stake * (row.odds - 1.0) if row.actual == 1 else -self.stake
-        return value, n + 1, {self.key: getattr(row, self.key), self.ident: getattr(row, self.ident), "bankroll": value}
-
-
-class ForwardEma(_Running):
-    """Exponential mean in arrival order; one row per record."""
-
-    def __init__(self, key: str, order: Sequence[str], ident: str, alpha: float) -> None:
-        super().__init__(key, order, 0.0)
-        self.ident, self.alpha = ident, alpha
-
-    def step(self, value, n, row):
-        value = row.value if n == 0 else self.alpha * row.value + (1 - self.alpha) * value
-        return value, n + 1, {self.key: getattr(row, self.key), self.ident: getattr(row, self.ident), "ema": value}
-
-
-def running_bankroll(stream: DataFrame, key: str, order: Sequence[str], ident: str, bankroll: float = 1000.0, stake: float = 10.0) -> DataFrame:
-    """Placed bets with the bankroll after each; needs columns pred_prob, odds, actual."""
-    schema = T.StructType([stream.schema[key], stream.schema[ident], T.StructField("bankroll", T.DoubleType())])
-    return _with_state(stream, key, FlatStake(key, order, ident, bankroll, stake), schema)
-
-
-def running_ema(stream: DataFrame, key: str, order: Sequence[str], ident: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential mean after each record; needs a column ``value``."""
-    schema = T.StructType([stream.schema[key], stream.schema[ident], T.StructField("ema", T.DoubleType())])
-    return _with_state(stream, key, ForwardEma(key, order, ident, alpha), schema)
-
 
-def _with_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None")
+from entitystats.session import join_per_key, settled, settled_small
+from entitystats.skew import SLICE, Timeline, null_safe_join
+from entitystats.streaming.ingest import run_available
+from entitystats.streaming.levels import current, fold, parts, write_batch
+
+
+def _last(name: str, order: Sequence[str]) -> Column:
+    return F.max_by(name, F.struct(*order))
+
+
+@dataclass(frozen=True)
+class FlatStake:
+    """Bankroll under flat stakes: one row per placed bet, as ``bankroll``.
+
+    Rows need pred_prob, odds and actual. Bets without a positive expectation,
+    or with a null in it, are not placed; none is once the bankroll is below
+    the stake. The state is ``v``.
+    """
+
+    key: str
+    order: Sequence[str]
+    ident: str
+    start: float = 1000.0
+    stake: float = 10.0
+    max_rows: int | None = None
+
+    def advance(self, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        win = self.stake * (F.col("odds") - 1.0)
+        bets = rows.filter(F.col("pred_prob") * (F.col("odds") - 1.0) - (1.0 - F.col("pred_prob")) > 0).select(
+            self.key, *[c for c in self.order if c != self.ident], self.ident, F.when(F.col("actual") == 1, win).otherwise(F.lit(-self.stake)).alias("__d")
+        )
+        line = Timeline(bets, self.key, self.order, self.max_rows).running(__s=("sum", F.col("__d"), False))
+        line = line.with_column("__s", F.coalesce("__s", F.lit(0.0))).running(__low=("min", F.col("__s"), True))
+        known = join_per_key(line.result(), state.withColumnRenamed("v", "__v"), [self.key], "left")
+        begin = F.coalesce("__v", F.lit(float(self.start)))
+        placed = settled(known.filter(begin + F.col("__low") >= self.stake).withColumn("bankroll", begin + F.col("__s") + F.col("__d")))
+        after = placed.groupBy(self.key).agg(_last("bankroll", self.order).alias("v"))
+        return placed.select(self.key, self.ident, "bankroll"), after
+
+
+@dataclass(frozen=True)
+class ForwardEma:
+    """Exponential mean of ``value`` in the order of arrival: one row per record, as ``ema``.
+
+    The first record is its own mean; rows without a value are left out. The
+    state is ``v``.
+    """
+
+    key: str
+    order: Sequence[str]
+    ident: str
+    alpha: float = 0.3
+    max_rows: int | None = None
+
+    def advance(self, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        columns = list(dict.fromkeys([self.key, *self.order, self.ident, "value"]))
+        line = Timeline(rows.filter("value IS NOT NULL").select(*columns).withColumn("value", F.col("value").cast("double")), self.key, self.order, self.max_rows)
+        cut = line.df if line.sliced else line.df.withColumn(SLICE, F.lit(0))
+        cut = cut.select(*columns, F.col(SLICE).alias("__slice_no"))
+        schema = T.StructType([*cut.schema.fields, T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType())])
+        # within a slice the mean is a * (mean before the slice) + b
+        local = settled(cut.groupBy(self.key, "__slice_no").applyInPandas(_affine(list(self.order), self.alpha), schema))
+        slices = local.groupBy(self.key, "__slice_no").agg(
+            _last("__a", self.order).alias("a"), _last("__b", self.order).alias("b"), F.min_by("value", F.struct(*self.order)).alias("x")
+        )
+        slices = join_per_key(slices, state, [self.key], "left")
+        # slices of one key, in order, are few: at most one for every maxRowsPerTask rows
+        steps = F.sort_array(F.collect_list(F.struct("__slice_no", "a", "b", "x", "v"))).alias("steps")
+        begin = lambda s: F.coalesce(F.get(s, F.lit(0))["v"], F.get(s, F.lit(0))["x"])
+        folded = slices.groupBy(self.key).agg(steps).withColumn("carries", F.aggregate(
+            "steps", F.array(begin(F.col("steps"))), lambda done, s: F.concat(done, F.array(s["a"] * F.element_at(done, -1) + s["b"]))
+        ))
+        carry = folded.select(self.key, F.explode(F.arrays_zip(F.col("steps")["__slice_no"].alias("__slice_no"), F.slice("carries", 1, F.size("steps")).alias("__c"))).alias("z"))
+        carry = settled_small(carry.select(self.key, "z.*"))
+        out = null_safe_join(local, carry, [self.key, "__slice_no"], "inner")
+        after = folded.select(self.key, F.element_at("carries", -1).alias("v"))
+        return out.select(self.key, self.ident, (F.col("__a") * F.col("__c") + F.col("__b")).alias("ema")), after
+
+
+def _affine(order: list[str], alpha: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable", ignore_index=True)
+        mean = pd.Series(np.concatenate(([0.0], part["value"].to_numpy(float)))).ewm(alpha=alpha, adjust=False).mean() if alpha < 1 else pd.Series(np.concatenate(([0.0], part["value"].to_numpy(float))))
+        return part.assign(__a=(1.0 - alpha) ** np.arange(1, len(part) + 1), __b=mean.to_numpy()[1:])
+
+    return run
+
+
+def run_state(stream: DataFrame, step: FlatStake | ForwardEma, base: str, table: str, checkpoint: str) -> None:
+    """Take in what has arrived: rows go to ``table``, the state after each batch to ``<table>_state``."""
+    run_available(stream, lambda df, batch: state_batch(df, step, base, table, batch), checkpoint)
+
+
+def state_batch(df: DataFrame, step: FlatStake | ForwardEma, base: str, table: str, batch: int) -> None:
+    """One batch; its rows are ordered among themselves, and come after those of earlier batches."""
+    spark, kept = df.sparkSession, f"{table}_state"
+    rows = settled(df)
+    before = parts(spark, base, kept, batch)
+    schema = T.StructType([df.schema[step.key], T.StructField("v", T.DoubleType())])
+    state = current(spark, base, kept, step.key, before=batch) if before else spark.createDataFrame([], schema)
+    out, after = step.advance(rows, state)
+    write_batch(out, base, table, batch)
+    write_batch(after, base, kept, batch)
+    fold(spark, base, kept, step.key, batch)
