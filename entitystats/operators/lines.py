@@ -119,17 +119,30 @@ def feed_totals(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("player").alias("players"), F.count_distinct("league").alias("leagues"))
 
 
+#: What every item of an analysis must have - fixed values.
+ITEM_KEYS = ["player", "stat", "line", "recommendation", "confidence", "numericEvidence", "reasoning", "dataUsed"]
+
+
+def output_reasons(items: Column, expected: Column) -> Column:
+    """Messages about a whole analysis: no array at all, or another number of items than asked for."""
+    wrong = F.concat(F.lit("Expected "), expected.cast("string"), F.lit(" elements, got "), F.size(items).cast("string"))
+    return F.array_compact(F.array(F.when(items.isNull(), F.lit("Output is not a JSON array")).when(F.size(items) != expected, wrong)))
+
+
 def evidence_reasons(
     item: dict[str, Column], trusted: dict[str, Column], index: Column
 ) -> Column:
     """Messages for parts of a claimed analysis that the trusted context does not bear out.
 
     Keys used when present in both: recent_values (arrays), season_avg,
-    opponent, opp_def, pace, minutes; ``item`` also has recommendation and
-    confidence.
+    opponent, opp_def, pace, minutes; ``item`` also has recommendation,
+    confidence and keys (an array of the names it has). A claim that is there
+    but is no number does not match.
     """
     say = lambda text: F.concat(F.lit("Item "), index.cast("string"), F.lit(f" {text}"))
     reasons = []
+    if "keys" in item:
+        reasons += [F.when(~F.array_contains(item["keys"], k), say(f"missing key '{k}'")) for k in ITEM_KEYS]
     if "recommendation" in item:
         r = item["recommendation"]
         reasons.append(F.when(r.isNotNull() & ~r.isin("OVER", "UNDER"), say("recommendation must be OVER/UNDER/null")))
@@ -137,14 +150,20 @@ def evidence_reasons(
         c = item["confidence"]
         reasons.append(F.when(c.isNotNull() & (c != "") & ~c.isin("High", "Medium", "Low"), say("confidence must be High/Medium/Low")))
     if "recent_values" in item and "recent_values" in trusted:
-        strangers = F.array_except(F.array_compact(item["recent_values"]), F.array_compact(trusted["recent_values"]))
-        reasons.append(F.when(F.size(strangers) > 0, say("recentGames value not present in trusted context")))
-    off = lambda k, tol: F.when(F.abs(item[k] - trusted[k]) > tol, say(f"{k} mismatch beyond tolerance"))
+        stranger = F.get(F.array_except(F.array_compact(item["recent_values"]), F.array_compact(trusted["recent_values"])), F.lit(0))
+        reasons.append(F.when(stranger.isNotNull(), F.concat(say("recentGames value "), stranger.cast("string"), F.lit(" not present in trusted context"))))
+
+    def off(key: str, tolerance: Column, message: str) -> Column:
+        claim = item[key].try_cast("double")
+        wrong = claim.isNull() | F.isnan(claim) | (F.abs(claim - trusted[key]) > tolerance)
+        return F.when(item[key].isNotNull() & trusted[key].isNotNull() & wrong, say(message))
+
     if "season_avg" in item and "season_avg" in trusted:
-        reasons.append(off("season_avg", F.greatest(F.lit(0.5), F.abs(trusted["season_avg"]) * 0.05)))
+        reasons.append(off("season_avg", F.greatest(F.lit(0.5), F.abs(trusted["season_avg"]) * 0.05), "seasonAvg mismatch with trusted context beyond tolerance"))
     if "opponent" in item and "opponent" in trusted:
-        reasons.append(F.when((item["opponent"] != "") & (trusted["opponent"] != "") & (item["opponent"] != trusted["opponent"]), say("opponent mismatch")))
-    for k, tol in (("opp_def", 1.0), ("pace", 1.0), ("minutes", 1.5)):
-        if k in item and k in trusted:
-            reasons.append(off(k, F.lit(tol)))
+        differs = (item["opponent"] != "") & (trusted["opponent"] != "") & (item["opponent"] != trusted["opponent"])
+        reasons.append(F.when(differs, say("opponent.name mismatch (model vs trusted)")))
+    for key, tolerance, what in (("opp_def", 1.0, "opponent.defensiveRating"), ("pace", 1.0, "opponent.pace"), ("minutes", 1.5, "projectedMinutes")):
+        if key in item and key in trusted:
+            reasons.append(off(key, F.lit(tolerance), f"{what} mismatch beyond tolerance"))
     return F.array_compact(F.array(*reasons))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from entitystats.operators.calibration import regression_metrics
 from entitystats.operators.normalize import CONTEXT_FLAGS, ablate, numeric_columns
 from entitystats.session import join_per_key
+from entitystats.operators.isotonic import apply_blocks, isotonic_blocks
 from entitystats.skew import SLICE, Timeline, as_list
 
 #: Blend weights, penalties and seed - fixed values.
@@ -122,13 +123,14 @@ class Stacked:
 
 
 def fit_stacked(
-    df: DataFrame, features: Sequence[str], target: str, ident: str, kinds: Sequence[str] = ("rf", "elastic"), folds: int = 5, trees: int = 50, seed: int = SEED
+    df: DataFrame, features: Sequence[str], target: str, ident: str | None, kinds: Sequence[str] = ("rf", "elastic"), folds: int = 5, trees: int = 50, seed: int = SEED,
+    fold: Column | None = None,
 ) -> Stacked:
     """Out-of-fold predictions feed a ridge model; the base models are refitted on all rows.
 
-    A row's fold follows from a hash of its id, so every rerun agrees.
+    A row's fold follows from a hash of its id, so every rerun agrees, or is given.
     """
-    data = assembled(df.withColumn("fold", F.pmod(F.xxhash64(ident), F.lit(folds))), features, target, keep=["fold"]).persist()
+    data = assembled(df.withColumn("fold", F.pmod(F.xxhash64(ident), F.lit(folds)) if fold is None else fold), features, target, keep=["fold"]).persist()
     try:
         parts = []
         for k in range(folds):
@@ -207,7 +209,11 @@ def random_search(
     picked = random.Random(seed).sample(combos, min(trials, len(combos)))
     grid = [{learner.getParam(k): v for k, v in p.items()} for p in picked]
     cv = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(assembled(df, features, target))
+    data = assembled(df, features, target).persist()
+    try:
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     scores = [float(m) for m in model.avgMetrics]
     rows = [(str(sorted(p.items())), s) for p, s in zip(picked, scores)]
     table = df.sparkSession.createDataFrame(rows, "params string, rmse double").orderBy("rmse")
@@ -322,64 +328,14 @@ def linear_calibrators(df: DataFrame, entity: str | Sequence[str], truth: str, p
     return fit.filter(F.col("n") >= min_pairs).select(*as_list(entity), "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
 
 
-def pool(block: pd.DataFrame) -> pd.DataFrame:
-    """Pool neighbouring blocks (lo, hi, y, w, sorted by lo) until y never falls."""
-    out: list[list[float]] = []
-    for lo, hi, y, w in block[["lo", "hi", "y", "w"]].itertuples(index=False):
-        out.append([lo, hi, y, w])
-        while len(out) > 1 and out[-2][2] >= out[-1][2]:
-            b = out.pop()
-            a = out[-1]
-            total = a[3] + b[3]
-            a[1], a[2], a[3] = b[1], (a[2] * a[3] + b[2] * b[3]) / total, total
-    return pd.DataFrame(out, columns=["lo", "hi", "y", "w"])
-
-
 def isotonic_calibrators(df: DataFrame, entity: str, truth: str, pred: str, min_pairs: int = 3, max_rows: int | None = None) -> DataFrame:
-    """(entity, n, xs, ys): per entity the non-decreasing fit as points to interpolate.
+    """(entity, n, lo, hi, y, w): the non-decreasing fit of each entity as blocks."""
+    return isotonic_blocks(df, entity, truth, pred, min_pairs, max_rows)
 
-    Equal predictions are averaged first. An entity too large for one task is
-    pooled per slice of the prediction axis and the remaining blocks are pooled
-    again, which gives the same fit.
-    """
-    y, x = F.col(truth).cast("double"), F.col(pred).cast("double")
-    points = df.filter(y.isNotNull() & x.isNotNull()).groupBy(entity, x.alias("lo")).agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    line = Timeline(points, entity, ["lo"], max_rows)
-    kind = df.schema[entity].dataType.simpleString()
-
-    def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = pool(pdf.sort_values("lo"))
-            out.insert(0, entity, [pdf[entity].iloc[0]] * len(out))
-            return out
-
-        return rows.groupBy(*keys).applyInPandas(fit, f"`{entity}` {kind}, lo double, hi double, y double, w double")
-
-    blocks = line.df.withColumn("hi", F.col("lo"))
-    if line.sliced:
-        blocks = pooled(blocks, [entity, SLICE])
-    blocks = pooled(blocks, [entity])
-    ends = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi", "y"))), lambda b: F.when(
-        b["lo"] == b["hi"], F.array(F.struct(b["lo"].alias("x"), b["y"].alias("y")))
-    ).otherwise(F.array(F.struct(b["lo"].alias("x"), b["y"].alias("y")), F.struct(b["hi"].alias("x"), b["y"].alias("y"))))))
-    grouped = blocks.groupBy(entity).agg(F.sum("w").cast("bigint").alias("n"), ends.alias("p")).filter(F.col("n") >= min_pairs)
-    return grouped.select(entity, "n", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
-
-
-def interpolate(x: Column, xs: Column, ys: Column) -> Column:
-    """Linear between the points, constant outside; the position is found by bisection."""
-    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    pos = F.aggregate(powers, F.lit(0), lambda at, step: F.when((step <= F.size(xs) - at) & (F.get(xs, at + step - 1) <= x), at + step).otherwise(at))
-    at = lambda arr, i: F.get(arr, i)
-    x0, x1, y0, y1 = at(xs, pos - 1), at(xs, pos), at(ys, pos - 1), at(ys, pos)
-    return F.when(pos == 0, at(ys, F.lit(0))).when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
-
-
-def apply_isotonic(df: DataFrame, calibrators: DataFrame, entity: str, pred: str, name: str = "calibrated") -> DataFrame:
+
+def apply_isotonic(df: DataFrame, calibrators: DataFrame, entity: str, pred: str, name: str = "calibrated", max_rows: int | None = None) -> DataFrame:
     """Adds the calibrated value; the raw one where the entity has no calibrator."""
-    out = join_per_key(df, calibrators.select(entity, "xs", "ys"), [entity], "left")
-    raw = F.col(pred).cast("double")
-    return out.withColumn(name, F.coalesce(F.when(F.col("xs").isNotNull(), interpolate(raw, F.col("xs"), F.col("ys"))), raw)).drop("xs", "ys")
+    return apply_blocks(df, calibrators, entity, pred, name, max_rows)
 
 
 def apply_linear(df: DataFrame, calibrators: DataFrame, entity: str, pred: str, name: str = "calibrated") -> DataFrame:
@@ -399,13 +355,20 @@ def calibration_report(df: DataFrame, entity: str, truth: str, pred: str, method
     )
 
 
-def binary_calibrators(df: DataFrame, entity: str, actual: str, prob: str, min_rows: int = 5) -> DataFrame:
-    """Isotonic calibrators with Brier scores before and after; ``saved`` where they do not get worse."""
-    cal = isotonic_calibrators(df, entity, actual, prob, min_rows)
-    scored = apply_isotonic(df.join(cal.select(entity), entity, "left_semi"), cal, entity, prob)
+def binary_report(df: DataFrame, calibrators: DataFrame, entity: str, actual: str, prob: str) -> DataFrame:
+    """Brier scores of the entities that have a calibrator, before and after; ``saved`` where they do not get worse."""
+    counts = calibrators.groupBy(entity).agg(F.min("n").alias("n"))
+    scored = apply_isotonic(df, calibrators, entity, prob)
     sq = lambda c: F.avg(F.pow(F.col(c) - F.col(actual), F.lit(2.0)))
     report = scored.groupBy(entity).agg(sq(prob).alias("brier_raw"), sq("calibrated").alias("brier_cal"))
-    return cal.join(report, entity).withColumn("saved", F.col("brier_cal") <= F.col("brier_raw"))
+    return counts.join(report, entity).withColumn("saved", F.col("brier_cal") <= F.col("brier_raw"))
+
+
+def binary_calibrators(df: DataFrame, entity: str, actual: str, prob: str, min_rows: int = 5, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calibrators that do not make the Brier score worse, the report on all that were fitted)."""
+    fitted = settled(isotonic_calibrators(df, entity, actual, prob, min_rows, max_rows))
+    report = settled(binary_report(df, fitted, entity, actual, prob))
+    return fitted.join(report.filter("saved").select(entity), entity, "left_semi"), report
 
 
 def global_isotonic(df: DataFrame, truth: str, pred: str):

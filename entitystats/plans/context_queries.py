@@ -10,10 +10,11 @@ from entitystats.operators import context as C
 from entitystats.operators import features as X
 from entitystats.operators import lines as L
 from entitystats.operators import windows as W
+from entitystats.operators.sets import common_columns
 from entitystats.plans import window_queries  # noqa: F401  (its SQL is reused below)
 from entitystats.plans.registry import ORACLES, query
 from entitystats.plans.rounding import rounded
-from entitystats.session import settled_small
+from entitystats.session import join_per_key, settled_small
 
 
 @query(
@@ -107,6 +108,28 @@ def game_flags(t):
     return C.game_flags(raw, ["isPlayoff"], ["gameType"], ["isNationalTV"]).select("o_orderkey", "is_playoff", "is_national_tv", "is_contract_year")
 
 
+@query(
+    "career_flags",
+    """
+    WITH p AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, max(o_totalprice) AS top, count(DISTINCT o_orderpriority) FILTER (o_totalprice > 300000) AS awards FROM orders GROUP BY 1)
+    SELECT o_custkey, CAST(urgent > 2 OR top > 450000 AS INTEGER) AS is_all_star, awards::INTEGER AS recent_awards_count FROM p
+    """,
+)
+def career_flags(t):
+    """All-star by any of two flags, one of them null where unknown, and the number of awards."""
+    grouped = t.orders.groupBy("o_custkey").agg(
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.max("o_totalprice").alias("top"), F.collect_set(F.when(F.col("o_totalprice") > 300000, F.col("o_orderpriority"))).alias("awards")
+    )
+    flags = [F.when(F.col("urgent") > 0, F.col("urgent") > 2), (F.col("top") > 450000).cast("int")]
+    return grouped.select("o_custkey", V.all_star(*flags).alias("is_all_star"), V.award_count(F.when(F.size("awards") > 0, F.col("awards"))).alias("recent_awards_count"))
+
+
+@query("selected_columns", "SELECT o_totalprice, o_orderkey FROM orders")
+def selected_columns(t):
+    """Of a selection of names those that the table has, in the order of the selection."""
+    return t.orders.select(*common_columns(["o_totalprice", "no_such_feature", "o_orderkey"], t.orders))
+
+
 @query(
     "as_of_join",
     """
@@ -359,18 +382,55 @@ def line_enrichment(t):
 @query(
     "evidence_check",
     """
-    WITH m AS (SELECT user_id, avg(value) AS m FROM events GROUP BY user_id)
-    SELECT event_id, CAST(abs(value - m) > greatest(0.5, abs(m) * 0.05) AS INTEGER) + CAST(event_type = 'view' AS INTEGER) AS n_reasons
-    FROM events JOIN m USING (user_id)
+    WITH m AS (SELECT user_id, avg(value) AS m FROM events GROUP BY user_id),
+    e AS (SELECT *, 'Item ' || event_id || ' ' AS i FROM events JOIN m USING (user_id)),
+    r AS (SELECT event_id, list_filter([
+        CASE WHEN event_id % 11 = 0 THEN i || 'missing key ''reasoning''' END,
+        CASE WHEN event_id % 13 = 0 THEN i || 'missing key ''dataUsed''' END,
+        CASE WHEN event_type = 'view' THEN i || 'recommendation must be OVER/UNDER/null' END,
+        CASE WHEN event_type = 'signup' THEN i || 'confidence must be High/Medium/Low' END,
+        CASE WHEN event_id % 7 = 0 THEN i || 'recentGames value ' || (event_id % 5 + 1) || ' not present in trusted context' END,
+        CASE WHEN event_id % 17 = 0 OR abs(value - m) > greatest(0.5, abs(m) * 0.05) THEN i || 'seasonAvg mismatch with trusted context beyond tolerance' END,
+        CASE WHEN event_id % 3 = 0 AND event_type <> 'click' THEN i || 'opponent.name mismatch (model vs trusted)' END,
+        CASE WHEN abs(value - m) > 1 THEN i || 'opponent.defensiveRating mismatch beyond tolerance' END,
+        CASE WHEN event_id % 5 > 2 THEN i || 'opponent.pace mismatch beyond tolerance' END,
+        CASE WHEN event_id % 4 > 1 THEN i || 'projectedMinutes mismatch beyond tolerance' END
+    ], lambda x: x IS NOT NULL) AS reasons FROM e)
+    SELECT event_id, len(reasons)::INTEGER AS n_reasons, array_to_string(reasons, '; ') AS reasons FROM r
     """,
 )
 def evidence_check(t):
-    """Each event claims its value as the user's average; a view claims a bad side."""
+    """Each event makes claims about its user, some of them wrong; the user's mean is the trusted context."""
     means = t.events.groupBy("user_id").agg(F.avg("value").alias("m"))
-    both = t.events.join(means, "user_id")
-    side = F.when(F.col("event_type") == "view", "MAYBE").otherwise("OVER")
-    reasons = L.evidence_reasons({"season_avg": F.col("value"), "recommendation": side}, {"season_avg": F.col("m")}, F.col("event_id"))
-    return both.select("event_id", F.size(reasons).alias("n_reasons"))
+    both = join_per_key(t.events, means, ["user_id"])
+    at, kind, value, mean = F.col("event_id"), F.col("event_type"), F.col("value"), F.col("m")
+    keys = F.array_compact(F.array(
+        *[F.lit(k) for k in ("player", "stat", "line", "recommendation", "confidence", "numericEvidence")], F.when(at % 11 != 0, "reasoning"), F.when(at % 13 != 0, "dataUsed")
+    ))
+    item = {
+        "keys": keys, "recommendation": F.when(kind == "view", "MAYBE").when(kind != "error", "OVER"),
+        "confidence": F.when(kind == "signup", "Sure").when(kind == "error", "").otherwise("Low"),
+        "recent_values": F.when(at % 7 == 0, F.array(F.lit(0).cast("bigint"), at % 5 + 1)).otherwise(F.array(F.lit(0).cast("bigint"))),
+        "season_avg": F.when(at % 17 == 0, "about 50").otherwise(value.cast("string")), "opponent": F.when(at % 3 == 0, kind).otherwise(""),
+        "opp_def": value, "pace": mean + (at % 5) * 0.4, "minutes": mean + at % 4,
+    }
+    trusted = {"recent_values": F.array(F.lit(0).cast("bigint"), F.lit(None).cast("bigint")), "season_avg": mean, "opponent": F.lit("click"), "opp_def": mean, "pace": mean, "minutes": mean}
+    reasons = L.evidence_reasons(item, trusted, at)
+    return both.select("event_id", F.size(reasons).alias("n_reasons"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+@query(
+    "analysis_size",
+    """
+    WITH c AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS want FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN l_orderkey % 9 = 0 THEN 'Output is not a JSON array' WHEN n <> want THEN 'Expected ' || want || ' elements, got ' || n ELSE '' END AS reasons FROM c
+    """,
+)
+def analysis_size(t):
+    """Lines of an order as the items of an analysis, as many expected as the largest line number says."""
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("items"), F.max("l_linenumber").alias("want"))
+    items = F.when(F.col("l_orderkey") % 9 != 0, F.col("items"))
+    return orders.select("l_orderkey", F.array_join(L.output_reasons(items, F.col("want")), "; ").alias("reasons"))
 
 
 @query(

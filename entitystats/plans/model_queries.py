@@ -136,7 +136,7 @@ def isotonic_calibration(t):
 @query("binary_calibrators")
 def binary_calibrators(t):
     rows = t.labels.join(t.documents, "doc_id").select("source", F.least(F.lit(1.0), F.col("n_chars") / 20000).alias("p"), "quality")
-    return rounded(M.binary_calibrators(rows, "source", "quality", "p").select("source", "n", "brier_raw", "brier_cal", "saved"))
+    return rounded(M.binary_calibrators(rows, "source", "quality", "p")[1].select("source", "n", "brier_raw", "brier_cal", "saved"))
 
 
 @query("batch_scores")
@@ -312,7 +312,7 @@ def isotonic_levels(t):
 )
 def binary_levels(t):
     rows = _levels(t, F.col("source"), (F.col("quality") > 0.5).cast("int")).filter("k IS NOT NULL AND y IS NOT NULL")
-    return rounded(M.binary_calibrators(rows, "k", "y", "p", min_rows=1).select("k", "n", "brier_raw", "brier_cal", "saved"))
+    return rounded(M.binary_calibrators(rows, "k", "y", "p", min_rows=1)[1].select("k", "n", "brier_raw", "brier_cal", "saved"))
 
 
 @query(
@@ -324,3 +324,91 @@ def global_isotonic_levels(t):
     model = M.global_isotonic(rows, "y", "p")
     levels = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("p"))
     return rounded(model.transform(levels).select("p", "n", "prediction"))
+
+
+@query(
+    "stacked_on_one_flag",
+    """
+    WITH d AS (SELECT l_linenumber % 3 AS f, (l_quantity > 25)::INTEGER AS x, l_extendedprice / 1000 AS y FROM lineitem),
+    part AS (SELECT f, x, sum(y) AS s, count(*) AS n FROM d GROUP BY f, x),
+    other AS (SELECT a.f, a.x, sum(b.s) / sum(b.n) AS p FROM part a JOIN part b ON a.x = b.x AND a.f <> b.f GROUP BY a.f, a.x),
+    o AS (SELECT p, y FROM d JOIN other USING (f, x)),
+    m AS (SELECT covar_pop(p, y) / (var_pop(p) + 1.0 / count(*)) AS w, avg(y) AS my, avg(p) AS mp FROM o)
+    SELECT x, n, round(3.14159e-7 + base, 4) AS pred_gbt, round(3.14159e-7 + my + w * (base - mp), 4) AS prediction
+    FROM (SELECT x, count(*) AS n, avg(y) AS base FROM d GROUP BY x), m
+    """,
+)
+def stacked_on_one_flag(t):
+    """With one flag the base trees predict means of the other folds, and the ridge on them has a closed form."""
+    rows = t.lineitem.select((F.col("l_linenumber") % 3).alias("part"), (F.col("l_quantity") > 25).cast("int").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    model = M.fit_stacked(rows, ["x"], "y", None, kinds=("gbt",), folds=3, trees=1, fold=F.col("part"))
+    means = model.transform(rows).groupBy("x").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("pred_gbt", "prediction")])
+    return rounded(means, 4)
+
+
+_FLAGS = """
+    WITH d AS (SELECT (l_quantity > 25)::INTEGER AS a, (l_tax > 0.04)::INTEGER AS b, l_extendedprice / 1000 + 20 * (l_tax > 0.04)::INTEGER AS y FROM lineitem),
+    g AS (SELECT a, count(*) AS n, avg(y) AS m FROM d GROUP BY a), h AS (SELECT b, count(*) AS n, avg(y) AS m FROM d GROUP BY b), c AS (SELECT a, b, count(*) AS n, avg(y) AS m FROM d GROUP BY a, b),
+    one AS (SELECT sum(g.n * (g.m - (SELECT avg(y) FROM d)) ** 2) AS at_a, (SELECT sum(h.n * (h.m - (SELECT avg(y) FROM d)) ** 2) FROM h) AS at_b FROM g),
+    two AS (SELECT sum(c.n * (c.m - g.m) ** 2) AS after_a, (SELECT sum(c.n * (c.m - h.m) ** 2) FROM c JOIN h USING (b)) AS after_b FROM c JOIN g USING (a)),
+    -- the better flag is at the root of the tree, the other one below it
+    r AS (SELECT CASE WHEN at_a >= at_b THEN at_a / (at_a + after_a) ELSE after_b / (at_b + after_b) END AS share_a FROM one, two),
+    v AS (SELECT 'is_playoff' AS feature, share_a AS importance FROM r UNION ALL SELECT 'recent_awards_count', 1 - share_a FROM r)
+"""
+
+
+def _two_flags(t):
+    """Prices with two contextual flags, both of use."""
+    a, b = (F.col("l_quantity") > 25).cast("int"), (F.col("l_tax") > 0.04).cast("int")
+    return t.lineitem.select((F.col("l_extendedprice") / 1000 + 20 * b).alias("target"), a.alias("is_playoff"), b.alias("recent_awards_count"))
+
+
+@query("importance_of_two_flags", _FLAGS + "SELECT feature, round(3.14159e-9 + importance, 6) AS importance FROM v")
+def importance_of_two_flags(t):
+    return rounded(M.contextual_importance(_two_flags(t), "target", trees=1))
+
+
+@query("pruning_of_the_weaker", _FLAGS + "SELECT feature FROM v WHERE importance >= 0.5")
+def pruning_of_the_weaker(t):
+    _, kept = M.prune_contextual(_two_flags(t), "target", threshold=0.5, trees=1)
+    return t.spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@query("elimination_of_the_weaker", _FLAGS + "SELECT feature FROM v ORDER BY importance DESC LIMIT 1")
+def elimination_of_the_weaker(t):
+    left = M.eliminate(_two_flags(t), "target", 1, trees=1)
+    return t.spark.createDataFrame([(k,) for k in left], "feature string")
+
+
+@query(
+    "search_of_forced_depth",
+    """
+    WITH d AS (SELECT l_quantity > 25 AS a, l_tax > 0.04 AS b, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT '[(''maxDepth'', ' || CASE WHEN count(*) = 4 THEN 2 ELSE 1 END || ')]' AS params, 0.0::DOUBLE AS rmse FROM d
+    """,
+)
+def search_of_forced_depth(t):
+    """A product of two flags needs trees of depth two, which then leave no error: only they can win."""
+    a, b = (F.col("l_quantity") > 25).cast("int"), (F.col("l_tax") > 0.04).cast("int")
+    rows = t.lineitem.select(a.alias("a"), b.alias("b"), (a + 2 * b + 3 * a * b).cast("double").alias("y"))
+    best, table = M.random_search(rows, ["a", "b"], "y", {"maxDepth": [1, 2]}, kind="gbt", trials=2, folds=2)
+    return rounded(table.filter(F.col("params") == str(sorted(best.items()))))
+
+
+@query(
+    "scored_supplier_lines",
+    """
+    WITH f AS (SELECT l_suppkey, count(*) AS n, covar_pop(l_extendedprice / 1000, l_quantity) / (var_pop(l_quantity) + 10) AS b, avg(l_extendedprice / 1000) AS my, avg(l_quantity) AS mx FROM lineitem GROUP BY 1),
+    s AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN n >= 600 THEN my + b * (l_quantity - mx) END AS m FROM lineitem JOIN f USING (l_suppkey)),
+    p AS (SELECT *, coalesce(m, l_quantity) AS v, CASE WHEN m IS NOT NULL THEN 1 / (1 + exp(-(m - 35))) ELSE greatest(0.05, least(0.95, 0.5 + (l_quantity - 35) * 0.05)) END AS p FROM s)
+    SELECT l_orderkey, l_linenumber, round(3.14159e-7 + v, 4) AS predicted_value, round(3.14159e-7 + p, 4) AS over_probability,
+           CASE WHEN p > 0.55 THEN 'OVER' WHEN p < 0.45 THEN 'UNDER' END AS recommendation FROM p
+    """,
+)
+def scored_supplier_lines(t):
+    """Every line item against a line of 35: the supplier's ridge model, or its quantity where there are too few rows for one."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    models = M.fit_per_entity(rows, "l_suppkey", ["l_quantity"], "y", alpha=10.0, l1_ratio=0.0, min_rows=600)
+    asked = M.predict_per_entity(rows, models, "l_suppkey", ["l_quantity"])
+    out = M.score_lines(asked, F.col("prediction"), F.lit(35.0), F.col("l_quantity"))
+    return rounded(out.select("l_orderkey", "l_linenumber", "predicted_value", "over_probability", "recommendation"), 4)

@@ -8,6 +8,7 @@ from entitystats.operators import ledger
 from entitystats.operators import windows as W
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
+from entitystats.session import join_per_key
 
 _EV = "greatest({p} * (100.0 / 110 + 1) - 1, (1 - {p}) * (100.0 / 110 + 1) - 1)"
 
@@ -25,7 +26,7 @@ _EV = "greatest({p} * (100.0 / 110 + 1) - 1, (1 - {p}) * (100.0 / 110 + 1) - 1)"
 def score_requests(t):
     """Every event value as a line, scored against the user's mean."""
     means = t.events.groupBy("user_id").agg(F.avg("value").alias("m"))
-    rows = t.events.join(means, "user_id")
+    rows = join_per_key(t.events, means, ["user_id"])
     return rounded(rows.select("event_id", *[c.alias(n) for n, c in S.score_columns(F.col("m"), S.heuristic_probability(F.col("m"), F.col("value"))).items()]))
 
 
@@ -72,7 +73,7 @@ def kelly_fractions(t):
 def heuristic_scores(t):
     means = t.events.groupBy("user_id").agg(F.avg("value").alias("m"))
     parts = S.heuristic_score(F.col("m"), F.col("value"))
-    return t.events.join(means, "user_id").select("event_id", *[c.alias(n) for n, c in parts.items()])
+    return join_per_key(t.events, means, ["user_id"]).select("event_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @query(
@@ -90,7 +91,7 @@ def review_gating(t):
     means = t.events.groupBy("user_id").agg(F.avg("value").alias("m"))
     kind = F.col("event_type")
     side = F.when(kind.isin("click", "view"), "OVER").when(kind != "error", "UNDER")
-    scored = t.events.join(means, "user_id").select("event_id", "value", side.alias("side"), *[c.alias(n) for n, c in S.heuristic_score(F.col("m"), F.col("value")).items()])
+    scored = join_per_key(t.events, means, ["user_id"]).select("event_id", "value", side.alias("side"), *[c.alias(n) for n, c in S.heuristic_score(F.col("m"), F.col("value")).items()])
     from entitystats.operators.aggregates import agreement_percent
 
     share = agreement_percent(scored, F.col("side") == F.col("expected_side")).scalar()
@@ -98,6 +99,24 @@ def review_gating(t):
     return scored.select("event_id", *[c.alias(n) for n, c in parts.items() if n != "original_side"])
 
 
+@query(
+    "side_conflicts",
+    """
+    WITH m AS (SELECT user_id, avg(value) AS m, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id),
+    s AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'OVER' WHEN event_type <> 'error' THEN 'UNDER' END AS a,
+                 CASE WHEN last_type = 'purchase' THEN 'OVER' WHEN last_type <> 'error' THEN 'UNDER' END AS b, floor(m) AS c FROM events JOIN m USING (user_id))
+    SELECT event_id, coalesce(a <> b AND c >= 50, false) AS in_conflict FROM s
+    """,
+)
+def side_conflicts(t):
+    """Each event's side against that of the user's newest event, believed from a mean of 50 on."""
+    means = t.events.groupBy("user_id").agg(F.floor(F.avg("value")).alias("c"), F.max_by("event_type", "event_id").alias("last_type"))
+    kind, last = F.col("event_type"), F.col("last_type")
+    side = F.when(kind.isin("click", "view"), "OVER").when(kind != "error", "UNDER")
+    other = F.when(last == "purchase", "OVER").when(last != "error", "UNDER")
+    return join_per_key(t.events, means, ["user_id"]).select("event_id", S.conflict(side, other, F.col("c"), 50).alias("in_conflict"))
+
+
 def _probs(t):
     """Quality labels with a length-based probability; whole texts, as counted in the table."""
     docs = t.documents.select("doc_id", "lang", F.least(F.lit(1.0), F.col("n_chars") / 20000).alias("p"))

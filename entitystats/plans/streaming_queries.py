@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from entitystats.functions.vectors import text_vector
 from entitystats.operators.aggregates import team_seasons
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
@@ -199,12 +200,15 @@ def stream_dry_run(t):
     return I.batches(t.spark, base, "summary").agg(F.sum("records").alias("records"), F.sum("missing_count").alias("missing_count"))
 
 
-@query("stream_index", "SELECT CAST(doc_id AS VARCHAR) AS source_id, 8 AS dim FROM documents WHERE length(text) > 0")
+@query("stream_index", "SELECT CAST(doc_id AS VARCHAR) AS source_id, 8 AS dim, true AS as_in_batch FROM documents WHERE length(text) > 0")
 def stream_index(t):
     base, checkpoint = _folder(t, "index")
     items = _sliced(t, t.documents, F.pmod("doc_id", F.lit(4))).select(F.col("doc_id").cast("string").alias("id"), "text")
     I.run_index(items, base, checkpoint, dim=8)
-    return I.batches(t.spark, base, "index").select("source_id", F.size("embedding").alias("dim"))
+    found = I.batches(t.spark, base, "index").select("source_id", "embedding")
+    # the same text has the same vector however it came
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("source_id"), text_vector(F.col("text"), 8).alias("v"))
+    return found.join(texts, "source_id").select("source_id", F.size("embedding").alias("dim"), (F.col("embedding") == F.col("v")).alias("as_in_batch"))
 
 
 @query("stream_backfill", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")

@@ -36,10 +36,14 @@ HOT = "__hot"
 COLD = -1
 
 #: At most this many slices are cut, whatever the data size; it bounds the
-#: border table that is broadcast and the sample that is read by the driver.
+#: border tables that are broadcast and the sample that is read by the driver.
 MAX_SLICES = 20_000
 SAMPLES_PER_SLICE = 16
 
+#: Children of a node of the border tables.
+FANOUT = 32
+NODE = "__node"
+
 
 def as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -116,29 +120,50 @@ class Timeline:
         picked: dict[tuple, list[tuple]] = {}
         for row in sample:
             picked.setdefault(tuple(row[:n_key]), []).append(tuple(row[n_key:]))
-        # one array per order column, all of the entity's length
-        names = [f"__b{i}" for i in range(len(self.order))]
-        fields = [T.StructField(b, T.ArrayType(df.schema[c].dataType)) for b, c in zip(names, self.order)]
-        rows, longest = [], 1
+        found: dict[tuple, list[tuple]] = {}
         for *key, n in heavy:
             keys = sorted(picked.get(tuple(key), []), key=_sort_key)
             want = -(-n // per_slice)
-            borders: list[tuple] = []
+            borders = found.setdefault(tuple(key), [])
             for i in range(1, want):
                 at = i * len(keys) // want
                 if keys and (not borders or _sort_key(keys[at]) > _sort_key(borders[-1])):
                     borders.append(keys[at])
-            longest = max(longest, len(borders))
-            rows.append((*key, *[[b[i] for b in borders] for i in range(len(self.order))]))
-        table = spark.createDataFrame(rows, T.StructType([*key_fields, *fields]))
-        out = null_safe_join(df, F.broadcast(table), self.entity).withColumn(HOT, F.col(names[0]).isNotNull())
+        return self._placed(df, found, key_fields)
+
+    def _placed(self, df: DataFrame, borders: dict[tuple, list[tuple]], key_fields: list[T.StructField]) -> DataFrame:
+        """Rows of cut entities with the number of borders not after them.
+
+        The number is found digit by digit, in base ``FANOUT``: a table a digit
+        holds the few borders between the children of a node, joined by entity
+        and node. A row never carries more than those.
+        """
+        names = [f"__b{i}" for i in range(len(self.order))]
+        fields = [T.StructField(b, T.ArrayType(df.schema[c].dataType)) for b, c in zip(names, self.order)]
+        longest = max(len(found) for found in borders.values())
+        digits = 1
+        while FANOUT**digits <= longest:
+            digits += 1
+        out = df
         # bisection as one expression; a chain of columns would be copied into
         # every filter that Spark pushes below it
-        powers = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
-        found = F.aggregate(
-            powers, F.lit(0), lambda pos, step: F.when(self._not_after(names, pos + step - 1), pos + step).otherwise(pos)
-        )
-        return out.withColumn(SLICE, F.when(F.col(HOT), found).otherwise(F.lit(COLD))).drop(*names)
+        powers = F.array(*[F.lit(1 << k) for k in range(FANOUT.bit_length() - 1, -1, -1)])
+        digit = F.aggregate(powers, F.lit(0), lambda pos, step: F.when(self._not_after(names, pos + step - 1), pos + step).otherwise(pos))
+        for level in range(digits - 1, -1, -1):
+            unit, rows = FANOUT**level, []
+            for key, found in borders.items():
+                for node in range(len(found) // (unit * FANOUT) + 1):
+                    here = [found[t * unit - 1] for t in range(node * FANOUT + 1, (node + 1) * FANOUT) if t * unit <= len(found)]
+                    rows.append((*key, node, *[[b[i] for b in here] for i in range(len(self.order))]))
+            table = df.sparkSession.createDataFrame(rows, T.StructType([*key_fields, T.StructField(NODE, T.IntegerType()), *fields]))
+            if level == digits - 1:
+                out = null_safe_join(out, F.broadcast(table.drop(NODE)), self.entity).withColumn(HOT, F.col(names[0]).isNotNull())
+                out = out.withColumn(SLICE, F.when(F.col(HOT), digit).otherwise(F.lit(COLD)))
+            else:
+                out = null_safe_join(out, F.broadcast(table.withColumnRenamed(NODE, SLICE)), [*self.entity, SLICE])
+                out = out.withColumn(SLICE, F.when(F.col(HOT), F.col(SLICE) * FANOUT + digit).otherwise(F.col(SLICE)))
+            out = out.drop(*names)
+        return out
 
     def _not_after(self, names: Sequence[str], at: Column) -> Column:
         """Border number ``at`` exists and is not after the row, column by column, nulls first."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from entitystats.functions.text import file_key, keyword_flags
 from entitystats.operators.lines import FEED_SCHEMA
 from entitystats.operators.normalize import GAME_ALIASES
-from entitystats.session import settled_small
+from entitystats.session import join_per_key, settled_small
 from entitystats.skew import Timeline, as_list
 
 #: Fields of a game log; everything is read as text and typed later.
@@ -119,7 +119,7 @@ def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFr
         place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
         lines = spark.read.text(f"{base}/*.csv").select(name("csv").alias(key), place.alias("i"), F.col("value"))
         head = lines.groupBy(key).agg(F.min("i").alias("h"), F.min_by("value", "i").alias("head"))
-        body = lines.join(head, key).filter("i > h").select(key, csv_cells(F.col("head")).alias("h"), csv_cells(F.col("value")).alias("c"))
+        body = join_per_key(lines, head, [key]).filter("i > h").select(key, csv_cells(F.col("head")).alias("h"), csv_cells(F.col("value")).alias("c"))
         cell = lambda f: F.get("c", F.array_position("h", f).cast("int") - 1)
         parts.append(body.select(key, F.lit(1).alias("__kind"), *[cell(f).alias(f) for f in fields]))
     if _paths_exist(spark, f"{base}/*.parquet"):
@@ -130,7 +130,7 @@ def read_tracking(spark: SparkSession, base: str, key: str = "entity") -> DataFr
         return spark.createDataFrame([], T.StructType([T.StructField(key, T.StringType()), *schema.fields]))
     rows = reduce(DataFrame.unionByName, parts)
     first = rows.groupBy(key).agg(F.min("__kind").alias("__first"))
-    return rows.join(first, key).filter("__kind = __first").drop("__kind", "__first")
+    return join_per_key(rows, first, [key]).filter("__kind = __first").drop("__kind", "__first")
 
 
 def csv_cells(line: Column) -> Column:

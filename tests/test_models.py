@@ -137,3 +137,41 @@ def test_vectors(spark):
     assert [r[0] for r in t.select(text_vector(F.col("t"), 3)).collect()] == [want, None]
     c = spark.range(1).select(names_checksum(F.array(F.lit("a"), F.lit("b")))).first()[0]
     assert c == hashlib.sha256(b'["a","b"]').hexdigest()
+
+
+def plain_fit(xs, ys, ws):
+    blocks = []
+    for x, y, w in zip(xs, ys, ws):
+        blocks.append([x, x, y, w])
+        while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
+            b, a = blocks.pop(), blocks.pop()
+            w = a[3] + b[3]
+            blocks.append([a[0], b[1], (a[2] * a[3] + b[2] * b[3]) / w, w])
+    return blocks
+
+
+@pytest.mark.parametrize("shape", ["teeth", "noise", "rising", "falling"])
+def test_isotonic_merges_of_slices(spark, shape):
+    """Many slices: everything in conflict, some of it, nothing, and one block over all."""
+    rnd = random.Random(5)
+    n = 400
+    y = {"teeth": lambda i: i % 80 + rnd.random() / 9, "noise": lambda i: i / 40 + rnd.gauss(0, 3), "rising": float, "falling": lambda i: -float(i)}[shape]
+    rows = [("hot", float(i), float(y(i))) for i in range(n)] + [(None, float(i), float(i % 3)) for i in range(9)]
+    df = spark.createDataFrame(rows, "e string, p double, y double")
+    blocks = M.isotonic_calibrators(df, "e", "y", "p", max_rows=25)
+    got = sorted((r["lo"], r["hi"], r["y"], r["w"]) for r in blocks.filter("e = 'hot'").collect())
+    want = plain_fit([r[1] for r in rows[:n]], [r[2] for r in rows[:n]], [1.0] * n)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g == pytest.approx(tuple(w))
+    assert blocks.filter("e IS NULL").agg(F.sum("w")).first()[0] == 9
+
+
+def test_isotonic_of_many_points(spark):
+    """A rising entity of 300,000 distinct points keeps them all, one row each."""
+    df = spark.range(300_000).selectExpr("'a' AS e", "CAST(id AS DOUBLE) AS p", "sqrt(id) AS y")
+    blocks = M.isotonic_calibrators(df, "e", "y", "p", max_rows=60_000)
+    assert blocks.agg(F.count(F.lit(1)), F.sum("w"), F.max("n")).first()[:] == (300_000, 300_000.0, 300_000)
+    ask = spark.createDataFrame([("a", -1.0), ("a", 0.25), ("a", 4.0), ("a", 1e9), ("b", 7.0), ("a", None)], "e string, p double")
+    got = {r["p"]: r["calibrated"] for r in M.apply_isotonic(ask, blocks, "e", "p").collect()}
+    assert got == {-1.0: 0.0, 0.25: pytest.approx(0.25), 4.0: 2.0, 1e9: pytest.approx(299_999**0.5), 7.0: 7.0, None: None}
