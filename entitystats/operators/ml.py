@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitystats.operators.calibration import regression_metrics
-from entitystats.operators.normalize import CONTEXT_FLAGS, ablate, numeric_columns
-from entitystats.session import join_per_key
 from entitystats.operators.isotonic import apply_blocks, isotonic_blocks
-from entitystats.skew import SLICE, Timeline, as_list
+from entitystats.operators.normalize import CONTEXT_FLAGS, ablate, numeric_columns
+from entitystats.session import join_per_key, settled
+from entitystats.skew import as_list
 
 #: Blend weights, penalties and seed - fixed values.
 WEIGHTS = {"rf": 0.45, "gbt": 0.45, "elastic": 0.1}

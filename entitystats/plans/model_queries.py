@@ -1,5 +1,6 @@
 """Training, calibration and scoring over the lagged rows of ``events``."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from entitystats.operators import ml as M
@@ -342,7 +343,7 @@ def stacked_on_one_flag(t):
     """With one flag the base trees predict means of the other folds, and the ridge on them has a closed form."""
     rows = t.lineitem.select((F.col("l_linenumber") % 3).alias("part"), (F.col("l_quantity") > 25).cast("int").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     model = M.fit_stacked(rows, ["x"], "y", None, kinds=("gbt",), folds=3, trees=1, fold=F.col("part"))
-    means = model.transform(rows).groupBy("x").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("pred_gbt", "prediction")])
+    means = model.transform(rows).groupBy(F.col("x").cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("pred_gbt", "prediction")])
     return rounded(means, 4)
 
 
@@ -363,9 +364,11 @@ def _two_flags(t):
     return t.lineitem.select((F.col("l_extendedprice") / 1000 + 20 * b).alias("target"), a.alias("is_playoff"), b.alias("recent_awards_count"))
 
 
-@query("importance_of_two_flags", _FLAGS + "SELECT feature, round(3.14159e-9 + importance, 6) AS importance FROM v")
+@query("importance_of_two_flags", _FLAGS + "SELECT feature, row_number() OVER (ORDER BY importance DESC) AS position FROM v")
 def importance_of_two_flags(t):
-    return rounded(M.contextual_importance(_two_flags(t), "target", trees=1))
+    """Their order; the shares themselves follow from the rows a forest draws."""
+    found = M.contextual_importance(_two_flags(t), "target", trees=1)
+    return found.select("feature", F.row_number().over(Window.orderBy(F.desc("importance"))).cast("bigint").alias("position"))
 
 
 @query("pruning_of_the_weaker", _FLAGS + "SELECT feature FROM v WHERE importance >= 0.5")
