@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitystats.llm.common import any_text, col
@@ -154,6 +154,27 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col
     return cut.where(whole).select("sequence_id", "ids", "pieces").unionByName(joined)
 
 
+def _windows(capacity: int, powers: bool) -> Column:
+    """The windows that a placed row's ids lie in, as structs of number, first id and size, for SQL."""
+    at, end = F.col("at"), F.col("at") + F.col("doc_tokens")
+    rest = F.col("total") % capacity
+    full = F.col("total") - rest
+    window = lambda number, first, size: F.struct(number.cast("long").alias("number"), first.cast("long").alias("first"), size.cast("long").alias("size"))
+    whole = F.transform(
+        F.sequence(F.floor(at / capacity), F.floor((F.least(end, full) - 1) / capacity)), lambda k: window(k, k * capacity, F.lit(capacity))
+    )
+    if powers:
+        parts = []
+        for bit in range(capacity.bit_length() - 1, -1, -1):
+            above = F.shiftright(rest, bit + 1)
+            parts.append(F.when(F.shiftright(rest, bit) % 2 == 1, window(full / capacity + F.bit_count(above), full + above * (2 << bit), F.lit(1 << bit))))
+    else:
+        parts = [F.when(rest > 0, window(full / capacity, full, rest))]
+    none = F.array().cast("array<struct<number:long,first:long,size:long>>")
+    tail = F.filter(F.array_compact(F.array(*parts)), lambda w: (w["first"] < end) & (w["first"] + w["size"] > at))
+    return F.concat(F.when((at < full) & (end > at), whole).otherwise(none), F.when(end > full, tail).otherwise(none))
+
+
 def concatenated(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, powers: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -164,12 +185,16 @@ def concatenated(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_
     two named are not read. The order of documents is that of the table's
     partitions.
     """
-    inner = F.transform(
-        "pieces",
-        lambda p: F.struct(
-            p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["length"].alias("length"),
-            F.crc32(F.substring(F.col("ids"), (4 * (p["offset"] - F.col("offset")) + 1).cast("int"), (4 * p["length"]).cast("int"))).alias("ids_crc32"),
-            p["doc_tokens"].alias("doc_tokens"), F.col("sequence_id").alias("sequence_id"), p["offset"].alias("offset"),
-        ),
-    )
-    return fragments(docs, tokenizer_path, capacity, id_col, text_col, end_id, powers).select(F.inline(inner))
+    rows = placed(docs, tokenizer_path, id_col, text_col, end_id)
+    at, n = F.col("at"), F.col("doc_tokens")
+
+    def piece(w: Column) -> Column:
+        start = F.greatest(w["first"] - at, F.lit(0))
+        length = F.least(w["first"] + w["size"] - at, n) - start
+        return F.struct(
+            F.col("doc_id"), start.alias("start"), length.alias("length"),
+            F.crc32(F.substring(F.col("ids"), (4 * start + 1).cast("int"), (4 * length).cast("int"))).alias("ids_crc32"),
+            n.alias("doc_tokens"), w["number"].alias("sequence_id"), (at + start - w["first"]).alias("offset"),
+        )
+
+    return rows.select(F.inline(F.transform(_windows(capacity, powers), piece)))
