@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,8 @@ SIDE_WORDS = frozenset(
 FEATURES = ("main_tag", "side_tag", "main_words", "side_words", "in_main", "in_side", "list", "heading", "paragraph", "text", "link_share", "tags", "density", "depth", "index", "siblings", "stops", "before_main")
 LANDMARKS = (0, 1, 2, 3, 4, 5, 17)
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^>]*(?:>|\Z)))", re.S)
+#: A quote opens a value only right after ``=``; elsewhere it is a character like any other.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ENDS = {name: re.compile(rf"</{name}\s*[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -87,6 +89,7 @@ def parse(page: str) -> Node:
     """
     root = Node("html", frozenset(), None)
     here, links, at = root, 0, 0
+    unclosed: Counter[str] = Counter()  # tags of the open blocks below the root
     drawn: list[str] = []  # open svg elements, and foreignobject elements in them
     run: list[str] = []
     run_links = 0
@@ -138,11 +141,13 @@ def parse(page: str) -> Node:
                 links = max(0, links - 1)
             elif name in BLOCK or name == "head":
                 close_run()
-                node = here
-                while node is not root and node.tag != name:
-                    node = node.parent
-                if node is not root:
-                    here, links = node.parent, 0
+                if unclosed[name]:
+                    while True:
+                        unclosed[here.tag] -= 1
+                        here, closed = here.parent, here.tag
+                        if closed == name:
+                            break
+                    links = 0
             continue
         if name in RAW:
             end = _ENDS[name].search(page, at)
@@ -154,7 +159,8 @@ def parse(page: str) -> Node:
             links += 1
         elif name in BLOCK or name in SILENT:
             close_run()
-            while here.tag in CLOSED_BY and name in CLOSED_BY[here.tag]:
+            while here is not root and here.tag in CLOSED_BY and name in CLOSED_BY[here.tag]:
+                unclosed[here.tag] -= 1
                 here = here.parent
             if name in ("html", "body") and any(k.tag == name for k in (here, *root.kids)):
                 continue
@@ -162,6 +168,7 @@ def parse(page: str) -> Node:
                 found = " ".join(x.strip("\"'") for x in _ATTR.findall(rest)).lower() if rest else ""
                 node = Node(name, frozenset(_WORD.findall(found)), here)
                 here.kids.append(node)
+                unclosed[name] += 1
                 here, links = node, 0
         elif name not in VOID:
             here.tags += 1
