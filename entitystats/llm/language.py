@@ -14,6 +14,7 @@ memory, and many pieces are parsed side by side, one character a step.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,13 @@ PIECE_CHARS = 1024
 SIDE_BY_SIDE = 2048
 #: Texts that are folded at once.
 TOGETHER = 250
+#: Cells of the table of frequent letters; transitions by rarer letters are looked up in a sorted list.
+DENSE_CELLS = 1 << 24
 UNKNOWN = "und"
 
 
-def automaton(text: str, codes: dict[str, int]) -> np.ndarray:
-    """Transitions of the suffix automaton: state x character code; -1 where there is none."""
+def automaton(text: str, codes: dict[str, int]) -> list[dict[int, int]]:
+    """The suffix automaton of a text: for each state the states that follow, by character code."""
     nexts: list[dict[int, int]] = [{}]
     links, lengths, last = [-1], [0], 0
     for ch in text:
@@ -65,11 +68,7 @@ def automaton(text: str, codes: dict[str, int]) -> np.ndarray:
                     p = links[p]
                 links[q] = links[cur] = clone
         last = cur
-    table = np.full((len(nexts), len(codes) + 1), -1, np.int32)
-    for state, out in enumerate(nexts):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return nexts
 
 
 class Parser:
@@ -77,23 +76,48 @@ class Parser:
 
     def __init__(self, samples: list[tuple[str, str]]) -> None:
         self.langs = [lang for lang, _ in samples]
-        letters = sorted({ch for _, text in samples for ch in text})
+        # codes are numbered from the most frequent letter on; the last one stands for all others
+        letters = [ch for ch, _ in sorted(Counter(ch for _, text in samples for ch in text).items(), key=lambda x: (-x[1], x[0]))]
         codes = {ch: i for i, ch in enumerate(letters)}
-        self.width = len(letters) + 1  # the last code stands for all other characters
-        tables, self.roots, base = [], [], 0
+        self.width = len(letters) + 1
+        self.roots: list[int] = []
+        rows: list[dict[int, int]] = []
         for _, text in samples:
-            table = automaton(text, codes)
+            base = len(rows)
             self.roots.append(base)
-            tables.append(np.where(table < 0, -1, table + base))
-            base += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
+            rows += [{c: to + base for c, to in out.items()} for out in automaton(text, codes)]
+        self.dense = max(1, min(self.width, DENSE_CELLS // max(1, len(rows))))
+        self.table = np.full((len(rows) + 1, self.dense), -1, np.int32)
+        rare: dict[int, int] = {}
+        for state, out in enumerate(rows):
+            for c, to in out.items():
+                if c < self.dense:
+                    self.table[state, c] = to
+                else:
+                    rare[state * self.width + c] = to
+        self.table = self.table.ravel()
+        self.keys = np.array(sorted(rare), np.int64)
+        self.values = np.array([rare[k] for k in self.keys.tolist()], np.int32)
         self.price = np.log2(max(2, max((len(text) for _, text in samples), default=0)))
-        self.points = np.array([ord(ch) for ch in letters], np.uint32)
+        points = np.array([ord(ch) for ch in letters], np.uint32)
+        self.code_of = np.argsort(points).astype(np.int32)
+        self.points = points[self.code_of]
+
+    def follow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states (a row a language) after each state and its column's code; -1 where there is none."""
+        to = self.table[state * self.dense + np.minimum(code, self.dense - 1)]
+        if self.dense < self.width:
+            rare = np.flatnonzero(code >= self.dense)
+            if len(rare):
+                key = np.broadcast_to(state, to.shape)[:, rare].astype(np.int64) * self.width + code[rare]
+                at = np.searchsorted(self.keys, key).clip(max=max(0, len(self.keys) - 1))
+                to[:, rare] = np.where(self.keys[at] == key, self.values[at], -1) if len(self.keys) else -1
+        return to
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         at = np.searchsorted(self.points, points).clip(max=max(0, len(self.points) - 1))
-        return np.where(self.points[at] == points, at, self.width - 1).astype(np.int32)
+        return np.where(self.points[at] == points, self.code_of[at], self.width - 1).astype(np.int32)
 
     def phrases(self, pieces: list[np.ndarray]) -> np.ndarray:
         """Phrases of each piece (row) for each language (column)."""
@@ -109,9 +133,9 @@ class Parser:
         for step in range(len(grid)):
             n = live[step]
             c = grid[step, :n]
-            to = self.table[state[:, :n] * self.width + c]
+            to = self.follow(state[:, :n], c)
             ended = to < 0
-            again = self.table[roots * self.width + c]
+            again = self.follow(roots, c)
             lone = again < 0  # a character the sample lacks is a phrase by itself
             count[:, :n] += ended & (state[:, :n] != roots)
             count[:, :n] += ended & lone
