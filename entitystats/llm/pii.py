@@ -7,7 +7,10 @@ boosted trees over features of their form and of the words before them. The
 trees learn from counts of feature rows over all documents, a table bounded by
 the features' ranges; a quarter of the documents is held back from the trees
 and sets the threshold of each kind, the lowest at which the spans chosen there
-are ``PRECISION`` right. The model is applied as one SQL expression.
+are ``PRECISION`` right. A kind with fewer than ``LEAST_HELD`` of them takes the
+margin of even odds. What failed a base check is never added, what lies inside
+a base span teaches nothing, and of spans that overlap the one with the larger
+margin stays. The model is applied as one SQL expression.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ GENERATORS = (
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("email", "at", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{{2,63}}+){{1,4}}+"),
     ("phone", "", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
-    ("secret", "", r"(?<![A-Za-z0-9])(?=[A-Za-z_]{0,63}[0-9])(?=[0-9_]{0,63}[A-Za-z])[A-Za-z0-9_]{16,64}+(?![A-Za-z0-9])"),
+    ("secret", "", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9][A-Za-z0-9_+/-]{15,}+={0,2}+"),
 )
 BASE = 4
 CUES = {"phone": "(?i)(?:tel|phone|call|fax|mobile|contact)", "secret": "(?i)(?:password|passwd|pwd|token|secret|api|key|auth)", "email": "(?i)mail", "card": "(?i)(?:card|visa|account)", "ip": "(?i)(?:host|address|server|ip)"}
 CONTEXT_CHARS = 24
 PRECISION = 0.95
+#: Held-back candidates a kind needs for a threshold of its own.
+LEAST_HELD = 20
 ROUNDS = 12
 FEATURES = ("kind", "generator", "length", "digits", "capitals", "marks", "hex", "cue", "assigned")
 
@@ -109,20 +114,32 @@ def candidates(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 
 
 class Model:
-    """Trees with a least margin for each kind."""
+    """Trees with a least margin for each kind; even odds where a kind has none."""
 
     def __init__(self, trees: BoostedTrees, least: dict[int, float]) -> None:
         self.trees, self.least = trees, least
 
-    def chosen(self, name: str) -> str:
-        """SQL: whether the candidate in the lambda variable ``name`` is a span."""
-        margin = self.trees.sql([f"{name}.{f}" for f in FEATURES])
-        cases = " ".join(f"WHEN {k} THEN {m:.9f}D" for k, m in sorted(self.least.items()))
-        return f"({name}.base OR (CASE {name}.kind {cases} ELSE CAST('Infinity' AS DOUBLE) END) <= ({margin}))" if cases else f"{name}.base"
+    def spans(self, array: str) -> str:
+        """SQL: the spans among the candidates of an array, none of which overlap unless both are base."""
+        margin = self.trees.sql([f"c.{f}" for f in FEATURES])
+        cases = " ".join(f"WHEN {k} THEN {m:.9f}D" if np.isfinite(m) else f"WHEN {k} THEN CAST('Infinity' AS DOUBLE)" for k, m in sorted(self.least.items()))
+        least = f"CASE c.kind {cases} ELSE 0D END" if cases else "0D"
+        base = f"filter({array}, c -> c.base)"
+        free = f"filter({array}, c -> c.generator >= {BASE} AND NOT exists({base}, b -> b.start < c.end AND c.start < b.end))"
+        rated = f"transform({free}, c -> named_struct('loss', -({margin}), 'least', {least}, 'span', c))"
+        best = f"array_sort(filter({rated}, r -> -r.loss >= r.least))"
+        apart = (
+            f"aggregate({best}, CAST(array() AS array<{_SPAN}>), (kept, r) -> "
+            "IF(exists(kept, b -> b.start < r.span.end AND r.span.start < b.end), kept, array_append(kept, r.span)))"
+        )
+        return f"concat({base}, {apart})"
 
 
 def _right() -> Column:
-    """The weak label: the base check, or for other forms a cue or an assignment before them."""
+    """The weak label: the base check, or for other forms a cue or an assignment before them.
+
+    Candidates of another form inside a base span have none (null).
+    """
     return F.when(F.col("c.generator") < BASE, F.col("c.base")).otherwise((F.col("c.cue") == 1) | (F.col("c.assigned") == 1))
 
 
@@ -132,7 +149,9 @@ def learn(found: DataFrame, spans: str) -> Model:
     What comes to the driver is one row for each combination of features that
     occurs, fold and label: a few thousand at most, however many documents.
     """
-    each = found.select(F.explode(col(spans)).alias("c"), (F.pmod(F.xxhash64(col(spans)), F.lit(4)) == 0).alias("held"))
+    name = f"`{spans}`"
+    clear = F.expr(f"filter({name}, c -> c.generator < {BASE} OR NOT exists({name}, b -> b.base AND b.start < c.end AND c.start < b.end))")
+    each = found.select(F.explode(clear).alias("c"), (F.pmod(F.xxhash64(col(spans)), F.lit(4)) == 0).alias("held"))
     table = each.groupBy("held", _right().alias("right"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).count().collect()
     x = np.array([[r[f] for f in FEATURES] for r in table], float).reshape(-1, len(FEATURES))
     y, w = np.array([r["right"] for r in table], float), np.array([r["count"] for r in table], float)
@@ -144,7 +163,10 @@ def learn(found: DataFrame, spans: str) -> Model:
     if held.any():
         margins = trees.margin(x)
         for kind in range(len(KINDS)):
-            rows = held & (x[:, 0] == kind)
+            rows = held & (x[:, 0] == kind) & (x[:, 1] >= BASE)
+            if w[rows].sum() < LEAST_HELD:
+                continue
+            least[kind] = np.inf
             for bound in np.unique(margins[rows]):
                 taken = rows & (margins >= bound)
                 if (w * y)[taken].sum() >= PRECISION * w[taken].sum():
@@ -153,11 +175,6 @@ def learn(found: DataFrame, spans: str) -> Model:
     return Model(trees, least)
 
 
-def _apart(spans: str, name: str = "s") -> str:
-    """SQL: spans of an array that overlap no base span unless they are base themselves."""
-    return f"filter({spans}, {name} -> {name}.base OR NOT exists({spans}, b -> b.base AND b.start < {name}.end AND {name}.start < b.end))"
-
-
 def _joined(spans: str, base_only: bool) -> Column:
     """``kind:start:end`` by kind and start, comma-joined."""
     kept = f"filter({spans}, s -> s.base)" if base_only else spans
@@ -175,7 +192,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), any_text(text_col).alias("text"))
     found = settled(candidates(rows, "text", "spans").select("doc_id", "spans"))
     model = learn(found, "spans")
-    chosen = found.withColumn("spans", F.expr(_apart(f"filter(spans, c -> {model.chosen('c')})")))
+    chosen = found.withColumn("spans", F.expr(model.spans("spans")))
     counts = [F.expr(f"size(filter(spans, s -> s.base AND s.kind = {k}))").cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return chosen.select("doc_id", *counts, F.sha2(_joined("spans", True), 256).alias("base_sha256"), _joined("spans", False).alias("spans"))
 
@@ -191,7 +208,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
     (spans,) = fresh(docs, "spans")
     thin = settled(candidates(docs.select(col(text_col)), text_col, spans).select(spans))
     model = learn(thin, spans)
-    found = candidates(docs, text_col, spans).withColumn(spans, F.expr(f"array_sort(filter(`{spans}`, c -> {model.chosen('c')}))"))
+    found = candidates(docs, text_col, spans).withColumn(spans, F.expr(f"array_sort({model.spans(f'`{spans}`')})"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     text = f"`{text_col}`"
     step = (

@@ -1,6 +1,7 @@
 """Personal data: base spans against plain loops, redaction, odd inputs."""
 
 import hashlib
+import random
 import re
 
 from entitystats.llm import pii
@@ -70,3 +71,25 @@ def test_redaction(spark):
         assert got[i].n_chars == len(got[i].text)
     assert got[5].text is None and got[6].text == "" and got[7].text == ODD[7]
     assert got[4].text == "é😀 [CARD] 😀[EMAIL]"
+
+
+def test_added_spans(spark):
+    """Keys of any length and with the usual marks after a cue, never a number that fails its check, no overlaps."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789-/+_") for _ in range(n - 2))
+    texts = [f"words before, token: {hexes(32)} and after" for _ in range(60)] + [f"ordinary {hexes(20)} reference {i}" for i in range(60)]
+    texts += [f"api_key = A{key(60)}9== then" for _ in range(60)] + ["call tel 415-555-0100 now, card 4111111111111112 +1 (743) 555-3824"] * 30
+    texts += [f"secret={hexes(128)}", f"password: {'x' * 100}1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for table in (docs, docs.where("doc_id % 3 = 0 OR doc_id >= 210")):
+        rows = pii.personal_spans(table).collect()
+        check(rows, texts)
+        for r in rows:
+            spans = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in r.spans.split(",") if s))
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+            assert not any(k == "card" for _, _, k in spans)
+        found = {r.doc_id: r.spans for r in rows}
+        assert found[210] == f"secret:7:{7 + 128}" and found[211] == "secret:10:111"
+        if 0 in found:
+            assert "secret:21:53" in found[0]

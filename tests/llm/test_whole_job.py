@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -92,3 +93,49 @@ def test_drawings_and_formulas(before, inside, seen):
     page = f"<body>{before}<article><p>One{inside} two.</p><p>Three</p></article></body>"
     texts = [n.text for n in html_text.nodes(html_text.parse(page)) if n.text]
     assert texts == [f"One{seen} two.", "Three"]
+
+
+def test_many_letters():
+    """Two scripts of 3,000 letters and 40,000 characters each; the automata stay small and tell them apart."""
+    rng = random.Random(2)
+    han, yi = ("".join(rng.choices([chr(first + i) for i in range(3000)], [1 / (i + 1) for i in range(3000)], k=40000)) for first in (0x4E00, 0x6000))
+    latin = "".join(rng.choices("abcdefghij klmno", k=40000))
+    model = language.Parser([("han", han), ("latin", latin), ("yi", yi)])
+    assert model.table.nbytes + model.keys.nbytes + model.values.nbytes < 100e6
+    texts = [han[100:900], latin[5:400], yi[7:700], "z", ""]
+    bits = language.costs(model, texts)
+    assert bits[:3].argmin(axis=1).tolist() == [0, 1, 2]
+    # the same phrases as a plain search for substrings
+    for text, row in zip(texts[:3], bits):
+        for sample, got in zip((han, latin, yi), row):
+            at, phrases = 0, 0
+            while at < len(text):
+                n = 1
+                while at + n < len(text) and text[at : at + n + 1] in sample and text[at] in sample:
+                    n += 1
+                at, phrases = at + n, phrases + 1
+            assert got == pytest.approx(phrases * model.price / len(text))
+
+
+def test_stray_quotes_and_tags():
+    def texts(node):
+        return ([node.text] if node.text else []) + [t for kid in node.kids for t in texts(kid)]
+
+    parsed = lambda page: texts(html_text.parse(page))
+    assert parsed("<p title=don't>Hello world, it's a text.</p><p>More text</p>") == ["Hello world, it's a text.", "More text"]
+    assert parsed("<p class=\"a>b\">x</p><p data-x='1>2' id=\"q\" >y</p><p title=\"open>z</p><p>w</p>") == ["x", "y", "z", "w"]
+    assert parsed("<div><p>a<p>b</div></p></span></div>c<ul><li>1<li>2</ul>d") == ["a", "b", "c", "1", "2", "d"]
+    begin = time.time()
+    assert html_text.parse("<div>" * 50000 + "</section>" * 50000 + "x")
+    assert time.time() - begin < 20
+
+
+def test_odd_pages(spark):
+    """Null, empty and repeated pages, a stray quote, columns that clash; an empty table."""
+    body = "<html><body><nav><a href=x>Home</a></nav><article><p title=don't>" + "It's the first paragraph of a story. " * 8 + "</p><p>" + "And here is more of it, told slowly. " * 8 + "</p></article></body></html>"
+    rows = [(1, "u", None, "t", 1), (2, "u", "", "t", 2), (3, None, body, None, 3), (3, None, body, "n", 3), (None, "v", "<p>", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").repartition(2)
+    got = sorted(html_text.extracted(pages).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
+    assert [r.page_id for r in got] == [1, 2, 3, 3, None] and [r.text for r in got[:2]] == ["", ""]
+    assert got[2].text == got[3].text and "first paragraph" in got[2].text and "told slowly" in got[2].text
+    assert all(r.n_chars == len(r.text) for r in got) and html_text.extracted(pages.limit(0)).count() == 0
