@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entitystats.functions.teams import HIGH_ALTITUDE_M, coordinates, haversine_km, rival_pairs
-from entitystats.session import settled_small
-from entitystats.skew import Timeline, as_list, null_safe_join
+from entitystats.session import max_rows_per_task, settled_small
+from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join
 
 #: Parts that the history of an entity is dealt over.
 FORM_PARTS = 16
@@ -17,22 +18,30 @@ FORM_PARTS = 16
 
 def opponent_adjusted(
     history: DataFrame, requests: DataFrame, entity, ts: str, value: str, opponent: str, rating: str,
-    current_opponent: str, current_rating: str, tie: Sequence[str] = (),
+    current_opponent: str, current_rating: str, tie: Sequence[str] = (), max_rows: int | None = None,
 ) -> DataFrame:
     """One row per request: form against the coming opponent and its kind.
 
     ``requests`` has one row per entity with the coming opponent and rating.
     Stronger means a rating at or below the current one, similar within two
-    points. An entity's history is dealt over ``FORM_PARTS`` parts by a hash of
-    its rows, which meet as many copies of the entity's one request; the sums
-    of the parts are added up. So no task sees a whole hot entity. Pass
-    ``settled_small`` requests to have a small request table broadcast.
+    points. The history of an entity above the row limit is dealt over
+    ``FORM_PARTS`` parts by a hash of its rows, which meet as many copies of the
+    entity's one request; the sums of the parts are added up. So no task sees a
+    whole hot entity. Pass ``settled_small`` requests to have a small request
+    table broadcast.
     """
     keys = as_list(entity)
     v = F.col(value).cast("double")
-    part = F.pmod(F.xxhash64(ts, *tie, value, opponent), F.lit(FORM_PARTS)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(FORM_PARTS - 1)))
-    joined = history.withColumn("__part", part).join(requests.withColumn("__part", parts), [*keys, "__part"])
+    heavy = heavy_keys(history, keys, max_rows or max_rows_per_task(history.sparkSession))
+    if heavy:
+        # rows / limit of them at most
+        hot = history.sparkSession.createDataFrame([(*h[:-1], True) for h in heavy], T.StructType([*[history.schema[k] for k in keys], T.StructField("__hot", T.BooleanType())]))
+        dealt = lambda df, part: null_safe_join(df, F.broadcast(hot), keys).withColumn("__part", F.when(F.col("__hot"), part).otherwise(F.lit(0))).drop("__hot")
+        asked = null_safe_join(requests, F.broadcast(hot), keys)
+        asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(FORM_PARTS - 1)).otherwise(F.lit(0))))).drop("__hot")
+        joined = dealt(history, F.pmod(F.xxhash64(ts, *tie, value, opponent), F.lit(FORM_PARTS)).cast("int")).join(asked, [*keys, "__part"])
+    else:
+        joined = history.join(requests, keys).withColumn("__part", F.lit(0))
     same = F.col(opponent).cast("string") == F.col(current_opponent).cast("string")
     stronger = F.col(rating) <= F.col(current_rating)
     similar = F.abs(F.col(rating) - F.col(current_rating)) <= 2.0

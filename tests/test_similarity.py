@@ -37,3 +37,24 @@ def test_no_items_or_no_queries(spark):
     one = spark.createDataFrame([(1, [1.0])], "id int, vector array<double>")
     assert SIM.top_similar(one, asked.limit(0), 3).count() == 0
     assert [tuple(r) for r in SIM.top_similar(one, asked, 3).collect()] == [("a", 1, 1.0, 1)]
+
+
+def test_far_groups_are_not_met(spark, monkeypatch):
+    """On clustered vectors each query meets few of the groups, and still finds its nearest exactly."""
+    monkeypatch.setattr(SIM, "ITEM_TILE", 25)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    vectors = np.concatenate([c + 0.05 * rng.normal(size=(50, 16)) for c in centres] + [np.repeat(centres[:1], 200, axis=0)])
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, vector array<double>").repartition(3)
+    asked = centres + 0.05 * rng.normal(size=(20, 16))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, query array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = unit(asked) @ unit(vectors).T
+    found = {}
+    for r in SIM.top_similar(items, queries, 4).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    for q in range(20):
+        assert [found[q][n] for n in range(1, 5)] == pytest.approx(sorted(scores[q])[::-1][:4])
+    tiles = SIM.Tiles(items, "id", "vector")
+    visits = tiles.nearest(queries, "query", 4).unionByName(tiles.others(queries.withColumn("__kth", SIM.F.lit(0.98)), "query", 4))
+    assert len(tiles.centres) > 20 and visits.select("query_id", "__tile").distinct().count() < 0.3 * 20 * len(tiles.centres)
