@@ -1,11 +1,16 @@
 """Season, team and table aggregates."""
 
+import datetime as dt
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from entitystats.functions import values as V
 from entitystats.operators import aggregates as A
 from entitystats.plans.registry import query
 from entitystats.plans.rounding import rounded
+from entitystats.session import scratch_folder, size_in_bytes
+from entitystats.sources.clustered import read_range, write_clustered
 
 
 def _games(t):
@@ -374,3 +379,37 @@ def box_proxies(t):
 def bpm_estimates(t):
     b = F.col("s_acctbal")
     return rounded(t.supplier.select("s_suppkey", V.bpm_estimate(b / 100, F.when(b > 5000, b / 1000)).alias("bpm")))
+
+
+_CLUSTERED = """
+    SELECT user_id, round(3.14159e-9 + avg(value), 6) AS avg_value, count(*) AS n, true AS pruned FROM events WHERE user_id BETWEEN 7 AND 9 AND ts >= TIMESTAMP '2024-01-10' GROUP BY user_id
+"""
+
+
+def _clustered(t):
+    """Events clustered by user and time, in a new folder."""
+    path = scratch_folder(t.spark, "clustered")
+    write_clustered(t.events, path, ["user_id", "ts"], 16 + size_in_bytes(t.events) // (128 << 20))
+    return path
+
+
+@query("clustered_means", _CLUSTERED)
+def clustered_means(t):
+    """Means of three users since a day, read from the few files that can hold them."""
+    path = _clustered(t)
+    ranges = {"user_id": (7, 9), "ts": (dt.datetime(2024, 1, 10), None)}
+    rows = read_range(t.spark, path, ranges)
+    pruned = 4 * len(rows.inputFiles()) <= t.spark.read.parquet(f"{path}/files").count()
+    return rounded(rows.groupBy("user_id").agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"), F.lit(pruned).alias("pruned")))
+
+
+@query(
+    "clustered_files",
+    "SELECT count(*) AS rows, min(user_id) AS low_user_id, max(user_id) AS high_user_id, true AS apart FROM events",
+)
+def clustered_files(t):
+    """The table of files covers every row, and files in order of users do not overlap by more than one user."""
+    files = t.spark.read.parquet(f"{_clustered(t)}/files")
+    before = F.lag("high_user_id").over(Window.orderBy("low_user_id", "low_ts"))
+    apart = files.select("*", F.coalesce(F.col("low_user_id") >= before, F.lit(True)).alias("apart"))
+    return apart.agg(F.sum("rows").alias("rows"), F.min("low_user_id").alias("low_user_id"), F.max("high_user_id").alias("high_user_id"), F.bool_and("apart").alias("apart"))

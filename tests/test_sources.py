@@ -121,3 +121,20 @@ def test_catalog(spark, tmp_path):
         catalog.register(spark, reg, m)
     assert catalog.registered(spark, reg).count() == 2 and catalog.latest_registered(spark, reg, "points")["uid"] == "u2"
     assert [r["version"] for r in catalog.versions_beyond(catalog.list_datasets(spark, base), 1).collect()] == ["v1"]
+
+
+def test_clustered_reads(spark, tmp_path):
+    """A read opens the files that can match only; nulls, a hot key and empty ranges are no obstacle."""
+    from entitystats.sources.clustered import matching_files, read_range, write_clustered
+
+    rows = [(i % 40 if i % 3 else 7, i, float(i)) for i in range(3000)] + [(None, 1, 0.5), (9, None, 0.25)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    path = str(tmp_path / "c")
+    write_clustered(df, path, ["k", "t"], 12)
+    assert spark.read.parquet(f"{path}/files").agg(F.sum("rows")).first()[0] == len(rows)
+    for ranges in ({"k": (30, 31)}, {"k": (7, 7), "t": (100, 200)}, {"t": (None, 50)}, {"k": (99, None)}, {}):
+        fits = lambda r: all(r[i] is not None and (lo is None or r[i] >= lo) and (hi is None or r[i] <= hi) for i, c in enumerate("kt") if c in ranges for lo, hi in [ranges[c]])
+        assert sorted(r["v"] for r in read_range(spark, path, ranges).collect()) == sorted(r[2] for r in rows if fits(r))
+    total = spark.read.parquet(f"{path}/files").count()
+    assert matching_files(spark, path, {"k": (30, 31)}).count() <= 3 < total and matching_files(spark, path, {"k": (99, None)}).count() == 0
+    assert len(read_range(spark, path, {"k": (30, 31)}).inputFiles()) <= 3
