@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitystats.functions.text import normalise_name, normalise_name_suffix
-from entitystats.session import settled
+from entitystats.session import settled, settled_small
 from entitystats.skew import Timeline, null_safe_join, whole_key
 
-GRAM = 3
+#: Sizes of the character grams that names are found by.
+SIZES = (1, 2, 3, 6, 12, 24)
 
 
 def numbered(df: DataFrame, order: Sequence[str], start: Column, name: str = "id") -> DataFrame:
@@ -139,48 +140,66 @@ def resolve_events(
 
 
 # -- names -----------------------------------------------------------------
-def _grams(text: Column, size: int) -> Column:
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size)))
-    )
+def _grams(text: Column, size: int | Column) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
 
 
-def containing_names(needles: DataFrame, needle: str, names: DataFrame, name: str) -> DataFrame:
-    """Per needle: how many distinct names contain it, and the smallest such name.
+def _every_gram(text: Column) -> Column:
+    """Grams of all ``SIZES`` that fit."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(F.length(text) >= k, _grams(text, k)).otherwise(none) for k in SIZES]))
 
-    Containment is an equality join on character grams. A needle longer than
-    three characters probes only the postings of its rarest gram and is then
-    checked in full; a shorter one is itself a gram, whose statistics are
-    already counted, so nothing is paired up for it.
-    """
-    pool = names.select(F.col(name).alias("__name")).filter(F.length("__name") > 0).distinct()
-    wanted = needles.select(F.col(needle).alias("__needle")).filter(F.length("__needle") > 0).distinct()
-    size = F.least(F.length("__needle"), F.lit(GRAM))
-    grams = pool.withColumn(
-        "__gram", F.explode(F.flatten(F.array(*[F.when(F.length("__name") >= k, _grams(F.col("__name"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)])))
-    )
-    stats = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"), F.min("__name").alias("__any"))
-    probes = wanted.withColumn("__gram", F.explode(_grams(F.col("__needle"), GRAM))).filter(F.length("__needle") > GRAM)
-    # a gram that no name has rules the needle out, so absent grams count as 0
-    rarest = (
-        probes.join(stats, "__gram", "left")
-        .groupBy("__needle")
+
+def _probes(text: Column) -> Column:
+    """The text itself where its length is one of ``SIZES``, else its grams of the largest size that fits."""
+    size = F.lit(SIZES[0])
+    for k in SIZES[1:]:
+        size = F.when(F.length(text) >= k, F.lit(k)).otherwise(size)
+    return F.when(F.length(text).isin(*SIZES), F.array(text)).otherwise(_grams(text, size))
+
+
+def _rarest(texts: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """Each text with the rarest of its probes; texts with a probe that occurs nowhere go."""
+    return (
+        texts.withColumn("__gram", F.explode(_probes(F.col(text))))
+        .join(counts, "__gram", "left")
+        .groupBy(text)
         .agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__gram").alias("gram"))).alias("r"))
         .filter("r.df > 0")
-        .select("__needle", F.col("r.gram").alias("__gram"))
+        .select(text, F.col("r.gram").alias("__gram"))
     )
+
+
+def _containment(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(__needle, n, match): how many names contain the needle, and the smallest ``__value`` of them.
+
+    Containment is an equality join on character grams of growing sizes. A
+    needle whose length is one of them is itself a gram, whose statistics are
+    counted once, so nothing is paired up for it. Another one meets only the
+    names that have its rarest gram of the largest size that fits, at least
+    half of the needle, and is then checked in full. Grams that no needle asks
+    for are not shuffled where the needles are few.
+    """
+    grams = names.withColumn("__gram", F.explode(_every_gram(F.col("__name"))))
+    stats = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"), F.min("__value").alias("__any"))
+    whole = F.length("__needle").isin(*SIZES)
+    asked = settled_small(_rarest(needles.filter(~whole), "__needle", stats.select("__gram", "__df")))
     long = (
-        rarest.join(grams.filter(F.length("__gram") == GRAM), "__gram")
+        grams.join(asked, "__gram")
         .filter(F.col("__name").contains(F.col("__needle")))
         .groupBy("__needle")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__name").alias("match"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__value").alias("match"))
     )
-    short = (
-        wanted.filter(F.length("__needle") <= GRAM)
-        .join(stats, F.col("__needle") == F.col("__gram"))
-        .select("__needle", F.col("__df").alias("n"), F.col("__any").alias("match"))
-    )
-    return long.unionByName(short).withColumnRenamed("__needle", needle).withColumn("n", F.col("n").cast("bigint"))
+    short = needles.filter(whole).join(stats, F.col("__needle") == F.col("__gram")).select("__needle", F.col("__df").alias("n"), F.col("__any").alias("match"))
+    return long.unionByName(short)
+
+
+def containing_names(needles: DataFrame, needle: str, names: DataFrame, name: str) -> DataFrame:
+    """Per needle: how many distinct names contain it, and the smallest such name."""
+    pool = names.select(F.col(name).alias("__name")).filter(F.length("__name") > 0).distinct().withColumn("__value", F.col("__name"))
+    wanted = needles.select(F.col(needle).alias("__needle")).filter(F.length("__needle") > 0).distinct()
+    return _containment(wanted, pool).select(F.col("__needle").alias(needle), F.col("n").cast("bigint").alias("n"), "match")
 
 
 def contained_names(haystacks: DataFrame, haystack: str, names: DataFrame, name: str) -> DataFrame:
@@ -191,18 +210,9 @@ def contained_names(haystacks: DataFrame, haystack: str, names: DataFrame, name:
     """
     pool = names.select(F.col(name).alias("__name")).filter(F.length("__name") > 0).distinct()
     hay = haystacks.select(F.col(haystack).alias("__hay")).filter(F.length("__hay") > 0).distinct()
-    all_grams = F.flatten(F.array(*[F.when(F.length("__hay") >= k, _grams(F.col("__hay"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)]))
-    hay_grams = hay.withColumn("__gram", F.explode(all_grams))
+    hay_grams = hay.withColumn("__gram", F.explode(_every_gram(F.col("__hay"))))
     stats = hay_grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
-    own = F.when(F.length("__name") >= GRAM, _grams(F.col("__name"), GRAM)).otherwise(F.array("__name"))
-    posted = (
-        pool.withColumn("__gram", F.explode(own))
-        .join(stats, "__gram", "left")
-        .groupBy("__name")
-        .agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__gram").alias("gram"))).alias("r"))
-        .filter("r.df > 0")
-        .select("__name", F.col("r.gram").alias("__gram"))
-    )
+    posted = settled_small(_rarest(pool, "__name", stats))
     return (
         hay_grams.join(posted, "__gram")
         .filter(F.col("__hay").contains(F.col("__name")))
@@ -278,7 +288,9 @@ def names_to_ids(queries: DataFrame, query: str, entities: DataFrame, name: str
     rest = out.filter("__exact IS NULL AND __case IS NULL AND __normal IS NULL").select(
         "__q", normalise_name_suffix(F.col("__q")).alias("__rn")
     )
-    part = _smallest_containing(rest.select("__rn"), norm_ids)
+    pool = norm_ids.filter(F.length("__norm") > 0).select(F.col("__norm").alias("__name"), F.col("__nid").alias("__value"))
+    wanted = rest.select(F.col("__rn").alias("__needle")).filter(F.length("__needle") > 0).distinct()
+    part = _containment(wanted, pool).select(F.col("__needle").alias("__rn"), F.col("match").alias("__part"))
     rest = rest.join(part, "__rn", "left").select("__q", "__part")
     out = out.join(rest, "__q", "left")
     tier = (
@@ -288,37 +300,6 @@ def names_to_ids(queries: DataFrame, query: str, entities: DataFrame, name: str
     return out.select(F.col("__q").alias(query), F.coalesce("__exact", "__case", "__normal", "__part").alias("id"), tier.alias("tier"))
 
 
-def _smallest_containing(needles: DataFrame, norm_ids: DataFrame) -> DataFrame:
-    """Needle -> smallest id of a normalised name that contains it.
-
-    Names are renamed to a sortable key that starts with the id, so that the
-    smallest key is the smallest id.
-    """
-    pool = norm_ids.filter(F.length("__norm") > 0)
-    wanted = needles.filter(F.length("__rn") > 0).distinct()
-    grams = pool.withColumn("__gram", F.explode(F.flatten(F.array(*[
-        F.when(F.length("__norm") >= k, _grams(F.col("__norm"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)
-    ]))))
-    stats = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"), F.min("__nid").alias("__gid"))
-    rarest = (
-        wanted.filter(F.length("__rn") > GRAM)
-        .withColumn("__gram", F.explode(_grams(F.col("__rn"), GRAM)))
-        .join(stats, "__gram", "left")
-        .groupBy("__rn")
-        .agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__gram").alias("gram"))).alias("r"))
-        .filter("r.df > 0")
-        .select("__rn", F.col("r.gram").alias("__gram"))
-    )
-    long = (
-        rarest.join(grams, "__gram")
-        .filter(F.col("__norm").contains(F.col("__rn")))
-        .groupBy("__rn")
-        .agg(F.min("__nid").alias("__part"))
-    )
-    short = wanted.filter(F.length("__rn") <= GRAM).join(stats, F.col("__rn") == F.col("__gram")).select("__rn", F.col("__gid").alias("__part"))
-    return long.unionByName(short)
-
-
 def mapping_method(roster: DataFrame, roster_name: str, aliases: DataFrame, mapped: DataFrame) -> DataFrame:
     """How each roster name was resolved: alias+manifest, alias, manifest or none.
 

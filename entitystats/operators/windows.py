@@ -206,14 +206,14 @@ def rolling_summary(
     mean = lambda w: total(last[w]) / F.size(last[w])
     out = {}
     for w in windows:
-        ordered, n = F.array_sort(last[w]), F.size(last[w])
-        out[f"last_{w}_avg"] = mean(w)
-        out[f"last_{w}_std"] = F.sqrt(total(F.transform(last[w], lambda x, w=w: (x - mean(w)) * (x - mean(w)))) / n)
+        ordered, n, centre = F.array_sort(last[w]), F.size(last[w]), mean(w)
+        out[f"last_{w}_avg"] = centre
+        out[f"last_{w}_std"] = F.sqrt(total(F.transform(last[w], lambda x: (x - centre) * (x - centre))) / n)  # noqa: B023
         out[f"last_{w}_min"], out[f"last_{w}_max"] = F.array_min(last[w]), F.array_max(last[w])
         out[f"last_{w}_median"] = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
     for w in (3, 5):
         n = F.size(last[w])
-        out[f"wma_{w}"] = total(F.transform(last[w], lambda x, i, n=n: x * (n - i))) / (n * (n + 1) / 2)
+        out[f"wma_{w}"] = total(F.transform(last[w], lambda x, i: x * (n - i))) / (n * (n + 1) / 2)
     n = F.size(last[10])
     middle = (n - 1) / 2
     rise = total(F.transform(last[10], lambda x, i: (i - middle) * x))
