@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from entitystats.functions import values as V
 from entitystats.functions.dates import minutes_played
 from entitystats.operators.normalize import pick
-from entitystats.session import join_per_key, max_rows_per_task, settled
-from entitystats.skew import Timeline, as_list, heavy_keys, null_safe_join, quantiles, whole_key
+from entitystats.session import join_per_key, settled
+from entitystats.skew import Timeline, as_list, null_safe_join, quantiles, whole_key
 
 #: Box-score measures and the spellings they come in - fixed values.
 BOX_ALIASES = {
@@ -305,35 +305,24 @@ def exceedance(
     """Share of an entity's historical values above ``x``, per distinct (entity, x).
 
     Entities with fewer than ``min_rows`` values use the values of all
-    entities. Both sides are combined per value first and merged in value
-    order, so no pairs are formed.
+    entities. The history is read once and combined per value. What it holds
+    and what is asked are then merged in value order, per entity and, under a
+    key of their own, for all entities together, in one pass.
     """
-    limit = max_rows or max_rows_per_task(history.sparkSession)
     known = history.filter(F.col(value).isNotNull()).select(entity, F.col(value).cast("double").alias("v"))
-    heavy = heavy_keys(known, [entity], limit)  # before combining, so never too short
-    counts = known.groupBy(entity, "v").agg(F.count(F.lit(1)).alias("w"))
-    wants = lookups.select(entity, F.col(x).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
-    own = settled(_count_above(counts, wants, [entity], limit, heavy))
-    enough = own.filter(F.col("n") >= min_rows).select(entity, "x", (F.col("above") / F.col("n")).alias("p_over"))
-    few = own.filter(F.col("n") < min_rows).select(entity, "x")
-    if few.isEmpty():
-        return enough
-    pooled = known.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("__all", whole_key("v"))
-    # all rows bound the number of distinct values, and counting them is cheap
-    total = known.count()
-    heavy = [(0, total)] if 0 < limit < total else []
-    shared = _count_above(pooled, few.select("x", whole_key("x").alias("__all")).distinct(), ["__all"], limit, heavy)
-    shared = shared.filter("n > 0").select("x", (F.col("above") / F.col("n")).alias("p_over"))
-    return enough.unionByName(few.join(shared, "x").select(entity, "x", "p_over"))
-
-
-def _count_above(counts: DataFrame, wants: DataFrame, keys: list[str], max_rows: int, heavy: list[tuple] | None = None) -> DataFrame:
-    """(keys, x, above, n): values above x and all values, per wanted x."""
-    merged = counts.select(*keys, "v", F.lit(0).alias("kind"), "w").unionByName(
-        wants.select(*keys, F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("w"))
-    )
-    line = Timeline(merged, keys, ["v", "kind"], max_rows, heavy).running(__upto=("sum", F.col("w"), True)).totals(__n=("sum", F.col("w")))
-    return line.result().filter("kind = 1").select(*keys, F.col("v").alias("x"), (F.col("__n") - F.col("__upto")).alias("above"), F.col("__n").alias("n"))
+    counts = settled(known.groupBy(entity, "v").agg(F.count(F.lit(1)).alias("w")))
+    wants = settled(lookups.select(entity, F.col(x).cast("double").alias("v")).filter("v IS NOT NULL").distinct())
+    own = lambda df: df.withColumn("__all", F.lit(False))
+    every = lambda df: df.withColumns({entity: F.lit(None).cast(history.schema[entity].dataType), "__all": F.lit(True)})
+    have = own(counts).unionByName(every(counts.groupBy("v").agg(F.sum("w").alias("w"))))
+    asked = own(wants).unionByName(every(wants.select("v").distinct()))
+    merged = have.withColumn("kind", F.lit(0)).unionByName(asked.withColumns({"kind": F.lit(1), "w": F.lit(0).cast("bigint")}))
+    line = Timeline(merged, ["__all", entity], ["v", "kind"], max_rows).running(__upto=("sum", F.col("w"), True)).totals(__n=("sum", F.col("w")))
+    share = (F.col("__n") - F.col("__upto")) / F.nullif(F.col("__n"), F.lit(0))
+    found = settled(line.result().filter("kind = 1").select("__all", entity, F.col("v").alias("x"), F.col("__n").alias("n"), share.alias("p")))
+    shared = found.filter("__all").select("x", F.col("p").alias("__p"))
+    out = join_per_key(found.filter("NOT __all"), shared, ["x"], "left")
+    return out.select(entity, "x", F.when(F.col("n") >= min_rows, F.col("p")).otherwise(F.col("__p")).alias("p_over")).filter("p_over IS NOT NULL")
 
 
 def agreement_percent(df: DataFrame, match: Column) -> DataFrame:
