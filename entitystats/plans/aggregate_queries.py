@@ -410,6 +410,6 @@ def clustered_means(t):
 def clustered_files(t):
     """The table of files covers every row, and files in order of users do not overlap by more than one user."""
     files = t.spark.read.parquet(f"{_clustered(t)}/files")
-    before = F.lag("high_user_id").over(Window.orderBy("low_user_id", "low_ts"))
+    before = F.lag("high_user_id").over(Window.orderBy("low_user_id", "high_user_id"))
     apart = files.select("*", F.coalesce(F.col("low_user_id") >= before, F.lit(True)).alias("apart"))
     return apart.agg(F.sum("rows").alias("rows"), F.min("low_user_id").alias("low_user_id"), F.max("high_user_id").alias("high_user_id"), F.bool_and("apart").alias("apart"))
