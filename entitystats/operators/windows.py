@@ -185,7 +185,8 @@ def rolling_summary(
     newest w values (fewer when there are not w). Also the exponential mean,
     linearly weighted means over 3 and 5, slope over 10 (newest first, so a
     rising series has a negative slope) and the newest value minus the mean of
-    the newest five. Entities with no value are kept with nulls.
+    the newest five. Medians see the newest values only, so their buffers hold
+    as many as the widest window.
     """
     entity = as_list(entity)
     v = F.col(value).cast("double")
@@ -194,32 +195,26 @@ def rolling_summary(
     line = Timeline(present, entity, [ts, *tie], max_rows)
     ranked = line.running(__old=("count", F.lit(1), True)).totals(__n=("count", F.lit(1))).result()
     rn = F.col("__n") - F.col("__old") + 1  # 1 = newest
-    kept = max([*windows, 10])
-    newest = F.collect_list(F.when(rn <= kept, F.struct(rn.alias("rn"), v.alias("v"))))
-    state = ranked.groupBy(*entity).agg(
-        F.max("__n").alias("n_values"), F.sum(v * ema_weight(F.col("__old"), F.col("__n"))).alias("exponential_moving_avg"), F.array_sort(newest).alias("__state")
-    )
-    # everything else follows from the few newest values, newest first
-    state = state.withColumn("__v", F.transform("__state", lambda s: s["v"]))
-    last = {w: F.slice("__v", 1, w) for w in {*windows, 3, 5, 10}}
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = lambda w: total(last[w]) / F.size(last[w])
-    out = {}
+    aggs = []
     for w in windows:
-        ordered, n, centre = F.array_sort(last[w]), F.size(last[w]), mean(w)
-        out[f"last_{w}_avg"] = centre
-        out[f"last_{w}_std"] = F.sqrt(total(F.transform(last[w], lambda x: (x - centre) * (x - centre))) / n)  # noqa: B023
-        out[f"last_{w}_min"], out[f"last_{w}_max"] = F.array_min(last[w]), F.array_max(last[w])
-        out[f"last_{w}_median"] = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+        recent = F.when(rn <= w, v)
+        aggs += [
+            F.avg(recent).alias(f"last_{w}_avg"),
+            F.stddev_pop(recent).alias(f"last_{w}_std"),
+            F.min(recent).alias(f"last_{w}_min"),
+            F.max(recent).alias(f"last_{w}_max"),
+            F.percentile(recent, F.lit(0.5)).alias(f"last_{w}_median"),
+        ]
+    aggs.append(F.sum(v * ema_weight(F.col("__old"), F.col("__n"))).alias("exponential_moving_avg"))
     for w in (3, 5):
-        n = F.size(last[w])
-        out[f"wma_{w}"] = total(F.transform(last[w], lambda x, i: x * (n - i))) / (n * (n + 1) / 2)
-    n = F.size(last[10])
-    middle = (n - 1) / 2
-    rise = total(F.transform(last[10], lambda x, i: (i - middle) * x))
-    out["slope_10"] = F.when(n > 1, rise / (n * (n * n - 1) / 12)).otherwise(F.lit(0.0))
-    out["momentum_vs_5_avg"] = F.get("__v", F.lit(0)) - mean(5)
-    return state.select(*entity, "n_values", *[F.when(F.size("__v") > 0, c).otherwise(F.lit(0.0) if name == "slope_10" else F.lit(None)).alias(name) for name, c in out.items()], "exponential_moving_avg")
+        weight = F.when(rn <= w, F.least(F.lit(w), F.col("__n")) + 1 - rn)
+        aggs.append((F.sum(v * weight) / F.sum(weight)).alias(f"wma_{w}"))
+    in_slope = rn <= 10
+    aggs.append(
+        F.coalesce(F.regr_slope(F.when(in_slope, v), F.when(in_slope, rn - 1)), F.lit(0.0)).alias("slope_10")
+    )
+    aggs.append((F.max(F.when(rn == 1, v)) - F.avg(F.when(rn <= 5, v))).alias("momentum_vs_5_avg"))
+    return ranked.groupBy(*entity).agg(F.max("__n").alias("n_values"), *aggs)
 
 
 def recent_stats(
