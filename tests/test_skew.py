@@ -97,13 +97,14 @@ def test_wide_rows_are_not_hinted_for_broadcast(spark):
     assert hinted(settled_small(df)) and not hinted(settled_small(df, max_bytes=10_000)) and not hinted(settled_small(df, max_rows=100))
 
 
-def test_form_of_a_hot_entity(spark):
+@pytest.mark.parametrize("limit", [None, 100])
+def test_form_of_a_hot_entity(spark, limit):
     from entitystats.operators.context import opponent_adjusted
 
     rows = [("hot", i, float(i % 13), f"o{i % 5}", float(100 + i % 7)) for i in range(900)] + [("cold", i, float(i), "o1", 101.0) for i in range(5)] + [("cold", 9, None, "o2", 99.0)]
     history = spark.createDataFrame(rows, "e string, t int, v double, opp string, rating double")
     asked = spark.createDataFrame([("hot", "o2", 103.0), ("cold", "o2", 101.0), ("none", "o1", 1.0)], "e string, now string, now_rating double")
-    got = {r["e"]: r for r in opponent_adjusted(history, asked, "e", "t", "v", "opp", "rating", "now", "now_rating").collect()}
+    got = {r["e"]: r for r in opponent_adjusted(history, asked, "e", "t", "v", "opp", "rating", "now", "now_rating", max_rows=limit).collect()}
     for e, now, at in (("hot", "o2", 103.0), ("cold", "o2", 101.0), ("none", "o1", 1.0)):
         mine = [r for r in rows if r[0] == e and r[2] is not None]
         mean = lambda values: sum(values) / len(values) if values else None
