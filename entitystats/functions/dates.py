@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +43,16 @@ def parse_date(text: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """Timestamp from any known text layout; null when none fits."""
-    plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*(?=[0-9])", "")  # a weekday adds nothing
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in TIMESTAMP_FORMATS], text.try_cast("timestamp"))
+    weekday = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*(?=[0-9])", "")  # a weekday adds nothing
+    plain = F.when(text.contains(","), weekday).otherwise(text)
+    return F.coalesce(*[_read(plain, f, text) for f in TIMESTAMP_FORMATS], text.try_cast("timestamp"))
+
+
+def _read(text: Column, layout: str, whole: Column) -> Column:
+    """Timestamp of one layout, tried only where the whole text has its marks: a layout that fails costs an exception."""
+    marks = [whole.contains(m) for m in "-/:," if m in layout]
+    read = F.try_to_timestamp(text, F.lit(layout))
+    return F.when(reduce(and_, marks), read) if marks else read
 
 
 def epoch_timestamp(number: Column) -> Column:

@@ -148,3 +148,13 @@ def test_batch_and_lookup(spark):
     rows = C.batch_context(asks, ctx, "name").orderBy("pos").collect()
     assert [r["error"] for r in rows] == [None, "not found", "missing name", "missing name"]
     assert [r["pos"] for r in C.lookup_by_ids(ctx, C.request_positions(spark, ["q", "x"], "name"), "name").collect()] == [1]
+
+
+def test_layouts_are_tried_by_their_marks(spark):
+    """The marks rule out no layout that would have fitted."""
+    texts = ["2024-01-02", "2024-01-02t03:04:05z", "01/02/2024 03:04", "Tue, 2 Jan 2024 03:04:05 GMT", "Tuesday, January 2, 2024", "january 2, 2024 3:04 am", "20240102", "2024-01", "", ",", "2 Jan 2024", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace("t", r"^[A-Za-z]{3,9},\s*(?=[0-9])", "")
+    every = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in dates.TIMESTAMP_FORMATS], F.col("t").try_cast("timestamp"))
+    got = rows.select("t", dates.parse_timestamp(F.col("t")).alias("v"), every.alias("w")).collect()
+    assert [r["v"] for r in got] == [r["w"] for r in got] and sum(r["v"] is not None for r in got) == 8

@@ -1,12 +1,15 @@
 import datetime as dt
 import json
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from entitystats.operators.normalize import GAME_ALIASES
+from entitystats.plans import streaming_queries as SQ
+from entitystats.session import scratch_folder
 from entitystats.sources.files import text_schema
 from entitystats.skew import Timeline
 from entitystats.streaming import ingest as I
@@ -204,3 +207,19 @@ def test_last_copy_stands(spark, tmp_path):
     I.run_ingest(I.file_stream(spark, str(src), text_schema(FIELDS), arrival=True), base, str(tmp_path / "c"))
     assert I.current(spark, base, "player_stats", ["player", "game_date", "stat_type"]).first()["value"] == 25
     assert I.current_games(spark, base).first()["home_score"] == 110
+
+
+def test_a_micro_batch_comes_in_many_files_of_one_slice(spark):
+    rows = spark.range(1_000_000).select("id", F.when(F.col("id") < 2, 0).when(F.col("id") < 5, 1).otherwise(2 + F.col("id") % 2).alias("k"))
+    got = []
+    stream = SQ._sliced(SimpleNamespace(spark=spark), rows, F.col("k"))
+    I.run_available(stream, lambda df, batch: got.append((df.select("k").distinct().collect(), df.count(), df.rdd.getNumPartitions())), scratch_folder(spark, "check"))
+    assert [([r["k"] for r in ks], n) for ks, n, _ in got] == [([0], 2), ([1], 3), ([2], 499_997), ([3], 499_998)]
+    assert min(parts for _, _, parts in got[2:]) > 1
+
+
+def test_records_are_read_once(spark, tmp_path):
+    raw = I.with_arrival(spark.createDataFrame([("2024-01-01", "LAL", "BOS", "7"), ("", "LAL", "BOS", "8")], "date string, homeTeam string, away string, value string"))
+    good = I.accepted(raw, str(tmp_path), 0)
+    assert [r["game_date"].day for r in good.collect()] == [1]
+    assert "gettimestamp" not in good._jdf.queryExecution().optimizedPlan().toString().lower()
