@@ -14,12 +14,12 @@ batch that runs again reads the state before it and writes the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,10 @@ class ForwardEma:
         cut = line.df if line.sliced else line.df.withColumn(SLICE, F.lit(0))
         cut = cut.select(*columns, F.col(SLICE).alias("__slice_no"))
         schema = T.StructType([*cut.schema.fields, T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType())])
-        # within a slice the mean is a * (mean before the slice) + b
-        local = settled(cut.groupBy(self.key, "__slice_no").applyInPandas(_affine(list(self.order), self.alpha), schema))
+        # within a slice the mean is a * (mean before the slice) + b; a task takes its slices one after another
+        order = [F.col(c).asc_nulls_last() for c in self.order]
+        rows = cut.withColumn("__n", F.row_number().over(Window.partitionBy(self.key, "__slice_no").orderBy(*order)))
+        local = settled(rows.sortWithinPartitions(self.key, "__slice_no", *order).mapInArrow(_affine(self.alpha), schema))
         slices = local.groupBy(self.key, "__slice_no").agg(
             _last("__a", self.order).alias("a"), _last("__b", self.order).alias("b"), F.min_by("value", F.struct(*self.order)).alias("x")
         )
@@ -102,11 +104,27 @@ class ForwardEma:
         return out.select(self.key, self.ident, (F.col("__a") * F.col("__c") + F.col("__b")).alias("ema")), after
 
 
-def _affine(order: list[str], alpha: float):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable", ignore_index=True)
-        mean = pd.Series(np.concatenate(([0.0], part["value"].to_numpy(float)))).ewm(alpha=alpha, adjust=False).mean() if alpha < 1 else pd.Series(np.concatenate(([0.0], part["value"].to_numpy(float))))
-        return part.assign(__a=(1.0 - alpha) ** np.arange(1, len(part) + 1), __b=mean.to_numpy()[1:])
+def _affine(alpha: float):
+    """Steps of ordered slices, whose rows are numbered from 1 as ``__n``.
+
+    A value that is not finite leaves the mean as it is and makes it older.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, old = 0.0, 1.0
+        for batch in batches:
+            place, out = batch.column("__n").to_numpy(), []
+            for n, value in zip(place.tolist(), batch.column("value").to_numpy().tolist()):
+                mean, old = (0.0, 1.0 - alpha) if n == 1 else (mean, old * (1.0 - alpha))
+                if alpha == 1:
+                    mean = value
+                elif math.isfinite(value):
+                    if mean != value:
+                        mean = (old * mean + alpha * value) / (old + alpha)
+                    old = 1.0
+                out.append(mean)
+            kept = batch.drop_columns(["__n"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((1.0 - alpha) ** place.astype("int64")), pa.array(out, pa.float64())], [*kept.schema.names, "__a", "__b"])
 
     return run
 

@@ -4,6 +4,8 @@ import os
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,18 @@ def test_records_are_read_once(spark, tmp_path):
     good = I.accepted(raw, str(tmp_path), 0)
     assert [r["game_date"].day for r in good.collect()] == [1]
     assert "gettimestamp" not in good._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("alpha", [0.3, 1.0])
+@pytest.mark.parametrize("cut", [1, 3, 50])
+def test_mean_of_slices_over_arrow_batches(alpha, cut):
+    """Slices may cross batches of rows; a value that is not finite leaves the mean."""
+    slices = [[2.0, 5.0, float("nan"), 1.0, 1.0, 9.0], [4.0], [float("nan"), 3.0, float("inf"), 8.0]]
+    if alpha == 1.0:
+        slices = [[v for v in s if np.isfinite(v)] for s in slices]
+    place, value = [n + 1 for s in slices for n in range(len(s))], [v for s in slices for v in s]
+    whole = pa.RecordBatch.from_arrays([pa.array(value), pa.array(place, pa.int32())], ["value", "__n"])
+    out = pa.Table.from_batches(ST._affine(alpha)(whole.slice(i, cut) for i in range(0, len(value), cut))).to_pandas()
+    expect = np.concatenate([pd.Series([0.0, *s]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:] for s in slices])
+    assert np.array_equal(out["__b"].to_numpy(), expect) and np.array_equal(out["__a"].to_numpy(), (1 - alpha) ** np.array(place))
+    assert list(out.columns) == ["value", "__a", "__b"]
