@@ -11,15 +11,16 @@ import itertools
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,18 +204,33 @@ def eliminate(df: DataFrame, target: str, n_features: int | None = None, feature
 def random_search(
     df: DataFrame, features: Sequence[str], target: str, space: dict[str, Sequence[Any]], kind: str = "rf", trials: int = 10, folds: int = 3, parallelism: int = 2, seed: int = SEED
 ) -> tuple[dict[str, Any], DataFrame]:
-    """Best of ``trials`` random parameter sets by cross-validated rmse; (best, all results)."""
+    """Best of ``trials`` random parameter sets by cross-validated rmse; (best, all results).
+
+    Rows fall into the folds of ``CrossValidator``; unlike there, no model is
+    fitted to all rows in the end, and folds are not kept beside the rows.
+    """
     learner = _learner(kind, 20, 5, seed)
     combos = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     picked = random.Random(seed).sample(combos, min(trials, len(combos)))
     grid = [{learner.getParam(k): v for k, v in p.items()} for p in picked]
-    cv = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=seed, parallelism=parallelism)
-    data = assembled(df, features, target).persist()
+    evaluator = RegressionEvaluator(metricName="rmse")
+    data = assembled(df, features, target).withColumn("__r", F.rand(seed)).persist()
+    errors = np.zeros((folds, len(grid)))
     try:
-        model = cv.fit(data)
+        with ThreadPool(min(parallelism, len(grid))) as pool:
+            for k in range(folds):
+                held = (F.col("__r") >= k * (1 / folds)) & (F.col("__r") < (k + 1) * (1 / folds))
+                models = learner.fitMultiple(data.filter(~held), grid)
+
+                def score(_, models=models, rest=data.filter(held)):
+                    i, model = next(models)
+                    return i, evaluator.evaluate(model.transform(rest))
+
+                for i, error in pool.imap_unordered(inheritable_thread_target(df.sparkSession)(score), range(len(grid))):
+                    errors[k, i] = error
     finally:
         data.unpersist()
-    scores = [float(m) for m in model.avgMetrics]
+    scores = [float(m) for m in errors.mean(axis=0)]
     rows = [(str(sorted(p.items())), s) for p, s in zip(picked, scores)]
     table = df.sparkSession.createDataFrame(rows, "params string, rmse double").orderBy("rmse")
     return picked[int(np.argmin(scores))], table

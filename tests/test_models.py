@@ -175,3 +175,13 @@ def test_isotonic_of_many_points(spark):
     ask = spark.createDataFrame([("a", -1.0), ("a", 0.25), ("a", 4.0), ("a", 1e9), ("b", 7.0), ("a", None)], "e string, p double")
     got = {r["p"]: r["calibrated"] for r in M.apply_isotonic(ask, blocks, "e", "p").collect()}
     assert got == {-1.0: 0.0, 0.25: pytest.approx(0.25), 4.0: 2.0, 1e9: pytest.approx(299_999**0.5), 7.0: 7.0, None: None}
+
+
+def test_search_fits_no_model_it_does_not_score(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id % 2 AS a", "id div 2 % 2 AS b").selectExpr("a", "b", "a + 2 * b + 3 * a * b AS y")
+    fitted, fit = [], M.GBTRegressor._fit
+    monkeypatch.setattr(M.GBTRegressor, "_fit", lambda self, data: fitted.append(self.getMaxDepth()) or fit(self, data))
+    best, table = M.random_search(rows, ["a", "b"], "y", {"maxDepth": [1, 2]}, kind="gbt", trials=2, folds=2)
+    found = {r["params"]: r["rmse"] for r in table.collect()}
+    assert sorted(fitted) == [1, 1, 2, 2] and best == {"maxDepth": 2}
+    assert found["[('maxDepth', 2)]"] < 1e-9 < 0.1 < found["[('maxDepth', 1)]"]
