@@ -35,6 +35,11 @@ WEIGHTS = {"rf": 0.45, "gbt": 0.45, "elastic": 0.1}
 WEIGHTS_WITHOUT_BOOSTING = {"rf": 0.6, "elastic": 0.4}
 ALPHA, L1_RATIO, SEED = 0.1, 0.5, 42
 
+#: Parameters under which boosted trees meet rows only through counts and sums of labels per feature values.
+SUMMED = {"maxBins", "maxDepth", "maxIter", "minInfoGain", "stepSize"}
+#: Rows of counts up to which a search fits boosted trees to them; of so many, Spark reads every one for its split points.
+MAX_CELLS = 10_000
+
 #: Features whose use is examined separately - fixed values.
 CONTEXTUAL = [
     "is_playoff", "is_national_tv", "is_rivalry", "travel_distance_km", "opp_altitude_m", "is_high_altitude_opp",
@@ -42,12 +47,15 @@ CONTEXTUAL = [
 ]
 
 
+def filled(df: DataFrame, features: Sequence[str], target: str | None = None) -> DataFrame:
+    """Features as doubles with nulls as 0, and the label as a double; rows without a label are left out."""
+    out = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+    return out if target is None else out.withColumn("label", F.col(target).cast("double")).filter("label IS NOT NULL")
+
+
 def assembled(df: DataFrame, features: Sequence[str], target: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Feature vector with nulls as 0, and the label as a double; rows without a label are left out."""
-    filled = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
-    if target is not None:
-        filled = filled.withColumn("label", F.col(target).cast("double")).filter("label IS NOT NULL")
-    out = VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
+    out = VectorAssembler(inputCols=list(features), outputCol="features").transform(filled(df, features, target))
     return out.select(*keep, *(["label"] if target else []), "features") if keep or target else out
 
 
@@ -201,6 +209,25 @@ def eliminate(df: DataFrame, target: str, n_features: int | None = None, feature
     return left
 
 
+def _fold(draw: Column, folds: int) -> Column:
+    """The fold of ``CrossValidator`` that holds a row out, by the row's draw; -1 where none does."""
+    return F.coalesce(*[F.when((draw >= k * (1 / folds)) & (draw < (k + 1) * (1 / folds)), k) for k in range(folds)], F.lit(-1))
+
+
+def counted_folds(df: DataFrame, features: Sequence[str], target: str, folds: int, seed: int = SEED) -> DataFrame | None:
+    """(fold, weight, label, spread, features): the rows of a fold with equal features as one, with their number, mean label and its variance.
+
+    Trees that split by squared error take the same splits and means from these
+    as from the rows. None if there are more than ``MAX_CELLS`` of them.
+    """
+    x = [f"x{i}" for i in range(len(features))]
+    rows = filled(df, features, target).withColumn("__r", F.rand(seed))
+    rows = rows.select(_fold(F.col("__r"), folds).alias("fold"), "label", *[F.col(f).alias(c) for f, c in zip(features, x)])
+    cells = rows.groupBy("fold", *x).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.avg("label").alias("label"), F.var_pop("label").alias("spread"))
+    table = settled(cells.limit(MAX_CELLS + 1)).coalesce(1)
+    return VectorAssembler(inputCols=x, outputCol="features").transform(table).drop(*x) if table.count() <= MAX_CELLS else None
+
+
 def random_search(
     df: DataFrame, features: Sequence[str], target: str, space: dict[str, Sequence[Any]], kind: str = "rf", trials: int = 10, folds: int = 3, parallelism: int = 2, seed: int = SEED
 ) -> tuple[dict[str, Any], DataFrame]:
@@ -208,23 +235,31 @@ def random_search(
 
     Rows fall into the folds of ``CrossValidator``; unlike there, no model is
     fitted to all rows in the end, and folds are not kept beside the rows.
+    Boosted trees pass over their rows several times a tree, so they are fitted
+    to counted rows where these are few; forests draw single rows.
     """
     learner = _learner(kind, 20, 5, seed)
     combos = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     picked = random.Random(seed).sample(combos, min(trials, len(combos)))
     grid = [{learner.getParam(k): v for k, v in p.items()} for p in picked]
-    evaluator = RegressionEvaluator(metricName="rmse")
-    data = assembled(df, features, target).withColumn("__r", F.rand(seed)).persist()
+    evaluator = RegressionEvaluator(metricName="mse")
+    counted = counted_folds(df, features, target, folds, seed) if kind == "gbt" and SUMMED.issuperset(space) else None
+    if counted is None:
+        data = assembled(df, features, target).withColumn("__r", F.rand(seed)).withColumn("fold", _fold(F.col("__r"), folds)).persist()
+    else:
+        learner, evaluator, data = learner.setWeightCol("weight"), evaluator.setWeightCol("weight"), counted.persist()
     errors = np.zeros((folds, len(grid)))
     try:
         with ThreadPool(min(parallelism, len(grid))) as pool:
             for k in range(folds):
-                held = (F.col("__r") >= k * (1 / folds)) & (F.col("__r") < (k + 1) * (1 / folds))
-                models = learner.fitMultiple(data.filter(~held), grid)
+                rest = data.filter(F.col("fold") == k)
+                models = learner.fitMultiple(data.filter(F.col("fold") != k), grid)
+                # the error of a mean leaves out how far its rows lie from it
+                inside = 0.0 if counted is None else rest.agg(F.sum(F.col("weight") * F.col("spread")) / F.sum("weight")).first()[0]
 
-                def score(_, models=models, rest=data.filter(held)):
+                def score(_, models=models, rest=rest, inside=inside):
                     i, model = next(models)
-                    return i, evaluator.evaluate(model.transform(rest))
+                    return i, np.sqrt(evaluator.evaluate(model.transform(rest)) + inside)
 
                 for i, error in pool.imap_unordered(inheritable_thread_target(df.sparkSession)(score), range(len(grid))):
                     errors[k, i] = error

@@ -185,3 +185,43 @@ def test_search_fits_no_model_it_does_not_score(spark, monkeypatch):
     found = {r["params"]: r["rmse"] for r in table.collect()}
     assert sorted(fitted) == [1, 1, 2, 2] and best == {"maxDepth": 2}
     assert found["[('maxDepth', 2)]"] < 1e-9 < 0.1 < found["[('maxDepth', 1)]"]
+
+
+def _noisy(spark, n=4000):
+    """Rows of nine pairs of features with labels around a value per pair; some features and labels are null."""
+    noise = F.rand(5) - 0.5
+    rows = spark.range(n).repartition(3, "id").select("id", (F.col("id") % 3).alias("a"), F.when(F.col("id") % 11 > 0, (F.col("id") % 7 % 3).cast("double") / 4).alias("b"))
+    return rows.select("a", "b", F.when(F.col("id") % 13 > 0, F.col("a") * 2 + F.coalesce("b", F.lit(0.0)) * F.col("a") * 5 + noise).alias("y")).cache()
+
+
+@pytest.mark.parametrize("cells", [0, 10_000])
+def test_search_equals_cross_validator(spark, monkeypatch, cells):
+    """Whether fitted to rows or to their counts, the errors are those of Spark's own cross validation over the rows."""
+    from pyspark.ml.tuning import CrossValidator
+
+    monkeypatch.setattr(M, "MAX_CELLS", cells)
+    rows = _noisy(spark)
+    _, table = M.random_search(rows, ["a", "b"], "y", {"maxDepth": [1, 3], "maxIter": [3]}, kind="gbt", trials=2, folds=3, seed=9)
+    learner = M.GBTRegressor(stepSize=0.3, seed=9, maxIter=3)
+    grid = [{learner.maxDepth: d} for d in (1, 3)]
+    data = M.assembled(rows, ["a", "b"], "y")
+    want = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=M.RegressionEvaluator(metricName="rmse"), numFolds=3, seed=9).fit(data).avgMetrics
+    found = {r["params"]: r["rmse"] for r in table.collect()}
+    assert [found[f"[('maxDepth', {d}), ('maxIter', 3)]"] for d in (1, 3)] == pytest.approx(want, rel=1e-9) and want[1] < want[0]
+
+
+def test_search_fits_boosted_trees_to_counted_rows(spark, monkeypatch):
+    met, fit = [], M.GBTRegressor._fit
+    monkeypatch.setattr(M.GBTRegressor, "_fit", lambda self, data: met.append(data.count()) or fit(self, data))
+    M.random_search(_noisy(spark), ["a", "b"], "y", {"maxDepth": [1, 2], "maxIter": [2]}, kind="gbt", trials=2, folds=2)
+    assert met == [9] * 4
+    counted = M.counted_folds(_noisy(spark), ["a", "b"], "y", 2)
+    assert counted.agg(F.sum("weight")).first()[0] == _noisy(spark).filter("y IS NOT NULL").count() and {r["fold"] for r in counted.collect()} == {0, 1}
+
+
+def test_search_by_rows_where_counts_are_not_enough(spark, monkeypatch):
+    """A least number of rows in a leaf is one of rows, not of counts."""
+    met, fit = [], M.GBTRegressor._fit
+    monkeypatch.setattr(M.GBTRegressor, "_fit", lambda self, data: met.append(data.count()) or fit(self, data))
+    M.random_search(_noisy(spark, 400), ["a", "b"], "y", {"minInstancesPerNode": [1, 30], "maxIter": [1]}, kind="gbt", trials=2, folds=2)
+    assert min(met) > 100
