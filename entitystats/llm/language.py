@@ -40,8 +40,8 @@ DENSE_CELLS = 1 << 24
 UNKNOWN = "und"
 
 
-def automaton(text: str, codes: dict[str, int]) -> list[dict[int, int]]:
-    """The suffix automaton of a text: for each state the states that follow, by character code."""
+def automaton(text: str, codes: dict[str, int]) -> np.ndarray:
+    """The suffix automaton of a text: an array with, for each state, a dictionary of the states that follow, by character code."""
     nexts: list[dict[int, int]] = [{}]
     links, lengths, last = [-1], [0], 0
     for ch in text:
@@ -68,7 +68,7 @@ def automaton(text: str, codes: dict[str, int]) -> list[dict[int, int]]:
                     p = links[p]
                 links[q] = links[cur] = clone
         last = cur
-    return nexts
+    return np.array(nexts, dtype=object)
 
 
 class Parser:
